@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, outliers, tokens
+from . import mixing, outliers, simhash, tokens, topk
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every 50th vector with all others."""
+    return topk.top_k_of_table(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents (end id 0), as read back from the files."""
     return tokens.read_tokens(tokens.write_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0))
@@ -24,15 +30,38 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and component of near-duplicates of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix with weights 1, 2, 3 and at most three epochs takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_top_k": op2_exact_top_k,
     "op4_token_output": op4_token_output,
     "op5_quality_rules": op5_quality_rules,
+    "op6_simhash_groups": op6_simhash_groups,
     "op9_source_mix": op9_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_top_k": """
+        WITH e AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, e.vec_id AS vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score
+            FROM e AS q JOIN e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s
+        )
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+    """,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, outliers, simhash, tokens, topk
+from . import mixing, outliers, packing, simhash, tokens, topk
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,14 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_of_table(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (end id 2) packed into sequences of at most 1024 tokens.
+
+    The limits on documents and attention cost are those that 1024 tokens imply.
+    """
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents (end id 0), as read back from the files."""
     return tokens.read_tokens(tokens.write_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0))
@@ -43,6 +51,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_output": op4_token_output,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_groups": op6_simhash_groups,

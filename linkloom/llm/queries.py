@@ -8,9 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, outliers, packing, simhash, tokens, topk
+from . import mixing, outliers, packing, simhash, tokens, topk, urls
 from .common import table
 
+RULES = [
+    urls.Rule("com", "/en/", True),
+    urls.Rule("example.com", "/en/7", False),
+    urls.Rule("net", "/de/", False),
+    urls.Rule("example.net", "/de/8", True),
+    urls.Rule("org", "/es/", True),
+]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -44,6 +51,11 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the rules, or else of the path-template tree, on every page."""
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix with weights 1, 2, 3 and at most three epochs takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -55,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_groups": op6_simhash_groups,
+    "op7_url_filter": op7_url_filter,
     "op9_source_mix": op9_source_mix,
 }
 
@@ -73,4 +86,5 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
     """,
+    "op7_url_filter": urls.oracle(RULES),
 }

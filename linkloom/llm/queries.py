@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, outliers, packing, simhash, tokens, topk, urls
+from . import licenses, mixing, outliers, packing, simhash, tokens, topk, urls
 from .common import table
 
 RULES = [
@@ -56,6 +56,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents: 32 bands, containment of 0.8."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix with weights 1, 2, 3 and at most three epochs takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_groups": op6_simhash_groups,
     "op7_url_filter": op7_url_filter,
+    "op8_license_scan": op8_license_scan,
     "op9_source_mix": op9_source_mix,
 }
 
@@ -87,4 +93,5 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
     """,
     "op7_url_filter": urls.oracle(RULES),
+    "op8_license_scan": licenses.oracle(),
 }

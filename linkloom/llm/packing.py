@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, text_of
-from .tokens import _texts, encoder_for
+from .tokens import encoder_for, text_blocks
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
     """
 
     def run(batches):
-        encoder, end = encoder_for(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encoder = encoder_for(tokenizer)
         part, counts, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), []
 
         def batch():
@@ -118,22 +118,24 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
             columns = list(zip(*rows)) or [()] * 7
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-        for doc_id, text in _texts(batches):
-            data = encoder.encode(text) + end
-            n = len(data) // 4
-            at, piece = 0, 0
-            while at < n:
-                size = n if n <= capacity else ((n - at) % capacity or capacity)
-                rows.append((part, doc_id, piece, at, size, zlib.crc32(data[4 * at : 4 * (at + size)]), int(counts[size])))
-                counts[size] += 1
-                at, piece = at + size, piece + 1
+        for doc_ids, texts in text_blocks(batches):
+            ids, bounds = encoder.encode(texts, end_id)
+            data = memoryview(ids.tobytes())
+            for doc_id, first, last in zip(doc_ids.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                n, at, piece = last - first, 0, 0
+                while at < n:
+                    size = n if n <= capacity else ((n - at) % capacity or capacity)
+                    crc = zlib.crc32(data[4 * (first + at) : 4 * (first + at + size)])
+                    rows.append((part, doc_id, piece, at, size, crc, int(counts[size])))
+                    counts[size] += 1
+                    at, piece = at + size, piece + 1
             if len(rows) >= 20_000:
                 yield batch()
                 rows.clear()
         if rows:
             yield batch()
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, shape: Bin = Bin()) -> DataFrame:

@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,33 +24,28 @@ from pyspark.sql import functions as F
 from .common import stage, text_of
 
 #: Characters that no pre-tokenizer rule of a byte-level BPE counts as white space.
-SOLID = "!-~¡-ᙿᚁ-῿、-퟿"
-_OTHER = re.compile(f"[^ \n{SOLID}]")
-_BREAK = re.compile(f"(?<=[{SOLID}]) (?=[{SOLID}])")
+SOLID = "!-~\u00c0-\u0fff\u4000-\ud7ff"
+_JOINS = re.compile(f" ?[{SOLID}](?:[^\n]*[{SOLID}])?")
 
 
-class _Encoded(dict):
-    """Piece -> its ids as little-endian 32-bit integers, encoded on first use.
+def _lead_table() -> np.ndarray:
+    """For each byte, whether it leads a character of ``SOLID`` (as UTF-8)."""
+    table = np.zeros(256, bool)
+    for low, high in ((0x21, 0x7E), (0xC3, 0xDF), (0xE0, 0xE0), (0xE4, 0xED)):
+        table[low : high + 1] = True
+    return table
 
-    Bounded: at ``limit`` entries the older half goes, but for what is used
-    again; long pieces are never kept.
-    """
 
-    def __init__(self, tokenizer, prefix: str, limit: int = 300_000):
-        super().__init__()
-        self.tokenizer, self.prefix, self.limit, self.older = tokenizer, prefix, limit, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.older.get(piece)
-        if out is None:
-            ids = self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids
-            out = np.asarray(ids, dtype="<u4").tobytes()
-        if len(piece) <= 48:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = out
-        return out
+_LEADS = _lead_table()
+
+
+def _solid_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is in ``SOLID``."""
+    one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    tail = lambda x: (x & 0xC0) == 0x80
+    pair = tail(one) & _LEADS[two] & (two >= 0xC3) & (two < 0xE0)
+    triple = tail(one) & tail(two) & _LEADS[three] & (three >= 0xE0)
+    return ((one < 0x80) & _LEADS[one]) | pair | triple
 
 
 class Encoder:
@@ -59,47 +53,89 @@ class Encoder:
 
     A byte-level pre-tokenizer always breaks before one space that stands
     between two visible characters, and on both sides of one line feed that
-    does. Texts are cut at such places only, so the ids are those of the whole
-    text while each distinct piece is encoded once.
+    does. A block of texts is cut at such places, each distinct piece is encoded
+    once, and the ids of the pieces are put together in arrays: the ids are
+    those of the whole texts. Known pieces are kept, up to ``limit``; then the
+    older half goes, but for what is used again. Long pieces are never kept.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.bare, self.spaced = _Encoded(tokenizer, ""), _Encoded(tokenizer, " ")
-        self.feed = self.bare["\n"]
-
-    def _pieces(self, pieces: list[str]) -> bytes:
-        spaced = self.spaced
-        return self.bare[pieces[0]] + b"".join([spaced[p] for p in pieces[1:]])
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        plain = not (_OTHER.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n")
-        if plain:
-            return self.feed.join([self._pieces(line.split(" ")) for line in text.split("\n")])
-        return self._pieces(_BREAK.split(text))
-
-
-def _blocks(texts: Iterator[tuple[int | None, str]], encoder: Encoder, end: bytes, most: int = 4_000_000):
-    """Lists of (doc_id, bytes of ids), each of some ``most`` ids at most."""
-    rows, size = [], 0
-    for doc_id, text in texts:
-        data = encoder.encode(text) + end
-        rows.append((doc_id, data))
-        size += len(data) // 4
-        if size >= most:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
-
-
-def _texts(batches) -> Iterator[tuple[int | None, str]]:
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), (x.as_py() or "" for x in batch.column(1)))
+        self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces as bytes. Pieces that a line feed parts cleanly go in one call."""
+        texts = [p.decode() for p in pieces]
+        joins = [len(self.feed) == 1 and _JOINS.fullmatch(t) is not None for t in texts]
+        out = [b"" if j else np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, j in zip(texts, joins)]
+        where = np.flatnonzero(joins)
+        for k in range(0, len(where), 1000):
+            some = where[k : k + 1000]
+            joined = self.tokenizer.encode_batch_fast(["\n".join([texts[i] for i in some])], add_special_tokens=False)
+            ids = np.asarray(joined[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.feed[0])
+            if len(ends) != len(some) - 1:
+                raise AssertionError("a piece holds the separator")
+            data = ids.tobytes()
+            for i, a, b in zip(some, [0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), len(data)]):
+                out[i] = data[a:b]
+        return out
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        known, older = self.known, self.older
+        out = [known.get(p) for p in pieces]
+        lost = [i for i, x in enumerate(out) if x is None]
+        new = [i for i in lost if pieces[i] not in older]
+        for i, x in zip(new, self._new([pieces[i] for i in new])):
+            out[i] = x
+        for i in lost:
+            if out[i] is None:
+                out[i] = older[pieces[i]]
+            if len(pieces[i]) <= 48:
+                known[pieces[i]] = out[i]
+        if len(known) > self.limit:
+            self.older, self.known = known, {}
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8, no nulls), each with ``end_id`` after it, and the bounds of each."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        size = int(offsets[-1] - offsets[0])
+        data = np.frombuffer(texts.buffers()[2], np.uint8, size, offset=int(offsets[0])) if size else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        gaps = np.flatnonzero((data == 0x20) | (data == 0x0A))
+        first = np.zeros(size + 1, bool)
+        first[offsets] = True  # no cut reaches into another text
+        inner = gaps[(gaps > 0) & (gaps < size - 1)]
+        inner = inner[~first[inner] & ~first[inner + 1]]
+        inner = inner[_LEADS[data[inner + 1]] & _solid_before(data, inner)]
+        # The character before must belong to the same text; a cut text end is caught by ``first``.
+        first[inner] = True
+        first[inner[data[inner] == 0x0A] + 1] = True
+        first[size] = True
+        starts = np.flatnonzero(first)
+        n = len(starts) - 1
+        if n > 0:
+            pieces = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+            which = np.asarray(pieces.indices)
+            ids = self._ids(pieces.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            begins = np.cumsum(sizes) - sizes
+            many = sizes[which]
+        else:
+            which, flat, begins, many = np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        upto = np.concatenate([[0], np.cumsum(many)])
+        bounds = upto[np.searchsorted(starts[:n], offsets)]
+        total, extra = int(upto[-1]), int(end_id is not None)
+        taken = flat[np.arange(total) + np.repeat(begins[which] - upto[:-1], many)]
+        if not extra:
+            return taken, bounds
+        out = np.full(total + len(texts), end_id, "<u4")
+        out[np.arange(total) + np.repeat(np.arange(len(texts)), np.diff(bounds))] = taken
+        return out, bounds + np.arange(len(texts) + 1)
 
 
 @functools.lru_cache(maxsize=2)
@@ -108,6 +144,18 @@ def encoder_for(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
+def text_blocks(batches, most: int = 6 << 20):
+    """Per block of ``(doc_id, text as binary)`` rows, some ``most`` bytes of text at most: ids and texts."""
+    for batch in batches:
+        texts = batch.column(1)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1)
+            yield batch.column(0).slice(begin, end - begin), texts.slice(begin, end - begin)
+            begin = end
+
+
 TOKENS = "doc_id long, ids array<int>, n_tokens long, start_in_part long, part int"
 
 
@@ -119,24 +167,21 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """
 
     def run(batches):
-        encoder, end = encoder_for(tokenizer), np.asarray([end_id], "<u4").tobytes()
-        part, start = TaskContext.get().partitionId(), 0
-        for rows in _blocks(_texts(batches), encoder, end):
-            lengths = np.asarray([len(d) // 4 for _, d in rows], np.int64)
-            ids = np.frombuffer(b"".join([d for _, d in rows]), "<u4").astype(np.int32)
-            bounds = np.concatenate([[0], np.cumsum(lengths)])
+        encoder, part, start = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
+        for doc_ids, texts in text_blocks(batches):
+            ids, bounds = encoder.encode(texts, end_id)
             yield pa.record_batch(
                 {
-                    "doc_id": pa.array([k for k, _ in rows], pa.int64()),
-                    "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)),
-                    "n_tokens": pa.array(lengths),
+                    "doc_id": doc_ids,
+                    "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32))),
+                    "n_tokens": pa.array(np.diff(bounds)),
                     "start_in_part": pa.array(start + bounds[:-1]),
-                    "part": pa.array(np.full(len(rows), part, np.int32)),
+                    "part": pa.array(np.full(len(texts), part, np.int32)),
                 }
             )
             start += int(bounds[-1])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, TOKENS)
 
 

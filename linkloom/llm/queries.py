@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, outliers, packing, simhash, tokens, topk, urls
+from . import licenses, mixing, outliers, packing, simhash, substrings, tokens, topk, urls
 from .common import table
 
 RULES = [
@@ -21,6 +21,11 @@ RULES = [
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 100-byte strings repeat from earlier."""
+    return substrings.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every 50th vector with all others."""
     return topk.top_k_of_table(table(spark, sf_dir, "embeddings"), every=50, k=5)
@@ -67,6 +72,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_output": op4_token_output,

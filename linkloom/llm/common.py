@@ -16,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Setting by which Spark deletes the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -51,7 +55,13 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = staged_path(spark, name)
-    df.write.mode("overwrite").options(**options).parquet(path)
+    # What the rows were shuffled through is of no use once they are written.
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

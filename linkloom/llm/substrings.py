@@ -3,17 +3,17 @@
 A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts
 earlier, in a document of smaller id or before in the same one.
 
-1. Every window of ``LENGTH`` bytes has a minimizer: the ``GRAM``-byte string in
-   it of least hash. Equal windows have equal minimizers at equal places, so only
-   minimizers found twice can lie in repeated windows.
-2. The region of a minimizer holds all windows that it serves. Equal regions are
-   settled by their digests: all but the first are repeats. That is done in each
-   task before the shuffle, and again for what is left after it, so a passage
-   that many documents share costs each of them a row, not a suffix.
+1. Every window of ``LENGTH`` bytes has a minimizer: the least hash of the
+   ``GRAM``-byte strings in it. Equal windows have equal minimizers.
+2. Neighbouring windows of one minimizer form a run; the bytes that they cover are
+   its region. Equal regions are settled by their digests: all but the first are
+   repeats. That is done in each task before the shuffle, and again for what is
+   left after it, so a passage that many documents share costs each of them a
+   row, not a suffix.
 3. Different regions of one minimizer, which lie at the ends of repeated passages,
-   are gathered by minimizer into shards, and each shard's suffixes are sorted by
-   external induced sorting. Suffixes that agree on ``LENGTH`` symbols are the
-   equal windows.
+   and regions that hold their minimizer twice are gathered by minimizer into
+   shards, and each shard's suffixes are sorted by external induced sorting.
+   Suffixes that agree on ``LENGTH`` symbols are the equal windows.
 4. The repeats found, merged into intervals, are joined with the texts.
 
 Digests are 64-bit polynomial hashes of regions that share a minimizer.
@@ -36,11 +36,13 @@ from .suffixes import suffix_order
 from .tokens import text_blocks
 
 LENGTH, GRAM = 100, 40
-#: Window starts that one minimizer can serve.
+#: Strings of ``GRAM`` bytes in a window.
 REACH = LENGTH - GRAM + 1
 #: Rows that share a document id are told apart by their number, in the high bits of a place.
 ROW_BITS = 40
 ROW_MASK = (1 << ROW_BITS) - 1
+#: Most window starts in a piece of a region that goes to a shard.
+PIECE = 1024
 #: Documents without id come first.
 NO_ID = -(1 << 63)
 
@@ -75,28 +77,40 @@ def _window(op, x: np.ndarray, width: int) -> np.ndarray:
     return op(out[: len(x) - width + 1], out[width - step :]) if width > step else out
 
 
-def minimizers(data: np.ndarray, bounds: np.ndarray):
-    """Of texts one after the other, at ``bounds``: text number, place, hash and region digest of each minimizer."""
+def runs(data: np.ndarray, bounds: np.ndarray):
+    """Runs of windows that share a minimizer, of texts one after the other, at ``bounds``.
+
+    Per run: text number, first place and end of its region, minimizer, digest of the
+    region, and whether the region may hold its minimizer twice.
+    """
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
-        return empty, empty, empty, empty
-    up, down = _powers(1 << max(21, (n + 1).bit_length()))
+        return empty, empty, empty, empty, empty, np.zeros(0, bool)
+    up, down = _powers(1 << max(20, (n + 1).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_values()[data] * up[:n])])
     grams = _mix((sums[GRAM:] - sums[: n - GRAM + 1]) * down[: n - GRAM + 1]) | np.uint64(1)
     least = _window(np.minimum, grams, REACH)  # one for each window start
-    inside = np.ones(len(least), bool)
     for end in bounds[1:-1]:  # windows that reach into the next text
-        inside[max(0, int(end) - LENGTH + 1) : int(end)] = False
-    least = np.where(inside, least, np.uint64(0))
+        least[max(0, int(end) - LENGTH + 1) : int(end)] = 0
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    last = np.r_[first[1:], len(least)] - 1
+    real = least[first] > 0
+    first, last = first[real], last[real]
+    # Places of minimizers, and those whose next equal one lies in the same run.
     edge = np.zeros(REACH - 1, np.uint64)
-    served = _window(np.maximum, np.concatenate([edge, least, edge]), REACH)
-    at = np.flatnonzero(served == grams)
-    text = np.searchsorted(bounds, at, side="right") - 1
-    first, last = np.maximum(bounds[text], at - REACH + 1), np.minimum(bounds[text + 1], at + LENGTH)
-    digest = _mix((sums[last] - sums[first]) * down[first])
-    digest = _mix(digest + ((at - first) * 256 + (last - at)).astype(np.uint64))
-    return text, at - bounds[text], grams[at].view(np.int64), digest.view(np.int64)
+    at = np.flatnonzero(_window(np.maximum, np.concatenate([edge, least, edge]), REACH) == grams)
+    at = at[np.argsort(grams[at], kind="stable")]
+    pair = np.flatnonzero((grams[at[1:]] == grams[at[:-1]]) & (at[1:] - at[:-1] <= REACH))
+    twice = np.zeros(len(least) + 1, np.int64)
+    np.add.at(twice, np.maximum(at[pair + 1] - REACH, 0), 1)
+    np.add.at(twice, np.minimum(at[pair] + 1, len(least)), -1)
+    doubled = np.concatenate([[0], np.cumsum(np.cumsum(twice)[:-1] > 0)])
+    own = doubled[last + 1] > doubled[first]
+    text, until = np.searchsorted(bounds, first, side="right") - 1, last + LENGTH
+    digest = _mix((sums[until] - sums[first]) * down[first])
+    digest = _mix(digest + (until - first).astype(np.uint64))
+    return text, first - bounds[text], until - bounds[text], least[first].view(np.int64), digest.view(np.int64), own
 
 
 def _merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray):
@@ -115,24 +129,25 @@ def _merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray):
     return doc[begins], first[begins], reach[np.r_[begins[1:], len(doc)] - 1]
 
 
-def _settle(gram, digest, doc, at):
+def _settle(gram, digest, doc, at, until):
     """Sorts rows and marks those that repeat a region of an earlier row."""
     order = np.lexsort((at, doc, digest, gram))
-    gram, digest, doc, at = gram[order], digest[order], doc[order], at[order]
+    gram, digest, doc, at, until = gram[order], digest[order], doc[order], at[order], until[order]
     again = np.r_[False, (gram[1:] == gram[:-1]) & (digest[1:] == digest[:-1])] if len(gram) else np.zeros(0, bool)
-    return gram, digest, doc, at, again
-
-
-def _region(at: np.ndarray):
-    """Interval of a region; its end may lie beyond the text and is cut there in the end."""
-    place = at & ROW_MASK
-    return at - np.minimum(place, REACH - 1), at + LENGTH
+    return gram, digest, doc, at, until, again
 
 
+#: ``until`` is the end of an interval known to repeat, or -(2 * end + own) of an open
+#: region, own if it may hold its minimizer twice. Places hold row numbers.
 MARKS = "gram long, digest long, doc long, at long, until long"
 _NAMES = ["gram", "digest", "doc", "at", "until"]
 
 
+def _end(until: np.ndarray) -> np.ndarray:
+    """End of an open region."""
+    return -until >> 1
+
+
 def _marks(gram, digest, doc, at, until) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.asarray(x, np.int64)) for x in (gram, digest, doc, at, until)], names=_NAMES)
 
@@ -144,31 +159,30 @@ def _intervals(doc, first, last) -> pa.RecordBatch:
     return _marks(spread, np.zeros(len(doc)), doc, first, last)
 
 
-def mark_minimizers(texts: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """``MARKS`` of ``doc, row, text``: minimizers (``until`` -1), and intervals known to repeat."""
+def mark_runs(texts: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """``MARKS`` of ``doc, row, text``: open regions, and intervals known to repeat."""
 
     def run(batches):
         held: list[tuple] = []
 
         def flush():
-            gram, digest, doc, at, again = _settle(*map(np.concatenate, zip(*held)))
+            *rows, again = _settle(*map(np.concatenate, zip(*held)))
             held.clear()
             if again.any():
-                yield _intervals(doc[again], *_region(at[again]))
-            new = ~again
-            for k in range(0, int(new.sum()), 200_000):
-                some = np.flatnonzero(new)[k : k + 200_000]
-                yield _marks(gram[some], digest[some], doc[some], at[some], np.full(len(some), -1))
+                yield _intervals(rows[2][again], rows[3][again], _end(rows[4][again]))
+            new = np.flatnonzero(~again)
+            for k in range(0, len(new), 100_000):
+                yield _marks(*[x[new[k : k + 100_000]] for x in rows])
 
         for batch in batches:
             keyed = pa.record_batch([pa.StructArray.from_arrays([batch.column(0), batch.column(1)], names=["doc", "row"]), batch.column(2)], names=["key", "text"])
-            for keys, some in text_blocks([keyed], 1 << 20):
+            for keys, some in text_blocks([keyed], 1 << 19):
                 offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1].astype(np.int64)
                 size = int(offsets[-1] - offsets[0])
                 data = np.frombuffer(some.buffers()[2], np.uint8, size, offset=int(offsets[0])) if size else np.zeros(0, np.uint8)
-                text, at, gram, digest = minimizers(data, offsets - offsets[0])
-                doc, row = np.asarray(keys.field(0)), np.asarray(keys.field(1))
-                held.append((gram, digest, doc[text], at + (row[text] << ROW_BITS)))
+                text, at, until, gram, digest, own = runs(data, offsets - offsets[0])
+                doc, high = np.asarray(keys.field(0))[text], np.asarray(keys.field(1))[text] << ROW_BITS
+                held.append((gram, digest, doc, at + high, -(2 * (until + high) + own)))
                 if sum(len(x[0]) for x in held) > most_rows:
                     yield from flush()
         if held:
@@ -178,22 +192,25 @@ def mark_minimizers(texts: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
 
 
 def settle_marks(marks: DataFrame) -> DataFrame:
-    """Intervals, and of minimizers that have different regions the first row of each region."""
+    """Intervals, and the first row of each region that may hold windows found elsewhere or twice."""
 
     def run(batches):
         held = [np.zeros(0, np.int64)] * 5
 
-        def settle(gram, digest, doc, at, until):
-            known = until >= 0
+        def settle(*rows):
+            known = rows[4] >= 0
             if known.any():
-                yield _intervals(doc[known], at[known], until[known])
-            gram, digest, doc, at, again = _settle(gram[~known], digest[~known], doc[~known], at[~known])
+                yield _intervals(rows[2][known], rows[3][known], rows[4][known])
+            *rows, again = _settle(*[x[~known] for x in rows])
             if again.any():
-                yield _intervals(doc[again], *_region(at[again]))
-            gram, digest, doc, at = gram[~again], digest[~again], doc[~again], at[~again]
-            shared = np.r_[gram[1:] == gram[:-1], False] if len(gram) else np.zeros(0, bool)
-            shared[1:] |= gram[1:] == gram[:-1]
-            yield _marks(gram[shared], digest[shared], doc[shared], at[shared], np.full(int(shared.sum()), -1))
+                yield _intervals(rows[2][again], rows[3][again], _end(rows[4][again]))
+            rows = [x[~again] for x in rows]
+            gram = rows[0]
+            open_ = (rows[4] & 1) == 1  # two's complement keeps the lowest bit
+            if len(gram):
+                open_[:-1] |= gram[1:] == gram[:-1]
+                open_[1:] |= gram[1:] == gram[:-1]
+            yield _marks(*[x[open_] for x in rows])
 
         for batch in batches:
             held = [np.concatenate([x, np.asarray(y)]) for x, y in zip(held, batch.columns)]
@@ -213,28 +230,27 @@ REGIONS = "gram long, doc long, at long, region binary"
 
 def regions_of(texts: DataFrame, open_marks: DataFrame) -> DataFrame:
     """The bytes of the regions of marks, as ``REGIONS``; ``at`` is where a region starts."""
-    per_row = open_marks.groupBy("doc", F.shiftright("at", ROW_BITS).alias("row")).agg(F.collect_list(F.struct("gram", "at")).alias("marks"))
+    per_row = open_marks.groupBy("doc", F.shiftright("at", ROW_BITS).alias("row")).agg(F.collect_list(F.struct("gram", "at", "until")).alias("marks"))
     joined = texts.join(per_row, ["doc", "row"]).select("doc", "text", "marks")
 
+    def made(grams, docs, ats, parts):
+        return pa.record_batch([pa.array(x, k) for x, k in ((grams, pa.int64()), (docs, pa.int64()), (ats, pa.int64()), (parts, pa.binary()))], names=["gram", "doc", "at", "region"])
+
     def run(batches):
         for batch in batches:
-            grams, docs, ats, out, size = [], [], [], [], 0
+            rows, size = [], 0
             for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 view, marks = text.as_buffer(), marks.values
-                gram, at = np.asarray(marks.field(0)), np.asarray(marks.field(1))
-                first, last = _region(at)
-                for g, a, b in zip(gram.tolist(), first.tolist(), last.tolist()):
-                    part = view[a & ROW_MASK : min(b & ROW_MASK, len(view))].to_pybytes()
-                    grams.append(g)
-                    docs.append(doc)
-                    ats.append(a)
-                    out.append(part)
-                    size += len(part)
-                if size > 4 << 20:
-                    yield pa.record_batch([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(out, pa.binary())], names=["gram", "doc", "at", "region"])
-                    grams, docs, ats, out, size = [], [], [], [], 0
-            if grams:
-                yield pa.record_batch([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(out, pa.binary())], names=["gram", "doc", "at", "region"])
+                for g, a, b in zip(marks.field(0).to_pylist(), marks.field(1).to_pylist(), _end(np.asarray(marks.field(2))).tolist()):
+                    for start in range(a, b - LENGTH + 1, PIECE):
+                        part = view[start & ROW_MASK : min(b, start + PIECE + LENGTH - 1) & ROW_MASK].to_pybytes()
+                        rows.append((g, doc, start, part))
+                        size += len(part)
+                    if size > 4 << 20:
+                        yield made(*zip(*rows))
+                        rows, size = [], 0
+            if rows:
+                yield made(*zip(*rows))
 
     return joined.mapInArrow(run, REGIONS)
 
@@ -267,7 +283,7 @@ def _repeats(order, doc: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: n
         yield settle(held_p, held_c)
 
 
-def sort_regions(regions: DataFrame, memory: int = 4 << 20) -> DataFrame:
+def sort_regions(regions: DataFrame, memory: int = 8 << 20) -> DataFrame:
     """Intervals found by sorting the suffixes of each shard of ``REGIONS``.
 
     A shard's text is written to a private scratch file of the task once it
@@ -309,18 +325,21 @@ def sort_regions(regions: DataFrame, memory: int = 4 << 20) -> DataFrame:
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """``doc, row, text``: the id (``NO_ID`` for null), a number among rows of one id, by text, and the bytes."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_of().cast("binary").alias("text"))
+    """``doc, row, text, document``: the id (``NO_ID`` for null), a number among the rows of one
+    id, by text, the bytes of the text, and all columns of ``docs``."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
+    texts = docs.select(doc, text_of().cast("binary").alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
     if not docs.groupBy(F.col("doc_id").cast("long")).count().filter("count > 1").isEmpty():
         row = F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1
-        return stage(texts.withColumn("row", row.cast("long")).select("doc", "row", "text"), "texts")
-    return texts.select("doc", F.lit(0).cast("long").alias("row"), "text")
+        return stage(texts.withColumn("row", row.cast("long")), "texts").select("doc", "row", "text", "document")
+    return texts.select("doc", F.lit(0).cast("long").alias("row"), "text", "document")
 
 
 def repeated_intervals(texts: DataFrame) -> DataFrame:
-    """``doc, row, spans``: intervals of each text that repeat earlier ones; ends may pass the text's."""
-    settled = stage(settle_marks(mark_minimizers(texts)), "repeat-marks")
-    sorted_ = sort_regions(regions_of(texts, settled.filter("until < 0").select("gram", "doc", "at")))
+    """``doc, row, spans``: intervals of each text that repeat earlier ones."""
+    texts = texts.select("doc", "row", "text")
+    settled = stage(settle_marks(mark_runs(texts)), "repeat-marks")
+    sorted_ = stage(sort_regions(regions_of(texts, settled.filter("until < 0").select("gram", "doc", "at", "until"))), "repeat-sorted")
     found = settled.filter("until >= 0").unionByName(sorted_).select("doc", F.shiftright("at", ROW_BITS).alias("row"), F.struct(F.col("at").bitwiseAND(ROW_MASK).alias("a"), (F.col("at").bitwiseAND(ROW_MASK) + F.col("until") - F.col("at")).alias("b")).alias("span"))
     return stage(found.groupBy("doc", "row").agg(F.collect_list("span").alias("spans")), "repeats")
 
@@ -363,6 +382,26 @@ def removed(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text that ``removed`` keeps and its ``n_chars``; other columns stay.
+
+    Characters that lost some of their bytes go. Documents of which nothing is
+    left go; those that lost nothing are unchanged, null texts included.
+    """
+    texts = keyed_texts(docs)
+    joined = texts.join(repeated_intervals(texts), ["doc", "row"], "left")
+
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, spans: pa.Array) -> pa.Array:
+        out = [_kept(memoryview(t.as_buffer()), s.values if s.is_valid else None) for t, s in zip(text, spans)]
+        return pa.array([None if n == 0 else b.decode("utf-8", "ignore") for b, n, _ in out], pa.string())
+
+    text = F.when(F.col("spans").isNull(), F.lit(None)).otherwise(kept("text", "spans"))
+    found = joined.select("document", text.alias("left")).filter(F.col("left").isNull() | (F.col("left") != ""))
+    new = {"text": F.coalesce("left", "document.text"), "n_chars": F.when(F.col("left").isNull(), F.col("document.n_chars")).otherwise(F.length("left").cast("long"))}
+    return found.select(*[new[c].alias(c) if c in new else F.col("document").getField(c).alias(c) for c in docs.columns])
+
+
 def _result(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])

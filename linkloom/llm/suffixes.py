@@ -24,6 +24,8 @@ from pathlib import Path
 import numpy as np
 
 NONE = np.zeros(0, np.int64)
+#: Most tuples worked on at once.
+BLOCK = 1 << 20
 
 
 class Fifo:
@@ -175,7 +177,7 @@ class Induction:
     """One pass over a text: induces the L suffixes from the left-most S ones, or the S ones from L."""
 
     def __init__(self, text: Text, scratch: Path, memory: int, cap: int, down: bool):
-        self.text, self.cap, self.down, self.block = text, cap, down, max(16, memory // 4)
+        self.text, self.cap, self.down, self.block = text, cap, down, max(16, min(memory // 4, BLOCK))
         self.queue = Queue(scratch, memory, down)
         #: Per first symbol: least common prefix scanned since its last tuple came.
         self.since: dict[int, int] = {}
@@ -236,10 +238,12 @@ class Induction:
 class Run:
     """Tuples of one first symbol in scan order, on disk if they are many."""
 
-    def __init__(self, scratch: Path, name: str, keep: bool):
+    def __init__(self, scratch: Path, name: str, keep: bool, n: int):
         self.parts, self.path, self.keep = [], scratch / name, keep
+        self.kind = np.int32 if n < 1 << 31 else np.int64
 
     def add(self, at: np.ndarray, common: np.ndarray) -> None:
+        at = at.astype(self.kind)
         if self.keep:
             self.parts.append((at, common))
         else:
@@ -251,12 +255,12 @@ class Run:
         for part in reversed(self.parts) if back else self.parts:
             if isinstance(part, Path):
                 with np.load(part) as file:
-                    yield file["at"], file["common"]
+                    yield file["at"].astype(np.int64), file["common"]
             else:
-                yield part
+                yield part[0].astype(np.int64), part[1]
 
 
-def _pass(text: Text, scratch: Path, memory: int, cap: int, down: bool, seeds: dict[int, Run], name: str):
+def _pass(text: Text, scratch: Path, memory: int, cap: int, down: bool, seeds: dict[int, Run], name: str, output: bool = True):
     """Runs per symbol of what is induced, and per symbol the positions that end a chain (left-most S)."""
     todo = Induction(text, scratch, memory, cap, down)
     if not down:
@@ -266,14 +270,15 @@ def _pass(text: Text, scratch: Path, memory: int, cap: int, down: bool, seeds: d
     runs, ends, keep = {}, {}, text.n <= memory
     while todo.queue.heap:
         s = todo.queue.sign * heapq.heappop(todo.queue.heap)
-        run, end = Run(scratch, f"{name}-{s}", keep), []
+        run, end = Run(scratch, f"{name}-{s}", keep, text.n), []
         last = None
         for s_ in todo.since:
             todo.since[s_] = 0  # nothing in common across first symbols
         for block in todo.queue.take(s):
             if last is None:
                 block[2][0] = 0
-            run.add(block[0], block[2])
+            if output:
+                run.add(block[0], block[2])
             unwanted = todo.scan(s, block, True)
             if down:
                 end.append(block[0][unwanted])
@@ -308,7 +313,7 @@ def suffix_order(symbols: np.ndarray, cap: int, memory: int, scratch: Path) -> I
     text = Text(symbols)
     if not text.n:
         return
-    stars = text.leftmost(max(16, memory))
+    stars = text.leftmost(max(16, min(memory, BLOCK)))
     ranked = _ranked(text, stars, cap, memory, scratch)
     common = np.zeros(len(ranked), np.uint8)
     for k in range(1, len(ranked), max(16, memory)):
@@ -338,7 +343,7 @@ def _by_symbol(text: Text, at: np.ndarray, common: np.ndarray, scratch: Path, na
     begins = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]]) if len(at) else NONE
     out = {}
     for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(at)]):
-        run = Run(scratch, name, True)
+        run = Run(scratch, name, True, text.n)
         first = common[order[a:b]].copy()
         first[:1] = 0
         run.add(at[order[a:b]], first)
@@ -352,8 +357,9 @@ def _ranked(text: Text, stars: np.ndarray, cap: int, memory: int, scratch: Path)
         return stars
     # Sort the substrings between left-most S positions by inducing from them unsorted.
     seeds = _by_symbol(text, stars, np.zeros(len(stars), np.uint8), scratch, "seed")
-    lower, _ = _pass(text, scratch, memory, 0, False, seeds, f"nl{text.bits}-{id(text)}")
-    _, ends = _pass(text, scratch, memory, 0, True, lower, f"ns{text.bits}-{id(text)}")
+    with tempfile.TemporaryDirectory(dir=scratch) as folder:
+        lower, _ = _pass(text, Path(folder), memory, 0, False, seeds, "names-l")
+        _, ends = _pass(text, Path(folder), memory, 0, True, lower, "names-s", output=False)
     ordered = np.concatenate([ends[s][::-1] for s in sorted(ends)])
     index = np.searchsorted(stars, ordered)
     length = np.diff(np.r_[stars, text.n]) + 1

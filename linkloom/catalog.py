@@ -1,6 +1,383 @@
-"""Registry of the library's queries and of their SQL oracles."""
+"""Registry of the library's queries over the star-schema tables, and their SQL oracles.
+
+Queries: customers; ads: parts; clicks: lines of orders. Oracles are DuckDB SQL,
+written from the formulas and independent of the operators.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.config import Params, single
+from linkloom.functions import NO_TEXT
+from linkloom.operators import evidence as ev
+from linkloom.operators import matrix, pageviews, relational, scoring, webgraph, weights
+from linkloom.plans import classic, similarity
+from linkloom.sources import adjacency
+from linkloom.sources.tables import CLICKS_SQL, DICTIONARY_SQL, LINKS_SQL, click_graph, normalised_keys, page_links, query_dictionary, table
+from linkloom.storage import stage
+
+#: Off the lattice of the products of click shares, so that no product equals it.
+THRESHOLD = 0.00101
+IN_PLACE = Params(threshold=THRESHOLD, iterations=2)
+JACOBI = Params(threshold=THRESHOLD, iterations=2, in_place=False)
+STOP_HOSTS = ["blog.tionsh.example.com", "m.casino-win.example.com", "free-bets.example.com"]
+LAST_DAY, WEEK, MIN_PV = date(2024, 1, 20), 7, 2
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as a query under its name, with its oracle."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def _number(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+TH, C = _number(single(THRESHOLD)), _number(single(0.6))
+
+STATS_SQL = f"""{CLICKS_SQL}, sq AS (
+    SELECT q, count(*) AS n, sum(clicks)::BIGINT AS total, exp(-((count(*) * sum(clicks * clicks) - sum(clicks) * sum(clicks))::DOUBLE / (count(*) * count(*))::DOUBLE)) AS spread FROM clicks GROUP BY q
+), sa AS (
+    SELECT a, count(*) AS n, sum(clicks)::BIGINT AS total, exp(-((count(*) * sum(clicks * clicks) - sum(clicks) * sum(clicks))::DOUBLE / (count(*) * count(*))::DOUBLE)) AS spread FROM clicks GROUP BY a
+)"""
+WEIGHTS_SQL = f"""{STATS_SQL}, wqa AS (
+    SELECT a AS i, q AS j, sa.spread * (clicks::DOUBLE / sq.total) AS v FROM clicks JOIN sq USING (q) JOIN sa USING (a)
+), waq AS (
+    SELECT q AS i, a AS j, sq.spread * (clicks::DOUBLE / sa.total) AS v FROM clicks JOIN sq USING (q) JOIN sa USING (a)
+)"""
+
+
+def _first_sql(p: str) -> str:
+    return f"SELECT x.j AS i, y.j AS j, CASE WHEN x.j = y.j THEN 1.0::DOUBLE ELSE sum(x.v * y.v * {C})::FLOAT::DOUBLE END AS v FROM {p} AS x JOIN {p} AS y ON x.i = y.i AND x.j >= y.j WHERE x.v * y.v * {C} >= {TH} GROUP BY x.j, y.j"
+
+
+def _next_sql(name: str, s: str, p: str) -> str:
+    return f"""{name}_e AS (SELECT i, j, v FROM {s} UNION ALL SELECT j, i, v FROM {s} WHERE i <> j),
+    {name}_m AS (SELECT x.i, y.j, sum(x.v * y.v * 1.0::DOUBLE)::FLOAT::DOUBLE AS v FROM {name}_e AS x JOIN {p} AS y ON x.j = y.i WHERE x.v * y.v * 1.0::DOUBLE >= {TH} GROUP BY x.i, y.j),
+    {name} AS (SELECT x.j AS i, y.j AS j, CASE WHEN x.j = y.j THEN 1.0::DOUBLE ELSE sum(x.v * y.v * {C})::FLOAT::DOUBLE END AS v
+        FROM {name}_m AS x JOIN {p} AS y ON x.i = y.i AND x.j >= y.j WHERE x.v * y.v * {C} >= {TH} GROUP BY x.j, y.j)"""
+
+
+IN_PLACE_SQL = f"{WEIGHTS_SQL}, a1 AS ({_first_sql('waq')}), {_next_sql('q2', 'a1', 'wqa')}"
+JACOBI_SQL = f"{WEIGHTS_SQL}, a1 AS ({_first_sql('waq')}), q1 AS ({_first_sql('wqa')}), {_next_sql('q2', 'a1', 'wqa')}, {_next_sql('a2', 'q1', 'waq')}"
+EVIDENCE_SQL = "ev AS (SELECT x.q AS q1, y.q AS q2, count(*) AS n, 1 - pow(2.0, -count(*)) AS e FROM clicks AS x JOIN clicks AS y ON x.a = y.a AND x.q < y.q GROUP BY 1, 2)"
+SCORES_SQL = f"{IN_PLACE_SQL}, {EVIDENCE_SQL}, scores AS (SELECT i, j, v * coalesce(e, 0.48::DOUBLE) AS v FROM q2 LEFT JOIN ev ON q1 = least(i, j) AND ev.q2 = greatest(i, j) WHERE i <> j)"
+MIRROR_SQL = f"{SCORES_SQL}, mirror AS (SELECT i, j, v FROM scores UNION ALL SELECT j, i, v FROM scores)"
+TEXT_SQL = f"""{DICTIONARY_SQL}, texts AS (
+    SELECT qid, norm_key || chr(3) || CASE WHEN norm_key <> '' AND raw_key IS NOT NULL THEN raw_key || chr(3) ELSE '' END || f || chr(3) || p AS text
+    FROM dictionary LEFT JOIN normalised USING (norm_key)
+)"""
+SCORE_TEXT_SQL = f"{MIRROR_SQL}, {TEXT_SQL}, st AS (SELECT i, j, v, coalesce(text, '{NO_TEXT}') AS text FROM mirror LEFT JOIN texts ON qid = j)"
+RANKED_SQL = f"""{SCORE_TEXT_SQL}, r AS (
+    SELECT i, j, text, v, max(v) OVER (PARTITION BY i) AS best, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS k FROM st
+), ranked AS (
+    SELECT i AS qid, string_agg(chr(1) || text || chr(2) || CASE WHEN k = 1 THEN '1.0' ELSE printf('%.6f', v / best) END, '' ORDER BY k) AS list FROM r GROUP BY i
+)"""
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    edges = stage(click_graph(spark, sf_dir), "clicks")
+    return edges, weights.weight_matrix(edges, "a", "q"), weights.weight_matrix(edges, "q", "a")
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_queries(click_graph(spark, sf_dir), IN_PLACE).scores
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.query_text(query_dictionary(spark, sf_dir), normalised_keys(spark, sf_dir))
+
+
+@query(f"WITH {CLICKS_SQL} SELECT q, a, clicks FROM clicks")
+def edges_clicks(spark, sf_dir):
+    return click_graph(spark, sf_dir)
+
+
+@query(f"WITH {CLICKS_SQL} SELECT q, a, clicks FROM clicks WHERE clicks >= 2")
+def click_threshold(spark, sf_dir):
+    return weights.filter_clicks(click_graph(spark, sf_dir), 2)
+
+
+@query(f"WITH {CLICKS_SQL} SELECT max(q) AS max_q, max(a) AS max_a FROM clicks")
+def max_ids(spark, sf_dir):
+    return weights.max_ids(click_graph(spark, sf_dir))
+
+
+@query(f"WITH {STATS_SQL} SELECT q, n, total, round(spread, 6) AS spread FROM sq")
+def node_stats_query(spark, sf_dir):
+    return weights.node_stats(click_graph(spark, sf_dir), "q").withColumn("spread", F.round("spread", 6))
+
+
+@query(f"WITH {STATS_SQL} SELECT a, n, total, round(spread, 6) AS spread FROM sa")
+def node_stats_ad(spark, sf_dir):
+    return weights.node_stats(click_graph(spark, sf_dir), "a").withColumn("spread", F.round("spread", 6))
+
+
+@query(f"WITH {WEIGHTS_SQL} SELECT i, j, round(v, 6) AS v FROM wqa")
+def weight_a2q(spark, sf_dir):
+    return _weights(spark, sf_dir)[1].withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {WEIGHTS_SQL} SELECT i, j, round(v, 6) AS v FROM waq")
+def weight_q2a(spark, sf_dir):
+    return _weights(spark, sf_dir)[2].withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {WEIGHTS_SQL} SELECT i, j, CAST(round(v, 6) AS FLOAT) AS v FROM wqa")
+def weight_a2q_single(spark, sf_dir):
+    return _weights(spark, sf_dir)[1].withColumn("v", F.round("v", 6).cast("float"))
+
+
+@query(f"WITH {CLICKS_SQL}, {EVIDENCE_SQL} SELECT q1, q2, n, e FROM ev")
+def evidence(spark, sf_dir):
+    return ev.evidence(click_graph(spark, sf_dir))
+
+
+@query(f"WITH {CLICKS_SQL} SELECT DISTINCT x.q AS q1, y.q AS q2 FROM clicks AS x JOIN clicks AS y ON x.a = y.a AND x.q < y.q")
+def query_pairs_distinct(spark, sf_dir):
+    return ev.query_pairs(click_graph(spark, sf_dir))
+
+
+@query(f"WITH {CLICKS_SQL} SELECT q AS id, string_agg(a::VARCHAR, ',' ORDER BY a) AS neighbours FROM clicks GROUP BY q")
+def adjacency_arrays(spark, sf_dir):
+    found = adjacency.adjacency_arrays(click_graph(spark, sf_dir), "q", "a")
+    return found.select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
+@query(f"WITH {CLICKS_SQL}, {EVIDENCE_SQL} SELECT q1, q2, e FROM ev UNION ALL SELECT q2, q1, e FROM ev")
+def evidence_intersect(spark, sf_dir):
+    edges = stage(click_graph(spark, sf_dir), "clicks")
+    return ev.evidence_of_arrays(ev.query_pairs(edges), adjacency.adjacency_arrays(edges, "q", "a"))
+
+
+@query(f"WITH {WEIGHTS_SQL} {_first_sql('wqa')}")
+def self_product_q2q(spark, sf_dir):
+    return similarity.first_step(_weights(spark, sf_dir)[1], IN_PLACE)
+
+
+@query(f"WITH {WEIGHTS_SQL} {_first_sql('waq')}")
+def self_product_a2a(spark, sf_dir):
+    return similarity.first_step(_weights(spark, sf_dir)[2], IN_PLACE)
+
+
+@query(f"WITH {WEIGHTS_SQL} SELECT x.i, y.j, sum(x.v * y.v * {C})::FLOAT::DOUBLE AS v FROM waq AS x JOIN wqa AS y ON x.j = y.i WHERE x.v * y.v * {C} >= {TH} GROUP BY x.i, y.j")
+def matmul_partial_prune(spark, sf_dir):
+    _, a2q, q2a = _weights(spark, sf_dir)
+    return matrix.product(q2a, a2q, IN_PLACE.threshold, IN_PLACE.decay)
+
+
+@query(f"WITH {WEIGHTS_SQL} SELECT x.i, y.j, round(sum(x.v * y.v) * {C}, 6) AS v FROM waq AS x JOIN wqa AS y ON x.j = y.i GROUP BY x.i, y.j HAVING sum(x.v * y.v) > {TH}")
+def matmul_sum_prune(spark, sf_dir):
+    _, a2q, q2a = _weights(spark, sf_dir)
+    return matrix.product(q2a, a2q, IN_PLACE.threshold, IN_PLACE.decay, prune="sum").withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {WEIGHTS_SQL} SELECT j AS i, i AS j, round(v, 6) AS v FROM wqa")
+def transpose(spark, sf_dir):
+    return matrix.transpose(_weights(spark, sf_dir)[1]).withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {WEIGHTS_SQL}, s AS ({_first_sql('waq')}) SELECT i, j, v FROM s UNION ALL SELECT j, i, v FROM s WHERE i <> j")
+def symmetric_expand(spark, sf_dir):
+    return matrix.expand_symmetric(stage(similarity.first_step(_weights(spark, sf_dir)[2], IN_PLACE), "first"))
+
+
+@query(f"WITH {IN_PLACE_SQL} SELECT i, j, v FROM q2")
+def simrank_inplace2(spark, sf_dir):
+    return similarity.iterate(*_weights(spark, sf_dir)[1:], IN_PLACE)[0]
+
+
+@query(f"WITH {JACOBI_SQL} SELECT 'query' AS side, i, j, v FROM q2 UNION ALL SELECT 'ad', i, j, v FROM a2")
+def simrank_jacobi2(spark, sf_dir):
+    queries, ads = similarity.iterate(*_weights(spark, sf_dir)[1:], JACOBI)
+    return queries.select(F.lit("query").alias("side"), "i", "j", "v").unionByName(ads.select(F.lit("ad").alias("side"), "i", "j", "v"))
+
+
+@query(f"WITH {SCORES_SQL} SELECT i, j, v FROM scores")
+def score_evidence(spark, sf_dir):
+    return _scores(spark, sf_dir)
+
+
+@query(f"WITH {MIRROR_SQL} SELECT i, j, v FROM mirror")
+def mirror_scores(spark, sf_dir):
+    return scoring.mirrored(_scores(spark, sf_dir))
+
+
+@query(f"WITH {MIRROR_SQL} SELECT i, j, round(v / max(v) OVER (PARTITION BY i), 6) AS v FROM mirror")
+def normalize_scores(spark, sf_dir):
+    return scoring.normalised(_scores(spark, sf_dir)).withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {TEXT_SQL} SELECT qid, text FROM texts")
+def query_text_left_join(spark, sf_dir):
+    return _texts(spark, sf_dir)
+
+
+@query(f"WITH {SCORE_TEXT_SQL} SELECT i, j, v, text FROM st")
+def score_text(spark, sf_dir):
+    return scoring.with_text(_scores(spark, sf_dir), _texts(spark, sf_dir))
+
+
+@query(f"WITH {RANKED_SQL} SELECT qid, list FROM ranked")
+def ranked_list(spark, sf_dir):
+    return scoring.ranked_lists(scoring.with_text(_scores(spark, sf_dir), _texts(spark, sf_dir)), "%.6f")
+
+
+@query(f"WITH {RANKED_SQL} SELECT qid, text || list AS value FROM ranked JOIN texts USING (qid)")
+def final_output(spark, sf_dir):
+    return similarity.ranked_lines(_scores(spark, sf_dir), _texts(spark, sf_dir), "%.6f")
+
+
+_A = "SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0"
+_B = "SELECT o_custkey AS key, max(o_totalprice) AS value FROM orders GROUP BY o_custkey"
+_C = "SELECT s_suppkey AS key, s_acctbal AS value FROM supplier"
+
+
+def _inputs(spark, sf_dir) -> list[DataFrame]:
+    a = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("value"))
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
+    return [a, b, c]
+
+
+@query(f"WITH a AS ({_A}), b AS ({_B}), c AS ({_C}) SELECT key, a.value AS value_1, b.value AS value_2, c.value AS value_3 FROM a JOIN b USING (key) JOIN c USING (key)")
+def join_inner(spark, sf_dir):
+    return relational.join_many(_inputs(spark, sf_dir), "key")
+
+
+@query(f"WITH a AS ({_A}), b AS ({_B}), c AS ({_C}) SELECT key, a.value AS value_1, b.value AS value_2, c.value AS value_3 FROM a FULL JOIN b USING (key) FULL JOIN c USING (key)")
+def join_outer(spark, sf_dir):
+    return relational.join_many(_inputs(spark, sf_dir), "key", "outer")
+
+
+@query(f"WITH a AS ({_A}), b AS ({_B}), c AS ({_C}) SELECT key, coalesce(c.value, b.value, a.value) AS value FROM a FULL JOIN b USING (key) FULL JOIN c USING (key)")
+def join_override(spark, sf_dir):
+    return relational.join_many(_inputs(spark, sf_dir), "key", "override")
+
+
+@query("SELECT o_totalprice, o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS ordinal FROM orders")
+def sort_total(spark, sf_dir):
+    return relational.with_ordinal(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), "o_totalprice", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders")
+def sort_partitioned(spark, sf_dir):
+    return relational.sort_partitions(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey")
+
+
+_HOST = "lower(split_part(split_part(split_part(split_part({}, '://', 2), '/', 1), '?', 1), '#', 1))"
+_HOSTS_SQL = f"{LINKS_SQL}, hosted AS (SELECT src, dst, weight, {_HOST.format('src')} AS sh, {_HOST.format('dst')} AS dh FROM links)"
+_STOP_SQL = ", ".join(f"'{h}'" for h in STOP_HOSTS)
+
+
+@query(f"WITH {LINKS_SQL} SELECT src, dst, max(weight) AS weight FROM links GROUP BY src, dst")
+def webgraph_max_edges(spark, sf_dir):
+    return webgraph.add_links(page_links(spark, sf_dir))
+
+
+@query(f"WITH {LINKS_SQL} SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM links UNION ALL SELECT dst, src, weight FROM links) GROUP BY src, dst")
+def webgraph_symmetrize(spark, sf_dir):
+    return webgraph.symmetrised(page_links(spark, sf_dir))
+
+
+@query(f"WITH {_HOSTS_SQL} SELECT src, dst, weight FROM hosted WHERE sh <> dh")
+def webgraph_remove_internal(spark, sf_dir):
+    return webgraph.without_internal(page_links(spark, sf_dir))
+
+
+@query(f"WITH {_HOSTS_SQL} SELECT src, dst, weight FROM hosted WHERE sh NOT IN ({_STOP_SQL}) AND dh NOT IN ({_STOP_SQL})")
+def webgraph_stop_hosts(spark, sf_dir):
+    stop = spark.range(1).select(F.explode(F.array(*map(F.lit, STOP_HOSTS))).alias("host"))
+    return webgraph.without_stop_hosts(page_links(spark, sf_dir), stop)
+
+
+@query(f"WITH {LINKS_SQL}, ends AS (SELECT src AS url, 0 AS i, 1 AS o FROM links UNION ALL SELECT dst, 1, 0 FROM links) SELECT url, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM ends GROUP BY url")
+def webgraph_degrees(spark, sf_dir):
+    return webgraph.degrees(page_links(spark, sf_dir))
+
+
+def _classic_sql() -> str:
+    sql = f"""WITH {_HOSTS_SQL}, g AS (SELECT DISTINCT sh AS src, dh AS dst FROM hosted WHERE sh <> dh),
+    fan AS (SELECT dst, count(*) AS n FROM g GROUP BY dst), node AS (SELECT src AS x FROM g UNION SELECT dst FROM g),
+    s0 AS (SELECT x, x AS y, 1.0::DOUBLE AS s FROM node)"""
+    for k in range(2):
+        sql += f""", f{k} AS (SELECT x, y, s FROM s{k} UNION ALL SELECT y, x, s FROM s{k} WHERE x <> y),
+        s{k + 1} AS (
+            SELECT a.dst AS x, b.dst AS y, 0.8::DOUBLE * sum(s) / (min(fa.n) + min(fb.n)) AS s
+            FROM f{k} JOIN g AS a ON a.src = x JOIN g AS b ON b.src = y AND a.dst > b.dst JOIN fan AS fa ON fa.dst = a.dst JOIN fan AS fb ON fb.dst = b.dst GROUP BY 1, 2
+            UNION ALL SELECT x, x, 1.0 FROM node)"""
+    return sql + " SELECT x, y, round(s, 6) AS s FROM s2"
+
+
+@query(_classic_sql())
+def classic_simrank(spark, sf_dir):
+    links = webgraph.host_graph(page_links(spark, sf_dir))
+    return classic.classic_simrank(links, iterations=2).withColumn("s", F.round("s", 6))
+
+
+_SETS = {"k": ["user_id"], "kb": ["user_id", "event_type"], "b": ["event_type"], "all": []}
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(F.to_date("ts").alias("day"), "user_id", "event_type").agg(F.count(F.lit(1)).alias("pv"))
+
+
+@query("""
+    SELECT CASE WHEN grouping(user_id) = 0 AND grouping(event_type) = 0 THEN 'kb' WHEN grouping(user_id) = 0 THEN 'k' WHEN grouping(event_type) = 0 THEN 'b' ELSE 'all' END AS kind,
+           coalesce(user_id, -1) AS user_id, event_type, count(*) AS pv
+    FROM events GROUP BY GROUPING SETS ((user_id), (user_id, event_type), (event_type), ())
+""")
+def pv_grouping_sets(spark, sf_dir):
+    return pageviews.roll_up(table(spark, sf_dir, "events").select("user_id", "event_type"), ["user_id", "event_type"], _SETS).withColumn("user_id", F.coalesce("user_id", F.lit(-1)))
+
+
+@query(f"""
+    SELECT user_id, event_type, count(*) AS pv FROM events
+    WHERE CAST(ts AS DATE) BETWEEN DATE '{LAST_DAY}' - {WEEK - 1} AND DATE '{LAST_DAY}' GROUP BY ALL HAVING count(*) >= {MIN_PV}
+""")
+def pv_accumulate_minpv(spark, sf_dir):
+    return pageviews.accumulate(_daily(spark, sf_dir), ["user_id", "event_type"], LAST_DAY, WEEK, MIN_PV)
+
+
+@query("SELECT user_id, count(*) AS pv FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY user_id")
+def pv_allow_list(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").filter("c_nationkey < 5").select("c_custkey")
+    return pageviews.allowed(table(spark, sf_dir, "events"), ids, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("pv"))
+
+
+@query("""
+    SELECT name, n AS rows, least, n >= least AS ok FROM (
+        SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS n, CAST(100 AS BIGINT) AS least
+        UNION ALL SELECT 'region', (SELECT count(*) FROM region), CAST(100 AS BIGINT)
+        UNION ALL SELECT 'events', (SELECT count(*) FROM events), CAST(10 AS BIGINT))
+""")
+def row_count_monitor(spark, sf_dir):
+    return relational.row_counts({n: table(spark, sf_dir, n) for n in ("orders", "region", "events")}, {"orders": 100, "region": 100, "events": 10})
+
+
+@query(f"WITH {CLICKS_SQL} SELECT q, a, clicks FROM clicks")
+def adjacency_round_trip(spark, sf_dir):
+    """Edges written as adjacency lines and parsed again."""
+    lines = adjacency.render_adjacency(click_graph(spark, sf_dir), "qas", "q", "a")
+    return adjacency.query_side(lines)
+
+
+@query(f"WITH {LINKS_SQL} SELECT DISTINCT url, {_HOST.format('url')} AS host FROM (SELECT src AS url FROM links UNION ALL SELECT dst FROM links)")
+def webgraph_nodes(spark, sf_dir):
+    return webgraph.nodes(page_links(spark, sf_dir)).select("url", "host")

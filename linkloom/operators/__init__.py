@@ -1,0 +1 @@
+"""Relational and matrix operators."""

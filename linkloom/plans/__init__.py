@@ -1,0 +1 @@
+"""Multi-step plans built from the operators."""

@@ -1,79 +1,23 @@
-"""Shared pieces of the training-data operators: staging, tables, word rules."""
+"""Shared pieces of the training-data operators: tables, word rules, staging."""
 
 from __future__ import annotations
 
-import atexit
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.storage import shared_dir, stage, staged_path, unstage
+
+__all__ = ["GAP", "WORD", "shared_dir", "ship", "stage", "staged_path", "table", "text_of", "unstage"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-#: Setting by which Spark deletes the shuffle files of a query when it ends.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (a local test) a temporary one is set.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="linkloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(_remove, spark, base)
-    return base.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder; a stopped session or a missing folder is no error."""
-    jsc = spark.sparkContext._jsc
-    if jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
-
-
-def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts lineage: what follows survives lost executors without recomputing
-    what went before, and sees one fixed version of the rows.
-    """
-    spark = df.sparkSession
-    path = staged_path(spark, name)
-    # What the rows were shuffled through is of no use once they are written.
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.mode("overwrite").options(**options).parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in frames:
-        if path := getattr(df, "_staged_path", None):
-            _remove(df.sparkSession, path)
-
-
 _SHIPPED: set[str] = set()
 
 

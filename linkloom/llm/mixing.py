@@ -49,40 +49,76 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _keyed(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds ``key``, a seeded hash of a row, and ``bucket``, its highest bits."""
+    key = F.xxhash64(F.lit(seed), "doc_id", "size")
+    return rows.withColumns({"key": key, "bucket": F.shiftrightunsigned(key, 64 - BUCKET_BITS).cast("int")})
+
+
+def mix_plan(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
+    """Per source of ``doc_id, source, size`` rows: ``source, source_size, target, whole, full_to, cut_bucket, cut_row``.
+
+    Every row is taken ``whole`` times, and once more if its bucket is ``full_to``
+    or less, or is ``cut_bucket`` and the row is ``cut_row`` or before it. The
+    cut is found from sums over hash buckets, at most 4096 a source; rows are
+    ordered only inside the one bucket a source that the target cuts.
+    """
+    base = _keyed(sizes, seed)
+    sums = stage(base.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    ratio = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
+    targets = targets.withColumn("whole", F.least(F.floor(ratio), F.lit(max_epochs)).cast("long"))
+    targets = stage(targets.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    filled = sums.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0))).alias("s").join(targets.alias("t"), same("s", "t")).select("t.*", "bucket", "below", "words")
+    full = (F.col("extra") > 0) & (F.col("below") + F.col("words") <= F.col("extra"))
+    cut = (F.col("below") < F.col("extra")) & (F.col("below") + F.col("words") > F.col("extra"))
+    marks = filled.groupBy("source", "source_size", "target", "whole", "extra").agg(
+        F.coalesce(F.max(F.when(full, F.col("bucket"))), F.lit(-1)).alias("full_to"), F.max(F.when(cut, F.col("bucket"))).alias("cut_bucket"), F.max(F.when(cut, F.col("below"))).alias("below")
+    )
+    marks = stage(marks, "mix-marks")
+    rows = base.alias("d").join(marks.filter("cut_bucket is not null").alias("m"), same("d", "m") & (F.col("d.bucket") == F.col("m.cut_bucket"))).select("d.*", "below", "extra")
+    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # A row is taken if more than half of it lies below the target.
+    rows = rows.withColumn("at", F.col("below") + F.coalesce(F.sum("size").over(inside), F.lit(0))).filter(F.col("at") + F.col("size") / 2 < F.col("extra"))
+    last = rows.groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("cut_row"))
+    plan = marks.alias("m").join(last.alias("l"), same("m", "l"), "left").select("m.source", "source_size", "target", "whole", "full_to", "cut_bucket", "cut_row")
+    return stage(plan, "mix-plan")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 9) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every document.
 
     Each document of a source is taken whole ``floor(target / source_size)``
     times; a seeded sample gets one copy more, so that the words of the sample
-    come as near the rest of the target as whole documents allow. The sample is
-    a prefix of the source in the order of a seeded hash. The prefix is found
-    from sums over hash buckets, and rows are ordered only inside the one bucket
-    a source that the target cuts, so no task ever holds a source.
+    come as near the rest of the target as whole documents allow.
 
     Null texts have size 0. Null sources are one source. A source of size 0 has
-    target 0 and takes nothing. Rows that repeat are separate rows.
+    target 0 and takes nothing. Rows that repeat are separate rows, unless they
+    agree in id and size: then they are taken or left together.
     """
-    base = stage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size")), "mix-sizes")
-    buckets = 1 << BUCKET_BITS
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    base = base.withColumns({"key": key, "bucket": F.shiftrightunsigned(key, 64 - BUCKET_BITS).cast("int")})
-    # Sums per source and bucket: at most 4096 rows a source.
-    sums = stage(base.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
-    targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
-    ratio = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
-    whole = F.least(F.floor(ratio), F.lit(max_epochs)).cast("long")
-    targets = stage(targets.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    plan = sums.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "below", "words", "source_size", "target", "whole", "extra")
-    plan = stage(plan.withColumn("cut", (F.col("below") < F.col("extra")) & (F.col("below") + F.col("words") > F.col("extra"))), "mix-plan")
-    marks = plan.select("source", "bucket", "below", "source_size", "target", "whole", "extra", "cut")
-    rows = base.alias("d").join(marks.alias("m"), F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.bucket") == F.col("m.bucket")))
-    rows = rows.select("doc_id", "d.source", "size", "d.key", "d.bucket", "below", "source_size", "target", "whole", "extra", "cut")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    # In the cut bucket: take a row if more than half of it lies below the target.
-    cut = rows.filter("cut").withColumn("at", F.col("below") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    cut = cut.withColumn("more", (F.col("at") + F.col("size") / 2 < F.col("extra")).cast("long")).drop("at")
-    rest = rows.filter("not cut").withColumn("more", (F.col("below") < F.col("extra")).cast("long"))
-    rows = rest.unionByName(cut).withColumn("copies", F.least(F.col("whole") + F.col("more"), F.lit(max_epochs)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sizes = stage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size")), "mix-sizes")
+    plan = mix_plan(sizes, weights, max_epochs, seed)
+    return _planned(sizes, plan, max_epochs, seed).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _planned(rows: DataFrame, plan: DataFrame, max_epochs: int, seed: int) -> DataFrame:
+    """``doc_id, source, size`` rows with ``source_size, target, copies`` and their other columns.
+
+    The plan is one row a source; Spark broadcasts it while it is under its
+    limit and else joins by sorting, splitting hot sources.
+    """
+    joined = _keyed(rows, seed).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    within = (F.col("bucket") == F.col("cut_bucket")) & (F.struct("key", "doc_id", "size") <= F.col("cut_row"))
+    more = (F.col("bucket") <= F.col("full_to")) | F.coalesce(within, F.lit(False))
+    copies = F.least(F.col("whole") + more.cast("long"), F.lit(max_epochs)).alias("copies")
+    return joined.select(*[F.col(f"d.{c}") for c in rows.columns], "source_size", "target", copies)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 9) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, with the columns of ``docs``."""
+    own = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"), F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
+    plan = mix_plan(stage(own.drop("document"), "mix-sizes"), weights, max_epochs, seed)
+    taken = _planned(own, plan, max_epochs, seed).filter("copies > 0")
+    return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("document.*")

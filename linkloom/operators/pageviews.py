@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def allowed(views: DataFrame, pids: DataFrame | list[int], column: str = "pid") -> DataFrame:
     """Views of the allowed ids: a list for a few, a frame of one column for many."""
     if isinstance(pids, DataFrame):
-        return views.join(pids.select(F.col(pids.columns[0]).alias(column)), column, "left_semi")
+        return views.join(pids.select(F.col(pids.columns[0]).alias(column)), column, "left_semi").select(*views.columns)
     return views.filter(F.col(column).isin(list(pids)))
 
 

@@ -59,7 +59,7 @@ class Encoder:
     older half goes, but for what is used again. Long pieces are never kept.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
@@ -144,7 +144,7 @@ def encoder_for(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
-def text_blocks(batches, most: int = 6 << 20):
+def text_blocks(batches, most: int = 4 << 20):
     """Per block of ``(doc_id, text as binary)`` rows, some ``most`` bytes of text at most: ids and texts."""
     for batch in batches:
         texts = batch.column(1)

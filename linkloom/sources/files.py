@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-SPLIT = "spark.sql.files.maxPartitionBytes"
 
+def _capped(spark: SparkSession, split_bytes: int | None) -> SparkSession:
+    """A session whose scans cut files into splits of at most ``split_bytes``.
 
-@contextmanager
-def _split_size(spark: SparkSession, split_bytes: int | None):
-    before = spark.conf.get(SPLIT)
-    if split_bytes:
-        spark.conf.set(SPLIT, str(split_bytes))
-    try:
-        yield
-    finally:
-        spark.conf.set(SPLIT, before)
+    A scan keeps the settings of the session that made it, also inside the plans
+    of other sessions of the same application.
+    """
+    if split_bytes is None:
+        return spark
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    session.conf.set("spark.sql.files.openCostInBytes", "0")
+    return session
 
 
 def scan_text(spark: SparkSession, *paths: str, split_bytes: int | None = None) -> DataFrame:
@@ -27,18 +26,12 @@ def scan_text(spark: SparkSession, *paths: str, split_bytes: int | None = None)
 
     Compressed files that cannot be split are one split each; empty files give no rows.
     """
-    with _split_size(spark, split_bytes):
-        df = spark.read.text(list(paths))
-        df._jdf.queryExecution().executedPlan()  # the split size is read when the plan is made
-        return df
+    return _capped(spark, split_bytes).read.text(list(paths))
 
 
 def scan_columns(spark: SparkSession, schema: StructType | str, *paths: str, split_bytes: int | None = None) -> DataFrame:
     """Parquet files (globs allowed) under a declared schema."""
-    with _split_size(spark, split_bytes):
-        df = spark.read.schema(schema).parquet(*paths)
-        df._jdf.queryExecution().executedPlan()
-        return df
+    return _capped(spark, split_bytes).read.schema(schema).parquet(*paths)
 
 
 def scan_tagged(spark: SparkSession, schema: StructType | str, paths: dict[str, str]) -> DataFrame:

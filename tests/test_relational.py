@@ -100,6 +100,8 @@ def test_files(spark, tmp_path):
     where = f"file://{tmp_path}"
     files.write_text(spark.createDataFrame([("a",), ("b",)], "value string"), f"{where}/t")
     assert rows(files.scan_text(spark, f"{where}/t", split_bytes=1)) == [("a",), ("b",)]
+    many = files.scan_text(spark, f"{where}/t", split_bytes=1).filter("value > ''")
+    assert many.rdd.getNumPartitions() > files.scan_text(spark, f"{where}/t").filter("value > ''").rdd.getNumPartitions()
     files.write_named({"one": spark.range(3), "two": spark.range(2)}, f"{where}/n")
     assert files.scan_columns(spark, "id long", f"{where}/n/o*").count() == 3
     assert rows(files.scan_tagged(spark, "id long", {"x": f"{where}/n/two"})) == [(0, "x"), (1, "x")]

@@ -21,9 +21,16 @@ GAP = r"[\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
 
 
+#: Rows of a batch between the JVM and Python, where the session has Spark's default:
+#: documents are long, and a batch lies in memory on both sides.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python, once a Spark application."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1024")
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

@@ -87,7 +87,7 @@ def runs(data: np.ndarray, bounds: np.ndarray):
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
         return empty, empty, empty, empty, empty, np.zeros(0, bool)
-    up, down = _powers(1 << max(20, (n + 1).bit_length()))
+    up, down = _powers(1 << max(19, (n + 1).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_values()[data] * up[:n])])
     grams = _mix((sums[GRAM:] - sums[: n - GRAM + 1]) * down[: n - GRAM + 1]) | np.uint64(1)
     least = _window(np.minimum, grams, REACH)  # one for each window start
@@ -159,7 +159,7 @@ def _intervals(doc, first, last) -> pa.RecordBatch:
     return _marks(spread, np.zeros(len(doc)), doc, first, last)
 
 
-def mark_runs(texts: DataFrame, most_rows: int = 500_000) -> DataFrame:
+def mark_runs(texts: DataFrame, most_rows: int = 250_000) -> DataFrame:
     """``MARKS`` of ``doc, row, text``: open regions, and intervals known to repeat."""
 
     def run(batches):
@@ -176,7 +176,7 @@ def mark_runs(texts: DataFrame, most_rows: int = 500_000) -> DataFrame:
 
         for batch in batches:
             keyed = pa.record_batch([pa.StructArray.from_arrays([batch.column(0), batch.column(1)], names=["doc", "row"]), batch.column(2)], names=["key", "text"])
-            for keys, some in text_blocks([keyed], 1 << 19):
+            for keys, some in text_blocks([keyed], 1 << 18):
                 offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1].astype(np.int64)
                 size = int(offsets[-1] - offsets[0])
                 data = np.frombuffer(some.buffers()[2], np.uint8, size, offset=int(offsets[0])) if size else np.zeros(0, np.uint8)
@@ -255,9 +255,8 @@ def regions_of(texts: DataFrame, open_marks: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, REGIONS)
 
 
-def _repeats(order, doc: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray):
+def _repeats(order, doc: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray, most: int = 200_000):
     """Windows of a sorted shard that also start earlier: (doc, place), a block at a time."""
-    held_p, held_c = np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def settle(place, common):
         region = np.searchsorted(begins, place, side="right") - 1
@@ -272,56 +271,113 @@ def _repeats(order, doc: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: n
         later = (d != d[source]) | (a != a[source])
         return d[later], a[later]
 
+    held, size = [], 0
     for place, common in order:
-        held_p, held_c = np.concatenate([held_p, place]), np.concatenate([held_c, common])
-        cut = np.flatnonzero(held_c < LENGTH)
-        cut = int(cut[-1]) if len(cut) else 0  # the last group may go on
-        if cut > 1_000_000 or cut and len(place) == 0:
-            yield settle(held_p[:cut], held_c[:cut])
-            held_p, held_c = held_p[cut:], held_c[cut:]
-    if len(held_p):
-        yield settle(held_p, held_c)
-
-
-def sort_regions(regions: DataFrame, memory: int = 8 << 20) -> DataFrame:
-    """Intervals found by sorting the suffixes of each shard of ``REGIONS``.
-
-    A shard's text is written to a private scratch file of the task once it
-    exceeds ``memory`` bytes, and is sorted with at most ``memory`` tuples held by
-    each queue; the scratch folder goes when the task ends, however it ends.
+        held.append((place, common))
+        size += len(place)
+        if size >= most:
+            place, common = map(np.concatenate, zip(*held))
+            cut = np.flatnonzero(common < LENGTH)
+            cut = int(cut[-1]) if len(cut) else 0  # the last group may go on
+            if cut:
+                yield settle(place[:cut], common[:cut])
+            held, size = [(place[cut:], common[cut:])], 0
+    if held:
+        yield settle(*map(np.concatenate, zip(*held)))
+
+
+class Shard:
+    """Regions of a shard; their text goes to a scratch file once it exceeds ``memory`` bytes."""
+
+    def __init__(self, folder: Path, memory: int):
+        self.folder, self.memory = folder, memory
+        self.parts, self.columns, self.size, self.held, self.file = [], [], 0, 0, None
+
+    def add(self, doc: np.ndarray, at: np.ndarray, regions: pa.Array) -> None:
+        if not len(regions):
+            return
+        offsets = np.frombuffer(regions.buffers()[1], np.int32)[regions.offset : regions.offset + len(regions) + 1].astype(np.int64)
+        data = np.frombuffer(regions.buffers()[2], np.uint8, int(offsets[-1] - offsets[0]), offset=int(offsets[0]))
+        # A byte that UTF-8 never has makes room for the separator, which sorts first.
+        self.parts.append(np.insert(data + np.uint8(1), offsets[1:] - offsets[0], 0).tobytes())
+        self.columns.append((doc, at, np.diff(offsets)))
+        self.size += len(self.parts[-1])
+        self.held += len(self.parts[-1])
+        if self.held > self.memory:
+            self.file = self.file or open(self.folder / "text", "wb")
+            self.file.write(b"".join(self.parts))
+            self.parts, self.held = [], 0
+
+    def repeats(self):
+        """Marks of the intervals found by sorting all suffixes."""
+        if not self.size:
+            return
+        if self.file:
+            self.file.write(b"".join(self.parts))
+            self.file.close()
+            symbols = np.memmap(self.folder / "text", np.uint8, "r")
+        else:
+            symbols = np.frombuffer(b"".join(self.parts), np.uint8)
+        self.parts = []
+        doc, at, length = map(np.concatenate, zip(*self.columns))
+        begins = np.cumsum(length + 1) - length - 1
+        for d, a in _repeats(suffix_order(symbols, LENGTH, self.memory, self.folder), doc, at, begins, begins + length):
+            if len(d):
+                yield _intervals(d, a, a + LENGTH)
+
+
+def sort_regions(regions: DataFrame, shard_bytes: int = 3 << 19, memory: int = 8 << 20) -> DataFrame:
+    """Intervals found by sorting the suffixes of shards of ``REGIONS``.
+
+    A shard holds whole minimizers, of ``shard_bytes`` together, or a single one of
+    any size. Beyond ``memory`` bytes its text lies in a scratch file, and its
+    sort holds at most ``memory`` tuples in each queue. The scratch folder is
+    private to the task and goes when the shard is done, however it ends.
     """
 
     def run(batches):
-        with tempfile.TemporaryDirectory(prefix="shard-") as folder:
-            scratch, parts, docs, ats, sizes, size, file = Path(folder), [], [], [], [], 0, None
-            for batch in batches:
-                lengths = np.fromiter((len(x.as_buffer()) for x in batch.column(3)), np.int64, batch.num_rows)
-                docs.append(np.asarray(batch.column(1)))
-                ats.append(np.asarray(batch.column(2)))
-                sizes.append(lengths)
-                # A byte that UTF-8 never has makes room for the separator, which sorts first.
-                parts.append(b"\0".join((np.frombuffer(x.as_buffer(), np.uint8) + 1).tobytes() for x in batch.column(3)) + b"\0")
-                size += len(parts[-1])
-                if size > memory:
-                    file = file or open(scratch / "text", "wb")
-                    file.write(b"".join(parts))
-                    parts.clear()
-            if not size:
-                return
-            if file:
-                file.write(b"".join(parts))
-                file.close()
-                symbols = np.memmap(scratch / "text", np.uint8, "r")
-            else:
-                symbols = np.frombuffer(b"".join(parts), np.uint8)
-            doc, at, length = map(np.concatenate, (docs, ats, sizes))
-            begins = np.cumsum(length + 1) - length - 1
-            for d, a in _repeats(suffix_order(symbols, LENGTH, memory, scratch), doc, at, begins, begins + length):
-                if len(d):
-                    yield _intervals(d, a, a + LENGTH)
-            del symbols
-
-    return regions.repartition("gram").mapInArrow(run, MARKS)
+        def sort(rows):
+            with tempfile.TemporaryDirectory(prefix="shard-") as folder:
+                shard = Shard(Path(folder), memory)
+                for row in rows:
+                    shard.add(*row)
+                yield from shard.repeats()
+
+        def cut():
+            """Per shard, a stream of its (doc, at, regions)."""
+            left = iter(batches)
+            rest, last = None, None
+            while True:
+                batch = rest if rest is not None else next(left, None)
+                if batch is None:
+                    return
+                size = 0
+
+                def rows(batch=batch):
+                    nonlocal rest, last, size
+                    while batch is not None:
+                        rest, gram = None, np.asarray(batch.column(0))
+                        if size >= shard_bytes and len(gram):
+                            change = np.flatnonzero(gram != last)
+                            if len(change):
+                                at = int(change[0])
+                                rest = batch.slice(at)
+                                batch = batch.slice(0, at)
+                        yield np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3)
+                        if rest is not None:
+                            return
+                        size += batch.column(3).nbytes
+                        last = gram[-1] if len(gram) else last
+                        batch = next(left, None)
+
+                yield rows()
+                if rest is None:
+                    return
+
+        for rows in cut():
+            yield from sort(rows)
+
+    return regions.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, MARKS)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 10: quality classifier by co-training.
 
 Two classifiers see different sides of a document: its text (shares of kinds of
-characters, repetition, hashed words) and its metadata (language, source,
+characters, on a logarithmic scale, repetition, hashed words) and its metadata (language, source,
 length). Over some rounds each labels the unlabelled documents that it is sure
 about for the other. Both are then weighed by a logistic model of their scores on
 labelled documents that neither was fitted on, and all documents are scored.
@@ -84,7 +84,7 @@ def text_features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     new = np.r_[True, (w[1:] != w[:-1]) | (o[1:] != o[:-1])][: len(w)]
     distinct = np.bincount(o[new], minlength=n)
     per_byte, per_word = np.maximum(sizes, 1)[:, None], np.maximum(n_words, 1)
-    dense = np.column_stack([kinds / per_byte, sizes / per_word / 10, distinct / per_word, np.log1p(n_words), n_words < 10])
+    dense = np.column_stack([np.log1p(100 * kinds / per_byte), sizes / per_word / 10, distinct / per_word, np.log1p(n_words), n_words < 10])
     return np.hstack([dense, buckets / per_word[:, None]]).astype(np.float32)
 
 
@@ -113,8 +113,12 @@ class Linear:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> Linear:
-        """Ridge-penalised likelihood by Newton's steps, halved while they overshoot."""
-        mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+        """Ridge-penalised likelihood by Newton's steps, halved while they overshoot.
+
+        Columns of little spread, such as single words, are not blown up to unit
+        scale, so the penalty holds them down unless many documents speak for them.
+        """
+        mean, scale = x.mean(0), np.maximum(x.std(0), 0.1)
         z = np.hstack([((x - mean) / scale).astype(np.float64), np.ones((len(x), 1))])
         penalty = np.r_[np.full(x.shape[1], ridge), 1e-6]
         w = np.zeros(z.shape[1])
@@ -190,7 +194,7 @@ def _features(texts: pa.Array) -> np.ndarray:
     if not len(texts):
         return np.zeros((0, DENSE + BUCKETS), np.float32)
     batch = pa.record_batch([pa.nulls(len(texts)), texts], names=["k", "t"])
-    return np.vstack([text_features(*_offsets(t)) for _, t in text_blocks([batch], 1 << 20)])
+    return np.vstack([text_features(*_offsets(t)) for _, t in text_blocks([batch], 1 << 18)])
 
 
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model | None:

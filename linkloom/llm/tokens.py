@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,11 @@ def _lead_table() -> np.ndarray:
 _LEADS = _lead_table()
 
 
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+#: ASCII marks but the apostrophe, which may begin a contraction.
+_MARK = np.isin(np.arange(256), [x for x in range(0x21, 0x7F) if not chr(x).isalnum() and chr(x) != "'"])
+
+
 def _solid_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether the character that ends before each place is in ``SOLID``."""
     one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
@@ -52,18 +58,29 @@ class Encoder:
     """Encodes whole texts with a byte-level BPE of the ``tokenizers`` library.
 
     A byte-level pre-tokenizer always breaks before one space that stands
-    between two visible characters, and on both sides of one line feed that
-    does. A block of texts is cut at such places, each distinct piece is encoded
+    between two visible characters, on both sides of one line feed that does, and
+    between a letter and a mark other than an apostrophe. A block of texts is cut at such places, each distinct piece is encoded
     once, and the ids of the pieces are put together in arrays: the ids are
-    those of the whole texts. Known pieces are kept, up to ``limit``; then the
-    older half goes, but for what is used again. Long pieces are never kept.
+    those of the whole texts. Known pieces and their ids are kept in arrays, up to
+    ``limit`` pieces; then the half that was not used for longest goes. Long
+    pieces are not kept.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
+        self.tokenizer, self.limit, self.block = Tokenizer.from_file(path), limit, 0
+        self.keys = pa.array([], pa.binary())
+        #: Per known piece: where its ids begin in ``flat``, how many they are, and the block of its last use.
+        self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, "<u4")
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # Strings that the tokenizer takes as one token are not cut inside.
+        fixed = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in fixed for c in t):
+            raise ValueError("the tokenizer has added tokens with white space")
+        self.mark = _MARK.copy()
+        self.mark[[ord(b) for t in fixed for a, b in zip(t, t[1:]) if a.isalpha() and ord(b) < 128]] = False
 
     def _new(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces as bytes. Pieces that a line feed parts cleanly go in one call."""
@@ -83,21 +100,32 @@ class Encoder:
                 out[i] = data[a:b]
         return out
 
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        known, older = self.known, self.older
-        out = [known.get(p) for p in pieces]
-        lost = [i for i, x in enumerate(out) if x is None]
-        new = [i for i in lost if pieces[i] not in older]
-        for i, x in zip(new, self._new([pieces[i] for i in new])):
-            out[i] = x
-        for i in lost:
-            if out[i] is None:
-                out[i] = older[pieces[i]]
-            if len(pieces[i]) <= 48:
-                known[pieces[i]] = out[i]
-        if len(known) > self.limit:
-            self.older, self.known = known, {}
-        return out
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct pieces: an array of ids, and where in it those of each begin and how many they are."""
+        self.block += 1
+        at = np.asarray(pc.index_in(pieces, value_set=self.keys).fill_null(-1))
+        lost = np.flatnonzero(at < 0)
+        missing = pieces.take(pa.array(lost))
+        new = self._new(missing.to_pylist())
+        sizes, flat = np.fromiter(map(len, new), np.int64, len(new)) // 4, np.concatenate([self.flat, np.frombuffer(b"".join(new), "<u4")])
+        begins = len(self.flat) + np.cumsum(sizes) - sizes
+        begin, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        found = at >= 0
+        begin[found], size[found] = self.begin[at[found]], self.size[at[found]]
+        begin[lost], size[lost] = begins, sizes
+        self.used[at[found]] = self.block
+        short = np.flatnonzero(np.asarray(pc.binary_length(missing)) <= 48)
+        self.keys = pa.concat_arrays([self.keys, missing.take(pa.array(short))])
+        self.begin, self.size = np.concatenate([self.begin, begins[short]]), np.concatenate([self.size, sizes[short]])
+        self.used = np.concatenate([self.used, np.full(len(short), self.block, np.int32)])
+        self.flat = flat
+        if len(self.keys) > self.limit:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+            many = self.size[keep]
+            upto = np.cumsum(many) - many
+            self.flat = flat[np.arange(int(many.sum())) + np.repeat(self.begin[keep] - upto, many)]
+            self.keys, self.begin, self.size, self.used = self.keys.take(pa.array(keep)), upto, many, self.used[keep]
+        return flat, begin, size
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8, no nulls), each with ``end_id`` after it, and the bounds of each."""
@@ -111,7 +139,8 @@ class Encoder:
         inner = gaps[(gaps > 0) & (gaps < size - 1)]
         inner = inner[~first[inner] & ~first[inner + 1]]
         inner = inner[_LEADS[data[inner + 1]] & _solid_before(data, inner)]
-        # The character before must belong to the same text; a cut text end is caught by ``first``.
+        marks = np.flatnonzero(_LETTER[data[:-1]] & self.mark[data[1:]]) + 1
+        first[marks] = True
         first[inner] = True
         first[inner[data[inner] == 0x0A] + 1] = True
         first[size] = True
@@ -120,10 +149,7 @@ class Encoder:
         if n > 0:
             pieces = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
             which = np.asarray(pieces.indices)
-            ids = self._ids(pieces.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            begins = np.cumsum(sizes) - sizes
+            flat, begins, sizes = self._ids(pieces.dictionary)
             many = sizes[which]
         else:
             which, flat, begins, many = np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .bktree import linked
 from .common import stage, text_of
 from .components import connected_components
+from .similar import similar_documents
 
 SEED, RADIUS = 42, 3
 #: (lowest bit, bits) of the five blocks.
@@ -115,9 +116,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its component, one row an id.
 
-    Rows without ``doc_id`` cannot be told apart by it and stay.
+    Links are those of ``similar_documents``, not the radius of operator 6. Rows
+    without ``doc_id`` cannot be told apart by it and stay.
     """
-    found = near_duplicates(docs)
+    found = similar_documents(docs)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     known = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

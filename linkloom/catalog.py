@@ -249,7 +249,7 @@ _C = "SELECT s_suppkey AS key, s_acctbal AS value FROM supplier"
 
 
 def _inputs(spark, sf_dir) -> list[DataFrame]:
-    a = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
     b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("value"))
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
     return [a, b, c]

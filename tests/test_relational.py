@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom import catalog
 from linkloom.operators import pageviews, relational, webgraph
 from linkloom.sources import adjacency, files
 
@@ -118,3 +119,25 @@ def test_stream(spark, tmp_path):
     events = stream.read_events(spark, f"file://{tmp_path}/in", "ts timestamp, k string")
     stream.write_daily(stream.daily_views(events, ["k"]), f"file://{tmp_path}/out", f"file://{tmp_path}/c").awaitTermination()
     assert [(r["k"], r["pv"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("a", 2)]
+
+
+def test_registered_joins_take_whole_tables(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    a = {r["c_custkey"]: r["c_acctbal"] for r in read("customer").collect()}
+    b = {}
+    for r in read("orders").collect():
+        b[r["o_custkey"]] = max(r["o_totalprice"], b.get(r["o_custkey"], r["o_totalprice"]))
+    c = {r["s_suppkey"]: r["s_acctbal"] for r in read("supplier").collect()}
+    got = {name: rows(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) for name in ("join_inner", "join_outer", "join_override")}
+    keys = set(a) | set(b) | set(c)
+    assert any(k % 2 for k in a)
+    assert got["join_inner"] == sorted([(k, a[k], b[k], c[k]) for k in set(a) & set(b) & set(c)], key=str)
+    assert got["join_outer"] == sorted([(k, a.get(k), b.get(k), c.get(k)) for k in keys], key=str)
+    assert got["join_override"] == sorted([(k, c.get(k, b.get(k, a.get(k)))) for k in keys], key=str)
+
+
+def test_joins_of_unmatched_keys(spark):
+    inputs = [spark.createDataFrame(x, "key long, value double") for x in ([(1, 1.0), (2, 2.0)], [(2, 3.0), (3, 4.0)], [(2, 5.0), (4, 6.0)])]
+    assert rows(relational.join_many(inputs, "key")) == [(2, 2.0, 3.0, 5.0)]
+    assert rows(relational.join_many(inputs, "key", "outer")) == sorted([(1, 1.0, None, None), (2, 2.0, 3.0, 5.0), (3, None, 4.0, None), (4, None, None, 6.0)], key=str)
+    assert rows(relational.join_many(inputs, "key", "override")) == [(1, 1.0), (2, 5.0), (3, 4.0), (4, 6.0)]

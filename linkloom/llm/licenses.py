@@ -39,6 +39,9 @@ NOTICES = {
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+#: Notices of fewer words than a shingle: their whole word sequence is their one shingle.
+SHORT_NOTICES = {"all-rights-reserved": "All rights reserved."}
+
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -63,6 +66,11 @@ def templates_of(notices: dict[str, str]) -> list[Template]:
     return out
 
 
+def short_templates_of(notices: dict[str, str]) -> list[Template]:
+    """Templates of one shingle, the whole words of an ASCII notice."""
+    return [Template(name, tuple("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())) for name, text in sorted(notices.items())]
+
+
 def plain_words(text: Column) -> Column:
     """Runs of letters and digits, A-Z lower-cased."""
     return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(f"({_WORD})"), F.lit(1))
@@ -94,13 +102,27 @@ def _template_bands(spark: SparkSession, templates: list[Template]) -> DataFrame
     return table.select("*", F.posexplode(_signature(F.col("shingles"))).alias("band", "value"))
 
 
-def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, containment: float = 0.8) -> DataFrame:
+def _short(docs: DataFrame, template: Template) -> DataFrame:
+    """``doc_id, name, m, at, shared`` of a notice shorter than a shingle; its m is 1."""
+    text, n = text_of(), len(template.words)
+    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    # Its longest word stands in a text that holds it, so other texts need no words.
+    near = docs.filter(F.contains(lower, F.lit(max(template.words, key=len))))
+    same = lambda w: lambda i: reduce(lambda a, b: a & b, [F.get(w, i + k) == word for k, word in enumerate(template.words)])
+    places = bound(plain_words(text), lambda w: F.filter(_numbers(F.size(w) - (n - 1)), same(w)))
+    starts = F.filter(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i - 1, i)))), lambda k: k >= 0)
+    found = near.select(F.col("doc_id").cast("long"), F.explode(starts).alias("at"))
+    return found.select("doc_id", F.lit(template.name).alias("name"), F.lit(1).cast("long").alias("m"), "at", F.lit(1).cast("long").alias("shared"))
+
+
+def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, containment: float = 0.8, short: dict[str, str] = SHORT_NOTICES) -> DataFrame:
     """``doc_id, license, n_shingles, best_shared, n_windows, first_word`` of every match.
 
     A document matches a template if a window holds ``containment`` of its
     shingles; ``best_shared`` is the most any window holds, ``first_word`` the
-    first word of the first matching window. Null texts and texts of fewer than
-    five words match nothing; rows that share a ``doc_id`` are reported together.
+    first word of the first matching window. ``short`` notices, of fewer than five
+    words, count as one shingle. Null texts match nothing, and texts of fewer than
+    five words none but those; rows that share a ``doc_id`` are reported together.
     """
     spark, templates = docs.sparkSession, templates_of(notices)
     sizes = sorted({len(t.shingles) for t in templates})
@@ -126,6 +148,8 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, containment: float
     found = bands.join(F.broadcast(_template_bands(spark, templates)), ["m", "band", "value"])
     shared = F.size(F.array_intersect("held", "shingles")).cast("long")
     verified = found.select("doc_id", "name", F.col("m").cast("long").alias("m"), "at", shared.alias("shared")).filter(F.col("shared") >= F.lit(containment) * F.col("m"))
+    for template in short_templates_of(short):
+        verified = verified.unionByName(_short(docs, template))
     each = verified.groupBy("doc_id", "name", "m", "at").agg(F.max("shared").alias("shared"))
     return each.groupBy("doc_id", F.col("name").alias("license"), F.col("m").alias("n_shingles")).agg(
         F.max("shared").alias("best_shared"), F.count(F.lit(1)).alias("n_windows"), F.min("at").cast("long").alias("first_word")

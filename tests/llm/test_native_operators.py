@@ -150,6 +150,12 @@ def test_licenses(spark):
         licenses.templates_of({"short": "too few words"})
 
 
+def test_short_license_notice(spark):
+    rows = [(1, "Some text.\nAll rights reserved."), (2, "all RIGHTS, reserved"), (3, "all rights are reserved"), (4, "overall rights reserved"), (5, None), (6, "All rights reserved. x y z. ALL rights reserved"), (7, "all rights reservedly")]
+    got = sorted((r["doc_id"], r["license"], r["n_shingles"], r["best_shared"], r["n_windows"], r["first_word"]) for r in licenses.scan(docs_of(spark, rows)).collect())
+    assert got == [(1, "all-rights-reserved", 1, 1, 2, 1), (2, "all-rights-reserved", 1, 1, 1, 0), (6, "all-rights-reserved", 1, 1, 3, 0)]
+
+
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
     """Rounds of sharing until no source is above its cap."""
     names = sorted(sizes, key=lambda s: (s is None, s))

@@ -143,7 +143,7 @@ def fit_mcd(rows: DataFrame, features: list[str], floors: list[float], alpha: fl
 
 #: The five statistics in thousandths, and the standard deviations added to each.
 FEATURES = ["x_length", "x_word", "x_symbols", "x_lines", "x_repeats"]
-FLOORS = [200.0, 500.0, 250.0, 250.0, 120.0]
+FLOORS = [200.0, 500.0, 250.0, 75.0, 65.0]
 
 
 def statistics(docs: DataFrame) -> DataFrame:

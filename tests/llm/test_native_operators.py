@@ -87,6 +87,18 @@ def test_rules_of_table(spark):
     assert sum(not r[7] for r in judged if labels[r[0]] == 0) > 0.9 * sum(labels[r[0]] == 0 for r in judged)
 
 
+def test_rules_reject_repetition_alone(spark):
+    rng = np.random.default_rng(7)
+    prose = lambda n: [f"{'abcdefgh'[rng.integers(8)]}{rng.integers(100_000, 999_999)}" for _ in range(n)]
+    rows = [(i, " ".join(prose(int(rng.integers(200, 500)))), "en", "s") for i in range(200)]
+    phrase = prose(15)
+    repeats = " ".join(prose(155) + phrase * 9)  # 45% of the words, no line twice
+    lines = "\n".join([" ".join(prose(10)) for _ in range(30)] + ["x"] * 21)  # 20 duplicate lines, few repeated words
+    got = {r[0]: r for r in rule_rows(docs_of(spark, rows + [(1000, repeats, "en", "s"), (1001, lines, "en", "s")]))}
+    assert not got[1000][6] and not got[1001][6]
+    assert not got[1000][7] and not got[1001][7] and all(got[i][7] for i in range(200))
+
+
 def test_chi_square():
     assert outliers.chi2_quantile(0.95, 1) == pytest.approx(3.8415, abs=1e-3)
     assert outliers.chi2_quantile(0.999, 5) == pytest.approx(20.515, abs=1e-3)

@@ -23,7 +23,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes that 100-byte strings repeat from earlier."""
-    return substrings.removed(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.removed(table(spark, sf_dir, "documents"), kept=False)
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

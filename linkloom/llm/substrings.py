@@ -4,19 +4,19 @@ A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts
 earlier, in a document of smaller id or before in the same one.
 
 1. Every window of ``LENGTH`` bytes has a minimizer: the least hash of the
-   ``GRAM``-byte strings in it. Equal windows have equal minimizers.
-2. Neighbouring windows of one minimizer form a run; the bytes that they cover are
-   its region. Equal regions are settled by their digests: all but the first are
-   repeats. That is done in each task before the shuffle, and again for what is
-   left after it, so a passage that many documents share costs each of them a
-   row, not a suffix.
-3. Different regions of one minimizer, which lie at the ends of repeated passages,
-   and regions that hold their minimizer twice are gathered by minimizer into
-   shards, and each shard's suffixes are sorted by external induced sorting.
-   Suffixes that agree on ``LENGTH`` symbols are the equal windows.
-4. The repeats found, merged into intervals, are joined with the texts.
-
-Digests are 64-bit polynomial hashes of regions that share a minimizer.
+   ``GRAM``-byte strings in it. Equal windows have equal minimizers. Neighbouring
+   windows of one minimizer form a run; the bytes that they cover are its region.
+   A run whose minimizer occurs once in the corpus holds no repeat and is left out.
+2. Runs that always stand next to each other, wherever they occur, are joined into
+   one region, so that long copies are dealt out once and not run by run.
+3. All regions that share minimizers meet in a shard, and each shard's suffixes are
+   sorted by external induced sorting. Suffixes that agree on ``LENGTH`` bytes are
+   the equal windows; all but the earliest are repeats. Hashes only choose what
+   meets: no byte goes unless its window was found equal in the sorted order, or in
+   a comparison of bytes (4).
+4. A minimizer or region that one task sees very often is pre-aggregated there: of
+   more than ``OFTEN`` regions with the same bytes only the earliest goes on.
+5. The repeats found, merged into intervals, are joined with the texts.
 """
 
 from __future__ import annotations
@@ -28,23 +28,22 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, unstage
 from .suffixes import suffix_order
 from .tokens import text_blocks
 
 LENGTH, GRAM = 100, 40
 #: Strings of ``GRAM`` bytes in a window.
 REACH = LENGTH - GRAM + 1
-#: Rows that share a document id are told apart by their number, in the high bits of a place.
-ROW_BITS = 40
-ROW_MASK = (1 << ROW_BITS) - 1
 #: Most window starts in a piece of a region that goes to a shard.
 PIECE = 1024
-#: Documents without id come first.
-NO_ID = -(1 << 63)
+#: Rows of one minimizer, and equal regions, that a task passes on one by one.
+HOT, OFTEN = 64, 16
+#: Longest part of a text that is searched for runs at once.
+SLICE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -80,13 +79,13 @@ def _window(op, x: np.ndarray, width: int) -> np.ndarray:
 def runs(data: np.ndarray, bounds: np.ndarray):
     """Runs of windows that share a minimizer, of texts one after the other, at ``bounds``.
 
-    Per run: text number, first place and end of its region, minimizer, digest of the
-    region, and whether the region may hold its minimizer twice.
+    Per run: text number, first place and end of its region, minimizer, and whether the
+    region may hold its minimizer twice.
     """
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
-        return empty, empty, empty, empty, empty, np.zeros(0, bool)
+        return empty, empty, empty, empty, np.zeros(0, bool)
     up, down = _powers(1 << max(19, (n + 1).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_values()[data] * up[:n])])
     grams = _mix((sums[GRAM:] - sums[: n - GRAM + 1]) * down[: n - GRAM + 1]) | np.uint64(1)
@@ -108,9 +107,7 @@ def runs(data: np.ndarray, bounds: np.ndarray):
     doubled = np.concatenate([[0], np.cumsum(np.cumsum(twice)[:-1] > 0)])
     own = doubled[last + 1] > doubled[first]
     text, until = np.searchsorted(bounds, first, side="right") - 1, last + LENGTH
-    digest = _mix((sums[until] - sums[first]) * down[first])
-    digest = _mix(digest + (until - first).astype(np.uint64))
-    return text, first - bounds[text], until - bounds[text], least[first].view(np.int64), digest.view(np.int64), own
+    return text, first - bounds[text], until - bounds[text], least[first].view(np.int64), own
 
 
 def _merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray):
@@ -129,60 +126,74 @@ def _merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray):
     return doc[begins], first[begins], reach[np.r_[begins[1:], len(doc)] - 1]
 
 
-def _settle(gram, digest, doc, at, until):
-    """Sorts rows and marks those that repeat a region of an earlier row."""
-    order = np.lexsort((at, doc, digest, gram))
-    gram, digest, doc, at, until = gram[order], digest[order], doc[order], at[order], until[order]
-    again = np.r_[False, (gram[1:] == gram[:-1]) & (digest[1:] == digest[:-1])] if len(gram) else np.zeros(0, bool)
-    return gram, digest, doc, at, until, again
+#: ``until``: twice the end of the region, plus 1 if it may hold its minimizer twice; less than
+#: zero if the row is known to be open. ``at`` is -1 in a row that only says that other rows of
+#: its minimizer are known to be open. ``part`` deals rows out: the minimizer, or any number.
+MARKS = "part long, gram long, before long, after long, doc long, at long, until long"
+#: ``joins``: 1 if the run before is the same at all rows of the minimizer, 2 if the one after is.
+OPEN = "gram long, doc long, at long, until long, joins int"
 
 
-#: ``until`` is the end of an interval known to repeat, or -(2 * end + own) of an open
-#: region, own if it may hold its minimizer twice. Places hold row numbers.
-MARKS = "gram long, digest long, doc long, at long, until long"
-_NAMES = ["gram", "digest", "doc", "at", "until"]
+def _batch(schema: str, columns) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    of = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.record_batch([pa.array(x, of[k]) for x, k in zip(columns, kinds)], names=list(names))
 
 
-def _end(until: np.ndarray) -> np.ndarray:
-    """End of an open region."""
-    return -until >> 1
+def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers that deal rows of known result out evenly."""
+    return _mix((doc.view(np.uint64) + at.view(np.uint64)) * np.uint64(_BASE)).view(np.int64)
 
 
-def _marks(gram, digest, doc, at, until) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.asarray(x, np.int64)) for x in (gram, digest, doc, at, until)], names=_NAMES)
-
-
-def _intervals(doc, first, last) -> pa.RecordBatch:
-    """Intervals as marks: ``until`` is set, and the hash of the document spreads them."""
-    doc, first, last = _merged(doc, first, last)
-    spread = _mix(doc.view(np.uint64) * np.uint64(_BASE)).view(np.int64)
-    return _marks(spread, np.zeros(len(doc)), doc, first, last)
+def _runs_of(texts: pa.Array):
+    """``runs`` of a block of texts, with the minimizers of the runs before and after (0 at the ends)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    size, begin = int(offsets[-1] - offsets[0]), int(offsets[0])
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, offset=begin) if size else np.zeros(0, np.uint8)
+    if len(texts) > 1 or size <= SLICE:
+        text, at, until, gram, own = runs(data, offsets - begin)
+    else:  # one long text: slices of window starts
+        parts = [(k, runs(data[k : k + SLICE + LENGTH - 1], np.array([0, min(SLICE + LENGTH - 1, size - k)]))) for k in range(0, size - LENGTH + 1, SLICE)]
+        text, at, until, gram, own = (np.concatenate([x[i] + (k if i in (1, 2) else 0) for k, x in parts]) for i in range(5))
+    edge = np.r_[True, text[1:] != text[:-1]][: len(text)]
+    before, after = np.r_[0, gram[:-1]][: len(gram)], np.r_[gram[1:], 0][: len(gram)]
+    before[edge], after[np.r_[edge[1:], True][: len(edge)]] = 0, 0
+    return text, at, until, gram, before, after, own
 
 
 def mark_runs(texts: DataFrame, most_rows: int = 250_000) -> DataFrame:
-    """``MARKS`` of ``doc, row, text``: open regions, and intervals known to repeat."""
+    """``MARKS`` of the runs of ``doc, text``.
+
+    Of a minimizer that ``HOT`` rows or more of a buffer hold, the rows are known to be open;
+    they are dealt out at will, and one row alone tells the others of the minimizer so.
+    """
 
     def run(batches):
         held: list[tuple] = []
 
         def flush():
-            *rows, again = _settle(*map(np.concatenate, zip(*held)))
+            gram, before, after, doc, at, until = map(np.concatenate, zip(*held))
             held.clear()
-            if again.any():
-                yield _intervals(rows[2][again], rows[3][again], _end(rows[4][again]))
-            new = np.flatnonzero(~again)
-            for k in range(0, len(new), 100_000):
-                yield _marks(*[x[new[k : k + 100_000]] for x in rows])
+            order = np.argsort(gram, kind="stable")
+            sorted_ = gram[order]
+            begins = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]][: len(order)])
+            counts = np.diff(np.r_[begins, len(order)])
+            part, hot = gram.copy(), np.zeros(len(gram), bool)
+            often = counts >= HOT
+            hot[order[np.repeat(often, counts)]] = True
+            until[hot] = -until[hot]
+            part[hot] = _spread(doc[hot], at[hot])
+            if often.any():
+                told = sorted_[begins[often]]
+                none = np.zeros(len(told), np.int64)
+                yield _batch(MARKS, (told, told, none, none, none, none - 1, none))
+            for k in range(0, len(gram), 100_000):
+                yield _batch(MARKS, [x[k : k + 100_000] for x in (part, gram, before, after, doc, at, until)])
 
         for batch in batches:
-            keyed = pa.record_batch([pa.StructArray.from_arrays([batch.column(0), batch.column(1)], names=["doc", "row"]), batch.column(2)], names=["key", "text"])
-            for keys, some in text_blocks([keyed], 1 << 18):
-                offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1].astype(np.int64)
-                size = int(offsets[-1] - offsets[0])
-                data = np.frombuffer(some.buffers()[2], np.uint8, size, offset=int(offsets[0])) if size else np.zeros(0, np.uint8)
-                text, at, until, gram, digest, own = runs(data, offsets - offsets[0])
-                doc, high = np.asarray(keys.field(0))[text], np.asarray(keys.field(1))[text] << ROW_BITS
-                held.append((gram, digest, doc, at + high, -(2 * (until + high) + own)))
+            for docs, some in text_blocks([batch], 1 << 18):
+                text, at, until, gram, before, after, own = _runs_of(some)
+                held.append((gram, before, after, np.asarray(docs)[text], at, 2 * until + own))
                 if sum(len(x[0]) for x in held) > most_rows:
                     yield from flush()
         if held:
@@ -191,107 +202,166 @@ def mark_runs(texts: DataFrame, most_rows: int = 250_000) -> DataFrame:
     return texts.mapInArrow(run, MARKS)
 
 
-def settle_marks(marks: DataFrame) -> DataFrame:
-    """Intervals, and the first row of each region that may hold windows found elsewhere or twice."""
+def open_runs(marks: DataFrame, most_rows: int = 1 << 16) -> DataFrame:
+    """``OPEN`` rows of the runs that can hold repeats.
+
+    Of a minimizer of more than ``most_rows`` rows the rows pass as they come, joined to nothing.
+    """
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 5
-
-        def settle(*rows):
-            known = rows[4] >= 0
-            if known.any():
-                yield _intervals(rows[2][known], rows[3][known], rows[4][known])
-            *rows, again = _settle(*[x[~known] for x in rows])
-            if again.any():
-                yield _intervals(rows[2][again], rows[3][again], _end(rows[4][again]))
-            rows = [x[~again] for x in rows]
-            gram = rows[0]
-            open_ = (rows[4] & 1) == 1  # two's complement keeps the lowest bit
-            if len(gram):
-                open_[:-1] |= gram[1:] == gram[:-1]
-                open_[1:] |= gram[1:] == gram[:-1]
-            yield _marks(*[x[open_] for x in rows])
+        held = [np.zeros(0, np.int64)] * 6
+        passing = None
+
+        def as_they_come(gram, before, after, doc, at, until):
+            real = at >= 0
+            return _batch(OPEN, (gram[real], doc[real], at[real], np.abs(until[real]) >> 1, np.zeros(real.sum(), np.int32)))
+
+        def settle(gram, before, after, doc, at, until):
+            begins = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            counts = np.diff(np.r_[begins, len(gram)])
+            same = lambda x: np.minimum.reduceat(x, begins) == np.maximum.reduceat(x, begins)
+            told = np.minimum.reduceat(at, begins) < 0
+            joins = np.where(told, 0, same(before) + 2 * same(after)).astype(np.int32)
+            wanted = (counts > 1) | (np.maximum.reduceat(until & 1, begins) > 0)
+            rows = np.repeat(wanted, counts) & (at >= 0)
+            return _batch(OPEN, (gram[rows], doc[rows], at[rows], until[rows] >> 1, np.repeat(joins, counts)[rows]))
 
         for batch in batches:
-            held = [np.concatenate([x, np.asarray(y)]) for x, y in zip(held, batch.columns)]
+            new = [np.asarray(x) for x in batch.columns[1:]]
+            at_once = new[5] < 0
+            if passing is not None:
+                at_once |= new[0] == passing
+            if at_once.any():
+                yield as_they_come(*(x[at_once] for x in new))
+                new = [x[~at_once] for x in new]
+            held = [np.concatenate(x) for x in zip(held, new)]  # from here on by minimizer
             if len(held[0]):
                 whole = int(np.searchsorted(held[0], held[0][-1]))  # the last minimizer may go on
                 if whole:
-                    yield from settle(*[x[:whole] for x in held])
+                    yield settle(*[x[:whole] for x in held])
                 held = [x[whole:] for x in held]
+            if len(held[0]) > most_rows:
+                passing = held[0][0]
+                yield as_they_come(*held)
+                held = [x[:0] for x in held]
         if len(held[0]):
-            yield from settle(*held)
+            yield settle(*held)
 
-    return marks.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, MARKS)
+    return marks.repartition("part").sortWithinPartitions("part", "gram").mapInArrow(run, OPEN)
 
 
-REGIONS = "gram long, doc long, at long, region binary"
+#: A region's bytes, or no bytes and the end of an interval that is known to repeat.
+REGIONS = "part long, doc long, at long, until long, region binary"
 
 
-def regions_of(texts: DataFrame, open_marks: DataFrame) -> DataFrame:
-    """The bytes of the regions of marks, as ``REGIONS``; ``at`` is where a region starts."""
-    per_row = open_marks.groupBy("doc", F.shiftright("at", ROW_BITS).alias("row")).agg(F.collect_list(F.struct("gram", "at", "until")).alias("marks"))
-    joined = texts.join(per_row, ["doc", "row"]).select("doc", "text", "marks")
+def regions_of(texts: DataFrame, open_: DataFrame) -> DataFrame:
+    """``REGIONS`` of open runs; ``at`` is where a region starts, ``part`` the minimizer that its shard goes by.
 
-    def made(grams, docs, ats, parts):
-        return pa.record_batch([pa.array(x, k) for x, k in ((grams, pa.int64()), (docs, pa.int64()), (ats, pa.int64()), (parts, pa.binary()))], names=["gram", "doc", "at", "region"])
+    Runs are joined where each is the only neighbour of the other, so every occurrence
+    of a minimizer is joined in the same way and all go by the first one's.
+    """
+    per_text = open_.groupBy("doc").agg(F.collect_list(F.struct("gram", "at", "until", "joins")).alias("marks"))
+    joined = texts.select("doc", "text").join(per_text, "doc").select("doc", "text", "marks")
+
+    def stretches(marks: pa.ListArray):
+        """Text number, minimizer, first place and end of joined runs."""
+        at = np.asarray(marks.offsets)
+        fields = marks.values.slice(at[0], at[-1] - at[0])
+        gram, first, until, joins = (np.asarray(fields.field(i)) for i in range(4))
+        text = np.repeat(np.arange(len(marks)), np.diff(at))
+        order = np.lexsort((first, text))
+        text, gram, first, until, joins = (x[order] for x in (text, gram, first, until, joins))
+        on = (text[1:] == text[:-1]) & (first[1:] == until[:-1] - LENGTH + 1) & (joins[1:] & 1 > 0) & (joins[:-1] & 2 > 0)
+        begins = np.flatnonzero(np.r_[True, ~on])
+        return text[begins], gram[begins], first[begins], until[np.r_[begins[1:], len(text)] - 1]
 
     def run(batches):
+        rows, size = [], 0
+
+        def flush():
+            by_bytes: dict[tuple, list[int]] = {}
+            for i, row in enumerate(rows):
+                by_bytes.setdefault((row[0], row[4]), []).append(i)
+            for same in by_bytes.values():
+                if len(same) > OFTEN:
+                    for i in sorted(same, key=lambda i: rows[i][1:3])[1:]:
+                        _, doc, at, until, _ = rows[i]
+                        rows[i] = ((doc * 31 + at) * _BASE & (1 << 63) - 1, doc, at, until, None)
+            out = _batch(REGIONS, zip(*rows))
+            rows.clear()
+            return out
+
         for batch in batches:
-            rows, size = [], 0
-            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                view, marks = text.as_buffer(), marks.values
-                for g, a, b in zip(marks.field(0).to_pylist(), marks.field(1).to_pylist(), _end(np.asarray(marks.field(2))).tolist()):
-                    for start in range(a, b - LENGTH + 1, PIECE):
-                        part = view[start & ROW_MASK : min(b, start + PIECE + LENGTH - 1) & ROW_MASK].to_pybytes()
-                        rows.append((g, doc, start, part))
-                        size += len(part)
-                    if size > 4 << 20:
-                        yield made(*zip(*rows))
-                        rows, size = [], 0
-            if rows:
-                yield made(*zip(*rows))
+            if not len(batch):
+                continue
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            last, view = None, None
+            for t, gram, a, b in zip(*(x.tolist() for x in stretches(batch.column(2)))):
+                if t != last:
+                    last, view = t, memoryview(texts[t].as_buffer())
+                for start in range(a, b - LENGTH + 1, PIECE):
+                    end = min(b, start + PIECE + LENGTH - 1)
+                    rows.append((gram, docs[t], start, end, bytes(view[start:end])))
+                    size += end - start
+                if size > 4 << 20:
+                    yield flush()
+                    size = 0
+        if rows:
+            yield flush()
 
     return joined.mapInArrow(run, REGIONS)
 
 
+INTERVALS = "doc long, at long, until long"
+
+
 def _repeats(order, doc: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray, most: int = 200_000):
-    """Windows of a sorted shard that also start earlier: (doc, place), a block at a time."""
+    """Windows of a sorted shard that also start earlier: (doc, place), a block at a time.
+
+    Of a group that goes on over blocks only the earliest window is kept in mind.
+    """
 
-    def settle(place, common):
+    def settle(place, common, first):
+        """Repeats of a block, and the earliest window of its last group; ``first`` is that of the block before."""
         region = np.searchsorted(begins, place, side="right") - 1
         group = np.cumsum(common < LENGTH)
-        fits = ends[region] - place >= LENGTH
+        last = int(group[-1])
+        fits = np.flatnonzero(ends[region] - place >= LENGTH)
         place, region, group = place[fits], region[fits], group[fits]
+        alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True] if len(group) else np.zeros(0, bool)
+        some = np.flatnonzero(~alone | (group == last) | (group == 0))
+        place, region, group = place[some], region[some], group[some]
         d, a = doc[region], at[region] + place - begins[region]
+        if first is not None:
+            group, d, a = np.r_[0, group], np.r_[first[0], d], np.r_[first[1], a]
         by = np.lexsort((a, d, group))
         group, d, a = group[by], d[by], a[by]
-        fresh = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
-        source = np.maximum.accumulate(np.where(fresh, np.arange(len(group)), 0)) if len(group) else group
+        fresh = np.r_[True, group[1:] != group[:-1]][: len(group)]
+        source = np.maximum.accumulate(np.where(fresh, np.arange(len(group)), 0))
         later = (d != d[source]) | (a != a[source])
-        return d[later], a[later]
+        i = int(np.searchsorted(group, last))
+        return (d[later], a[later]), ((int(d[i]), int(a[i])) if i < len(group) else None)
 
-    held, size = [], 0
-    for place, common in order:
-        held.append((place, common))
-        size += len(place)
+    held, size, first = [], 0, None
+    for block in order:
+        held.append(block)
+        size += len(block[0])
         if size >= most:
-            place, common = map(np.concatenate, zip(*held))
-            cut = np.flatnonzero(common < LENGTH)
-            cut = int(cut[-1]) if len(cut) else 0  # the last group may go on
-            if cut:
-                yield settle(place[:cut], common[:cut])
-            held, size = [(place[cut:], common[cut:])], 0
+            found, first = settle(*(np.concatenate([b[i] for b in held]) for i in (0, 1)), first)
+            yield found
+            held, size = [], 0
     if held:
-        yield settle(*map(np.concatenate, zip(*held)))
+        yield settle(*(np.concatenate([b[i] for b in held]) for i in (0, 1)), first)[0]
 
 
 class Shard:
-    """Regions of a shard; their text goes to a scratch file once it exceeds ``memory`` bytes."""
+    """Regions of a shard; beyond 16 times ``memory`` bytes, as a queue's tuples have, they lie in scratch files."""
 
     def __init__(self, folder: Path, memory: int):
         self.folder, self.memory = folder, memory
-        self.parts, self.columns, self.size, self.held, self.file = [], [], 0, 0, None
+        self.size = self.held = 0
+        self.parts: list[tuple] = []
+        self.files: list = []
 
     def add(self, doc: np.ndarray, at: np.ndarray, regions: pa.Array) -> None:
         if not len(regions):
@@ -299,49 +369,59 @@ class Shard:
         offsets = np.frombuffer(regions.buffers()[1], np.int32)[regions.offset : regions.offset + len(regions) + 1].astype(np.int64)
         data = np.frombuffer(regions.buffers()[2], np.uint8, int(offsets[-1] - offsets[0]), offset=int(offsets[0]))
         # A byte that UTF-8 never has makes room for the separator, which sorts first.
-        self.parts.append(np.insert(data + np.uint8(1), offsets[1:] - offsets[0], 0).tobytes())
-        self.columns.append((doc, at, np.diff(offsets)))
-        self.size += len(self.parts[-1])
-        self.held += len(self.parts[-1])
-        if self.held > self.memory:
-            self.file = self.file or open(self.folder / "text", "wb")
-            self.file.write(b"".join(self.parts))
-            self.parts, self.held = [], 0
+        text = np.insert(data + np.uint8(1), offsets[1:] - offsets[0], 0)
+        length = np.diff(offsets)
+        self.parts.append((text, doc, at, self.size + np.cumsum(length + 1) - length - 1, length))
+        self.size += len(text)
+        self.held += len(text)
+        if self.held > 16 * self.memory:
+            self.files = self.files or [open(self.folder / name, "wb") for name in ("text", "doc", "at", "begins", "length")]
+            self._write()
+
+    def _write(self) -> None:
+        for file, x in zip(self.files, zip(*self.parts)):
+            file.write(np.concatenate(x).tobytes())
+        self.parts, self.held = [], 0
 
     def repeats(self):
-        """Marks of the intervals found by sorting all suffixes."""
+        """``INTERVALS`` found by sorting all suffixes."""
         if not self.size:
             return
-        if self.file:
-            self.file.write(b"".join(self.parts))
-            self.file.close()
-            symbols = np.memmap(self.folder / "text", np.uint8, "r")
+        if self.files:
+            if self.parts:
+                self._write()
+            for file in self.files:
+                file.close()
+            symbols, doc, at, begins, length = (np.memmap(f.name, k, "r") for f, k in zip(self.files, (np.uint8, *[np.int64] * 4)))
         else:
-            symbols = np.frombuffer(b"".join(self.parts), np.uint8)
+            symbols, doc, at, begins, length = map(np.concatenate, zip(*self.parts))
         self.parts = []
-        doc, at, length = map(np.concatenate, zip(*self.columns))
-        begins = np.cumsum(length + 1) - length - 1
         for d, a in _repeats(suffix_order(symbols, LENGTH, self.memory, self.folder), doc, at, begins, begins + length):
             if len(d):
-                yield _intervals(d, a, a + LENGTH)
+                yield _batch(INTERVALS, _merged(d, a, a + LENGTH))
 
 
-def sort_regions(regions: DataFrame, shard_bytes: int = 3 << 19, memory: int = 8 << 20) -> DataFrame:
-    """Intervals found by sorting the suffixes of shards of ``REGIONS``.
+def sort_regions(regions: DataFrame, shard_bytes: int = 2 << 20, memory: int = 3 << 18) -> DataFrame:
+    """``INTERVALS`` found by sorting the suffixes of shards of ``REGIONS``, and those known before.
 
-    A shard holds whole minimizers, of ``shard_bytes`` together, or a single one of
-    any size. Beyond ``memory`` bytes its text lies in a scratch file, and its
-    sort holds at most ``memory`` tuples in each queue. The scratch folder is
-    private to the task and goes when the shard is done, however it ends.
+    A shard holds all regions of whole parts, of ``shard_bytes`` together, or of a single one of
+    any size. Its sort holds at most ``memory`` tuples in each queue, so those of a usual shard
+    go to disk too. The scratch folder is private to the task and goes when the shard is done,
+    however it ends.
     """
 
     def run(batches):
+        known = []
+
         def sort(rows):
             with tempfile.TemporaryDirectory(prefix="shard-") as folder:
                 shard = Shard(Path(folder), memory)
                 for row in rows:
                     shard.add(*row)
                 yield from shard.repeats()
+            if known:
+                yield from known
+                known.clear()
 
         def cut():
             """Per shard, a stream of its (doc, at, regions)."""
@@ -356,18 +436,24 @@ def sort_regions(regions: DataFrame, shard_bytes: int = 3 << 19, memory: int = 8
                 def rows(batch=batch):
                     nonlocal rest, last, size
                     while batch is not None:
-                        rest, gram = None, np.asarray(batch.column(0))
-                        if size >= shard_bytes and len(gram):
-                            change = np.flatnonzero(gram != last)
+                        rest, part = None, np.asarray(batch.column(0))
+                        if size >= shard_bytes and len(part):
+                            change = np.flatnonzero(part != last)
                             if len(change):
                                 at = int(change[0])
                                 rest = batch.slice(at)
                                 batch = batch.slice(0, at)
-                        yield np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3)
+                        settled = batch.filter(batch.column(4).is_null())
+                        if len(settled):
+                            known.append(_batch(INTERVALS, [np.asarray(settled.column(i)) for i in (1, 2, 3)]))
+                            own = batch.filter(batch.column(4).is_valid())
+                        else:
+                            own = batch
+                        yield np.asarray(own.column(1)), np.asarray(own.column(2)), own.column(4)
                         if rest is not None:
                             return
-                        size += batch.column(3).nbytes
-                        last = gram[-1] if len(gram) else last
+                        size += own.column(4).nbytes
+                        last = part[-1] if len(part) else last
                         batch = next(left, None)
 
                 yield rows()
@@ -377,27 +463,35 @@ def sort_regions(regions: DataFrame, shard_bytes: int = 3 << 19, memory: int = 8
         for rows in cut():
             yield from sort(rows)
 
-    return regions.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, MARKS)
+    return regions.repartition("part").sortWithinPartitions("part").mapInArrow(run, INTERVALS)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """``doc, row, text, document``: the id (``NO_ID`` for null), a number among the rows of one
-    id, by text, the bytes of the text, and all columns of ``docs``."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
-    texts = docs.select(doc, text_of().cast("binary").alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
-    if not docs.groupBy(F.col("doc_id").cast("long")).count().filter("count > 1").isEmpty():
-        row = F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1
-        return stage(texts.withColumn("row", row.cast("long")), "texts").select("doc", "row", "text", "document")
-    return texts.select("doc", F.lit(0).cast("long").alias("row"), "text", "document")
+    """``doc, text, document``: a key that differs for all rows and ascends as ids do, the bytes of the
+    text, and all columns of ``docs``.
+
+    The key is the id where ids differ. Else rows are numbered, those without id first, rows that
+    share an id by the first 64 bytes of their text and by its hash; a hot id is dealt over tasks.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.select(doc_id.alias("doc"), text_of().cast("binary").alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
+    if docs.groupBy(doc_id.alias("id")).count().filter("count > 1 or id is null").isEmpty():
+        return texts
+    order = ["doc", "head", "hash", "salt"]
+    ranged = texts.withColumns({"head": F.substring("text", 1, 64), "hash": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
+    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(ranged.select(F.monotonically_increasing_id().alias("doc"), "text", "document"), "texts")
 
 
 def repeated_intervals(texts: DataFrame) -> DataFrame:
-    """``doc, row, spans``: intervals of each text that repeat earlier ones."""
-    texts = texts.select("doc", "row", "text")
-    settled = stage(settle_marks(mark_runs(texts)), "repeat-marks")
-    sorted_ = stage(sort_regions(regions_of(texts, settled.filter("until < 0").select("gram", "doc", "at", "until"))), "repeat-sorted")
-    found = settled.filter("until >= 0").unionByName(sorted_).select("doc", F.shiftright("at", ROW_BITS).alias("row"), F.struct(F.col("at").bitwiseAND(ROW_MASK).alias("a"), (F.col("at").bitwiseAND(ROW_MASK) + F.col("until") - F.col("at")).alias("b")).alias("span"))
-    return stage(found.groupBy("doc", "row").agg(F.collect_list("span").alias("spans")), "repeats")
+    """``doc, spans``: intervals of each text that repeat earlier ones."""
+    texts = texts.select("doc", "text")
+    open_ = stage(open_runs(mark_runs(texts)), "repeat-runs")
+    found = stage(sort_regions(regions_of(texts, open_)), "repeat-intervals")
+    unstage(open_)
+    out = stage(found.groupBy("doc").agg(F.collect_list(F.struct("at", "until")).alias("spans")), "repeats")
+    unstage(found)
+    return out
 
 
 def _kept(text: memoryview, spans) -> tuple[bytes, int, int]:
@@ -411,41 +505,48 @@ def _kept(text: memoryview, spans) -> tuple[bytes, int, int]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), int((last - first).sum()), len(first)
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every document.
+def removed(docs: DataFrame, kept: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document, and ``kept``, the remaining bytes, if asked for.
 
-    ``kept`` are the remaining bytes. Null texts are empty. Documents without id
-    come before all others; rows that share an id are ordered by text, so of
-    equal rows the first keeps its bytes. Strings are judged on the input.
+    Null texts are empty. Documents without id come before all others; rows that share an
+    id are ordered as ``keyed_texts`` tells, so of equal rows one keeps its bytes. Strings
+    are judged on the input. Texts of any length are searched a slice at a time; an empty
+    table gives no rows, and columns besides ``doc_id`` and ``text`` play no part.
     """
-    texts = keyed_texts(docs)
-    joined = texts.join(repeated_intervals(texts), ["doc", "row"], "left").select("doc", "text", "spans")
+    texts = keyed_texts(docs.select("doc_id", "text"))
+    joined = texts.join(repeated_intervals(texts), "doc", "left").select(F.col("document.doc_id").cast("long").alias("doc_id"), "text", "spans")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept else "")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
+    def result(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
     def run(batches):
         for batch in batches:
             rows, held = [], 0
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 view = memoryview(text.as_buffer())
-                kept, n_removed, n_spans = _kept(view, spans.values if spans.is_valid else None)
-                rows.append((None if doc == NO_ID else doc, len(view), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept))
-                held += len(kept)
+                left, n_removed, n_spans = _kept(view, spans.values if spans.is_valid else None)
+                rows.append((doc_id, len(view), n_removed, n_spans, hashlib.sha256(left).hexdigest(), left)[: 5 + kept])
+                held += len(left) if kept else 0
                 if held > 4 << 20:
-                    yield _result(rows)
+                    yield result(rows)
                     rows, held = [], 0
             if rows:
-                yield _result(rows)
+                yield result(rows)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text that ``removed`` keeps and its ``n_chars``; other columns stay.
+    """``docs`` with the text that ``removed`` keeps and, where there is such a column, its ``n_chars``; other columns stay.
 
     Characters that lost some of their bytes go. Documents of which nothing is
-    left go; those that lost nothing are unchanged, null texts included.
+    left go; those that lost nothing are unchanged, null texts included. Nulls, repeated
+    rows, long texts and empty tables are as in ``removed``.
     """
     texts = keyed_texts(docs)
-    joined = texts.join(repeated_intervals(texts), ["doc", "row"], "left")
+    joined = texts.join(repeated_intervals(texts), "doc", "left")
 
     @F.arrow_udf("string")
     def kept(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -454,10 +555,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     text = F.when(F.col("spans").isNull(), F.lit(None)).otherwise(kept("text", "spans"))
     found = joined.select("document", text.alias("left")).filter(F.col("left").isNull() | (F.col("left") != ""))
-    new = {"text": F.coalesce("left", "document.text"), "n_chars": F.when(F.col("left").isNull(), F.col("document.n_chars")).otherwise(F.length("left").cast("long"))}
+    new = {"text": F.coalesce("left", "document.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("left").isNull(), F.col("document.n_chars")).otherwise(F.length("left").cast("long"))
     return found.select(*[new[c].alias(c) if c in new else F.col("document").getField(c).alias(c) for c in docs.columns])
-
-
-def _result(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])

@@ -3,6 +3,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from linkloom.llm import substrings
@@ -97,3 +98,66 @@ def test_small_memory_gives_the_same(spark, monkeypatch):
     whole = substrings.sort_regions
     monkeypatch.setattr(substrings, "sort_regions", lambda r: whole(r, memory=500))
     assert found(docs_of(spark, rows)) == brute(rows)
+
+
+def test_texts_that_share_minimizers_only(spark):
+    """Blocks of one string of a low hash, a filler and a letter: no 100 bytes are equal."""
+    rng = random.Random(3)
+    candidates = ["".join(rng.choice("abcdefghijklmnop") for _ in range(40)) for _ in range(3000)]
+    gram = min(candidates, key=lambda c: int(substrings.runs(np.frombuffer((c + "~" * 60).encode(), np.uint8), np.array([0, 100]))[3].view(np.uint64)[0]))
+    filler = [f"{i:05d}" + "".join(rng.choice("qrstuvwxyz") for _ in range(13)) for i in range(1024)]
+    letter = [i.bit_count() % 2 for i in range(1024)]
+    texts = ["".join(gram + f + "XY"[c ^ flip] for f, c in zip(filler, letter)) for flip in (0, 1)]
+    got = found(docs_of(spark, list(enumerate(texts))))
+    assert [got[i][0][:3] for i in (0, 1)] == [(len(texts[0]), 0, 0)] * 2
+
+
+def test_hot_groups(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randint(0, 9999)}" for _ in range(n))
+    copy, line = say(300), say(25)
+    rows = [(i, copy) for i in range(400)] + [(1000 + i, say(10) + " " + line + " " + say(12)) for i in range(300)]
+    near = copy.split()
+    for i in range(150):
+        words = near[:]
+        for _ in range(6):
+            words[rng.randrange(300)] = "new"
+        rows.append((2000 + i, " ".join(words)))
+    rng.shuffle(rows)
+    assert found(docs_of(spark, rows, 2)) == brute(rows)
+
+
+def test_long_text(spark):
+    rng = random.Random(5)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(700_000))
+    long = part + "".join(rng.choice("abcdefgh ") for _ in range(800_000)) + part[100_000:160_000] + "zz"
+    rows = [(2, long), (1, part[500_000:500_400]), (3, None), (4, long[1_400_000:1_400_099])]
+    assert found(docs_of(spark, rows, 2)) == brute(rows)
+
+
+def test_slices_of_a_long_text(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = pa.array([rng.integers(97, 101, 5000).astype(np.uint8).tobytes()], pa.binary())
+
+    def windows(rows):
+        _, at, until, gram, before, after, _ = rows
+        assert np.array_equal(before[1:], gram[:-1]) and np.array_equal(after[:-1], gram[1:]) and before[0] == after[-1] == 0
+        return {p: g for a, b, g in zip(at, until, gram) for p in range(a, b - substrings.LENGTH + 1)}
+
+    whole = windows(substrings._runs_of(text))
+    assert len(whole) == 4901
+    for size in (300, 777, 4900, 4901):
+        monkeypatch.setattr(substrings, "SLICE", size)
+        assert windows(substrings._runs_of(text)) == whole
+
+
+def test_sort_on_disk(tmp_path):
+    """A text far larger than the memory of the queues, with levels of names below."""
+    rng = np.random.default_rng(4)
+    words = [rng.integers(97, 123, int(rng.integers(2, 9))).astype(np.uint8).tobytes() for _ in range(400)]
+    x = np.frombuffer(b" ".join(words[int(i)] for i in rng.integers(0, 400, 30_000)), np.uint8)
+    x = np.concatenate([x, x[20_000:60_000], np.full(3000, 97, np.uint8)])
+    order = lambda memory: np.concatenate([at for at, _ in suffix_order(x, 100, memory, tmp_path)])
+    b, small, large = x.tobytes(), order(2000), order(1 << 22)
+    assert np.array_equal(np.sort(small), np.arange(len(x))) and not list(tmp_path.iterdir())
+    assert [b[i : i + 100] for i in small] == [b[i : i + 100] for i in large] == sorted(b[i : i + 100] for i in range(len(b)))

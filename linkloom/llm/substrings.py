@@ -315,43 +315,50 @@ def regions_of(texts: DataFrame, open_: DataFrame) -> DataFrame:
 INTERVALS = "doc long, at long, until long"
 
 
-def _repeats(order, doc: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray, most: int = 200_000):
-    """Windows of a sorted shard that also start earlier: (doc, place), a block at a time.
+def _mark_repeats(order, age: np.ndarray, begins: np.ndarray, ends: np.ndarray, marks: np.ndarray, most: int = 1 << 18) -> None:
+    """Sets ``marks`` at the windows of a sorted shard that also start earlier, a block at a time.
 
-    Of a group that goes on over blocks only the earliest window is kept in mind.
+    ``age`` tells for each region where it would begin if regions lay in the order of their
+    documents and places. Equal windows are neighbours; of a group that goes on over blocks
+    only the earliest window is kept in mind.
     """
-
-    def settle(place, common, first):
-        """Repeats of a block, and the earliest window of its last group; ``first`` is that of the block before."""
+    first = None  # age and place of the earliest window of the last group
+
+    def settle(place: np.ndarray, common: np.ndarray) -> None:
+        nonlocal first
+        same = common >= LENGTH
+        if not same[0]:
+            first = None
+        # Windows that equal a neighbour, and the last group, which may go on.
+        some = same | np.r_[same[1:], True]
+        place, same = place[some], same[some]
         region = np.searchsorted(begins, place, side="right") - 1
-        group = np.cumsum(common < LENGTH)
-        last = int(group[-1])
-        fits = np.flatnonzero(ends[region] - place >= LENGTH)
+        fits = ends[region] - place >= LENGTH
+        group = np.cumsum(~same)
+        last = group[-1]
         place, region, group = place[fits], region[fits], group[fits]
-        alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True] if len(group) else np.zeros(0, bool)
-        some = np.flatnonzero(~alone | (group == last) | (group == 0))
-        place, region, group = place[some], region[some], group[some]
-        d, a = doc[region], at[region] + place - begins[region]
+        old = age[region] + place - begins[region]
         if first is not None:
-            group, d, a = np.r_[0, group], np.r_[first[0], d], np.r_[first[1], a]
-        by = np.lexsort((a, d, group))
-        group, d, a = group[by], d[by], a[by]
-        fresh = np.r_[True, group[1:] != group[:-1]][: len(group)]
-        source = np.maximum.accumulate(np.where(fresh, np.arange(len(group)), 0))
-        later = (d != d[source]) | (a != a[source])
-        i = int(np.searchsorted(group, last))
-        return (d[later], a[later]), ((int(d[i]), int(a[i])) if i < len(group) else None)
-
-    held, size, first = [], 0, None
+            place, old, group = np.r_[first[1], place], np.r_[first[0], old], np.r_[0, group]
+        if not len(place):
+            return
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        least = np.minimum.reduceat(old, starts)
+        marks[place[old != np.repeat(least, np.diff(np.r_[starts, len(place)]))]] = True
+        first = None
+        if group[-1] == last:
+            i = int(starts[-1] + np.argmin(old[starts[-1] :]))
+            first = int(old[i]), int(place[i])
+
+    held, size = [], 0
     for block in order:
         held.append(block)
         size += len(block[0])
         if size >= most:
-            found, first = settle(*(np.concatenate([b[i] for b in held]) for i in (0, 1)), first)
-            yield found
+            settle(*(np.concatenate([b[i] for b in held]) for i in (0, 1)))
             held, size = [], 0
     if held:
-        yield settle(*(np.concatenate([b[i] for b in held]) for i in (0, 1)), first)[0]
+        settle(*(np.concatenate([b[i] for b in held]) for i in (0, 1)))
 
 
 class Shard:
@@ -396,9 +403,20 @@ class Shard:
         else:
             symbols, doc, at, begins, length = map(np.concatenate, zip(*self.parts))
         self.parts = []
-        for d, a in _repeats(suffix_order(symbols, LENGTH, self.memory, self.folder), doc, at, begins, begins + length):
-            if len(d):
-                yield _batch(INTERVALS, _merged(d, a, a + LENGTH))
+        by_age = np.lexsort((at, doc))
+        age = np.empty(len(at), np.int64)
+        age[by_age] = np.cumsum(length[by_age]) - length[by_age]
+        # One byte a symbol.
+        marks = np.memmap(self.folder / "marks", bool, "w+", shape=self.size) if self.files else np.zeros(self.size, bool)
+        _mark_repeats(suffix_order(symbols, LENGTH, self.memory, self.folder), age, begins, begins + length, marks)
+        for k in range(0, len(begins), 1 << 14):
+            low, high = int(begins[k]), int(begins[min(k + (1 << 14), len(begins)) - 1] + length[min(k + (1 << 14), len(begins)) - 1]) + 1
+            edges = np.flatnonzero(np.diff(np.r_[False, marks[low:high], False])) + low
+            first, last = edges[::2], edges[1::2]
+            if len(first):  # a region's last windows reach its end, so marks of two regions never touch
+                region = np.searchsorted(begins, first, side="right") - 1
+                start = at[region] + first - begins[region]
+                yield _batch(INTERVALS, (doc[region], start, start + (last - first) + LENGTH - 1))
 
 
 def sort_regions(regions: DataFrame, shard_bytes: int = 2 << 20, memory: int = 3 << 18) -> DataFrame:

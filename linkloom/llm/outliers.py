@@ -7,8 +7,12 @@ Mahalanobis distance from it.
 
 A concentration step is one pass with partial aggregation: distances are
 binned on a logarithmic scale, moments are summed per group and bin, and a
-running sum over the bins of a group yields the moments of its nearest rows.
+running sum over the bins of a group yields the moments of its nearest rows; rows
+of the bin at the edge count in part. Steps go on until no determinant falls.
 Statistics are fixed-point integers, so the sums are exact and reruns agree.
+
+Every estimate is drawn towards that of all documents together, the more the
+smaller its group is, so there is no size from which on a group counts.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 from .quality_stats import n_dup_lines, n_repeat_words, n_symbols, word_chars, words_of
 
 SCALE = 1000
-#: Steps of the bins: 16 to a factor e of the squared distance.
-BINS = 16
+#: Steps of the bins: 64 to a factor e of the squared distance.
+BINS = 64
+#: Name of the group of all documents.
+ALL = "all"
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -50,8 +56,8 @@ def consistency(alpha: float, p: int) -> float:
     return alpha / _chi2_cdf(chi2_quantile(alpha, p), p + 2)
 
 
-def _factored(groups: DataFrame, p: int) -> DataFrame:
-    """Adds the Cholesky factor ``l_i_j`` of the covariance ``s_i_j`` and ``logdet``."""
+def _factored(groups: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """``keys`` and the means, with the Cholesky factor ``l_i_j`` of the covariance ``s_i_j`` and ``logdet``."""
     for j in range(p):
         for i in range(j, p):
             rest = F.col(f"s_{i}_{j}")
@@ -59,14 +65,14 @@ def _factored(groups: DataFrame, p: int) -> DataFrame:
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             groups = groups.withColumn(f"l_{i}_{j}", F.sqrt(rest) if i == j else rest / F.col(f"l_{j}_{j}"))
     logdet = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, p)), F.log("l_0_0"))
-    names = [f"m_{i}" for i in range(p)] + [f"l_{i}_{j}" for i in range(p) for j in range(i + 1)]
-    return groups.select("grp", "n", *names, logdet.alias("logdet"))
+    names = [f"m_{i}" for i in range(p)] + [f"s_{i}_{j}" for i in range(p) for j in range(i + 1)] + [f"l_{i}_{j}" for i in range(p) for j in range(i + 1)]
+    return groups.select(*keys, *names, logdet.alias("logdet"))
 
 
 def _distances(rows: DataFrame, groups: DataFrame, features: list[str]) -> DataFrame:
     """Rows with ``d2``, their squared Mahalanobis distance in their group.
 
-    The estimates are one row a group; Spark broadcasts them while they are
+    The estimates are one row a group and start; Spark broadcasts them while they are
     under its size limit and else joins by sorting, splitting hot groups.
     """
     out = rows.join(groups, "grp")
@@ -85,7 +91,7 @@ def _sums(features: list[str]) -> list[Column]:
     return out + [exact(F.col(x) * F.col(features[j])).alias(f"b_{i}_{j}") for i, x in enumerate(features) for j in range(i + 1)]
 
 
-def _moments(sums: DataFrame, p: int, factor: float, floors: list[float]) -> DataFrame:
+def _moments(sums: DataFrame, keys: list[str], p: int, factor: float, floors: list[float]) -> DataFrame:
     """Means and regularised covariances from the sums ``c, a_i, b_i_j``."""
     c = F.col("c").cast("double")
     mean = {i: F.col(f"a_{i}").cast("double") / c for i in range(p)}
@@ -94,17 +100,18 @@ def _moments(sums: DataFrame, p: int, factor: float, floors: list[float]) -> Dat
         for j in range(i + 1):
             s = (F.col(f"b_{i}_{j}").cast("double") / c - mean[i] * mean[j]) * F.lit(factor)
             cols[f"s_{i}_{j}"] = F.greatest(s, F.lit(0.0)) + F.lit(floors[i] ** 2) if i == j else s
-    return sums.select("grp", "n", *[v.alias(k) for k, v in cols.items()])
+    return sums.select(*keys, *[v.alias(k) for k, v in cols.items()])
 
 
 def _robust_start(rows: DataFrame, features: list[str], floors: list[float]) -> DataFrame:
     """Start from coordinate-wise medians and quartile ranges, exact, by counts of values."""
     values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("x")) for i, x in enumerate(features)])).alias("v")
-    counts = rows.select("grp", "n", values).groupBy("grp", "n", "v.i", "v.x").agg(F.count(F.lit(1)).alias("k"))
+    # Written once summed: rows are dealt by group and value, sums alone by group.
+    counts = stage(rows.select("grp", "n", values).groupBy("grp", "n", "v.i", "v.x").agg(F.count(F.lit(1)).alias("k")), "mcd-values")
     below = F.sum("k").over(Window.partitionBy("grp", "i").orderBy("x"))
     at = lambda q: F.min(F.when(F.col("to") >= q * F.col("n"), F.col("x")))
-    marks = counts.withColumn("to", below).groupBy("grp", "n", "i").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    wide = marks.groupBy("grp", "n").agg(
+    marks = counts.withColumn("to", below).groupBy("grp", "i").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    wide = marks.groupBy("grp").agg(
         *[F.max(F.when(F.col("i") == i, F.col("q2"))).cast("double").alias(f"m_{i}") for i in range(len(features))],
         # 1.349: quartile range of the standard normal distribution.
         *[(F.pow(F.max(F.when(F.col("i") == i, F.col("q3") - F.col("q1"))) / 1.349, 2) + floors[i] ** 2).alias(f"s_{i}_{i}") for i in range(len(features))],
@@ -113,32 +120,68 @@ def _robust_start(rows: DataFrame, features: list[str], floors: list[float]) ->
     return wide.select("*", *zeros)
 
 
-def fit_mcd(rows: DataFrame, features: list[str], floors: list[float], alpha: float = 0.75, steps: int = 4) -> DataFrame:
-    """Estimates ``grp, n, m_i, l_i_j`` for rows ``grp, n, *features``, n the group's size.
+def fit_mcd(rows: DataFrame, features: list[str], floors: list[float], alpha: float = 0.75, most_steps: int = 100) -> DataFrame:
+    """Estimates ``grp, n, m_i, s_i_j`` for rows ``grp, n, *features``, n the group's size.
 
-    Two deterministic starts, classical moments and coordinate-wise quartiles,
-    are each concentrated ``steps`` times on the nearest ``alpha`` of the rows;
-    per group the estimate of smaller determinant wins. ``floors`` are standard
-    deviations added to the diagonal: they keep the estimate regular where most
-    rows share one value.
+    Two deterministic starts, classical moments and coordinate-wise quartiles, are
+    concentrated on the nearest ``alpha`` of the rows, both in one pass, for as long as
+    a determinant falls (``most_steps`` is far beyond what that takes); per group the
+    estimate of smaller determinant wins. ``floors`` are standard deviations added to
+    the diagonal: they keep the estimate regular where most rows share one value.
     """
-    p, factor = len(features), consistency(alpha, len(features))
-    classical = _moments(rows.groupBy("grp", "n").agg(*_sums(features)), p, 1.0, floors)
-    order = Window.partitionBy("grp").orderBy("bin")
-    found = []
-    for name, start in (("classical", classical), ("quartiles", _robust_start(rows, features, floors))):
-        groups = stage(_factored(start, p), f"mcd-{name}")
-        for step in range(steps):
-            near = _distances(rows.drop("n"), groups, features).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS))
-            sums = near.groupBy("grp", "n", "bin").agg(*_sums(features))
-            columns = [c for c in sums.columns if c not in ("grp", "n", "bin")]
-            sums = sums.select("grp", "n", "bin", *[F.sum(c).over(order).alias(c) for c in columns])
-            kept = sums.filter(F.col("c") >= F.ceil(F.lit(alpha) * F.col("n"))).withColumn("r", F.row_number().over(order)).filter("r = 1")
-            groups = stage(_factored(_moments(kept, p, factor, floors), p), f"mcd-{name}-{step}")
-        found.append(groups.withColumn("start", F.lit(name)))
+    p, factor, keys = len(features), consistency(alpha, len(features)), ["grp", "start"]
+    classical = _moments(rows.groupBy("grp").agg(*_sums(features)), ["grp"], p, 1.0, floors)
+    starts = classical.withColumn("start", F.lit("classical")).unionByName(_robust_start(rows, features, floors).withColumn("start", F.lit("quartiles")))
+    groups = stage(_factored(starts, keys, p).withColumn("step", F.lit(0)), "mcd-start")
+    order = Window.partitionBy(*keys).orderBy("bin")
+    moments = [c for c in ("c", *(f"a_{i}" for i in range(p)), *(f"b_{i}_{j}" for i in range(p) for j in range(i + 1)))]
+    columns = [c for c in groups.columns if c != "step"]
+    for step in range(1, most_steps + 1):
+        # Only what fell in the step before can fall again; a start is no estimate yet.
+        falling = groups.filter(F.col("step") == step - 1).select(*columns)
+        near = _distances(rows, falling.select(*keys, *[c for c in columns if c[:2] in ("m_", "l_")]), features)
+        near = near.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS))
+        sums = stage(near.groupBy(*keys, "n", "bin").agg(*_sums(features)), "mcd-sums")
+        running = sums.select(*keys, "n", "bin", *moments, *[F.sum(c).over(order).alias(f"to_{c}") for c in moments])
+        wanted = F.ceil(F.lit(alpha) * F.col("n"))
+        edge = running.filter((F.col("to_c") >= wanted) & (F.col("to_c") - F.col("c") < wanted))
+        part = (wanted - (F.col("to_c") - F.col("c"))) / F.col("c")
+        upto = edge.select(*keys, *[((F.col(f"to_{c}") - F.col(c)).cast("double") + F.col(c).cast("double") * part).alias(c) for c in moments])
+        # Written before it is compared, so that the factor's expressions are not copied into a join.
+        found = stage(_factored(_moments(upto, keys, p, factor, floors), keys, p).withColumn("step", F.lit(step)), "mcd-step")
+        better = found
+        if step > 1:
+            old = groups.select(*keys, F.col("logdet").alias("had"))
+            better = found.join(old, keys).filter(F.col("logdet") < F.col("had") - 1e-9).select(*found.columns)
+        after = stage(groups.join(better.select(*keys), keys, "left_anti").unionByName(better), "mcd-groups")
+        unstage(sums, found, groups)
+        groups = after
+        if groups.filter(F.col("step") == step).isEmpty():
+            break
     best = Window.partitionBy("grp").orderBy("logdet", "start")
-    both = found[0].unionByName(found[1]).withColumn("r", F.row_number().over(best))
-    return stage(both.filter("r = 1").drop("r", "start", "logdet"), "mcd")
+    won = groups.withColumn("r", F.row_number().over(best)).filter("r = 1")
+    sizes = rows.select("grp", "n").distinct()
+    return stage(won.join(sizes, "grp").select("grp", "n", *[c for c in columns if c[:2] in ("m_", "s_")]), "mcd")
+
+
+def shrunken(estimates: DataFrame, p: int, strength: float) -> DataFrame:
+    """Estimates ``grp, m_i, l_i_j`` drawn towards the one of ``ALL``, which counts for ``strength`` rows.
+
+    That is the mean and covariance of both taken as one, so what sets a group apart widens
+    its covariance; a group of many rows keeps its own estimate.
+    """
+    moments = [c for c in estimates.columns if c[:2] in ("m_", "s_")]
+    whole = estimates.filter(F.col("grp") == ALL).select(*[F.col(c).alias(f"all_{c}") for c in moments])
+    own = F.col("n") / (F.col("n") + F.lit(strength))
+    gap = lambda i: F.col(f"m_{i}") - F.col(f"all_m_{i}")
+    mixed = {c: own * F.col(c) + (1 - own) * F.col(f"all_{c}") for c in moments}
+    for c in moments:
+        if c[:2] == "s_":
+            _, i, j = c.split("_")
+            mixed[c] = mixed[c] + own * (1 - own) * gap(i) * gap(j)
+    # One row on the right.
+    joined = estimates.filter(F.col("grp") != ALL).join(F.broadcast(whole), F.lit(True))
+    return _factored(joined.select("grp", *[v.alias(c) for c, v in mixed.items()]), ["grp"], p)
 
 
 #: The five statistics in thousandths, and the standard deviations added to each.
@@ -168,35 +211,35 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, tail: float = 1e-7, alpha: float = 0.75, steps: int = 4, min_group: int = 40) -> DataFrame:
+def quality_rules(docs: DataFrame, tail: float = 1e-7, alpha: float = 0.75, strength: float = 100.0) -> DataFrame:
     """Verdict of every document, with its counts and its squared distance ``d2``.
 
     Rejected (``kept`` false) is what fails the base rules, and what lies beyond
     the chi-square quantile that leaves ``tail`` of normal rows. Estimates use
-    all documents that pass the base rules. Groups (language and source, null a
-    value like any other) of fewer than ``min_group`` such documents are pooled;
-    if the pool is smaller still, it has no estimate and keeps its documents
-    (``d2`` null). Null texts have no words and fail the base rules.
+    all documents that pass the base rules; a group is a language and source, null a
+    value like any other, and the estimate of all groups together counts in it for
+    ``strength`` documents. Documents of a group of which none passes have null ``d2``.
+    Null texts have no words and fail the base rules, as do all texts of fewer than 50
+    words; texts of any length are read whole. Repeated rows count and are judged one by
+    one. An empty table gives no rows. Columns besides ``doc_id``, ``text``, ``lang`` and
+    ``source`` play no part.
     """
     rows = statistics(docs)
-    passed = rows.filter("not base_failed")
-    sizes = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("own"))
-    key = F.when(F.col("own") >= min_group, F.to_json(F.struct("lang", "source"))).otherwise(F.lit("pool"))
-    sizes = sizes.withColumn("grp", key)
-    sizes = stage(sizes.withColumn("n", F.sum("own").over(Window.partitionBy("grp"))), "mcd-groups")
-    same = F.col("d.lang").eqNullSafe(F.col("g.lang")) & F.col("d.source").eqNullSafe(F.col("g.source"))
-    described = passed.alias("d").join(sizes.filter(F.col("n") >= min_group).alias("g"), same).select("doc_id", "grp", "n", *FEATURES)
-    described = stage(described, "mcd-rows")
-    estimates = fit_mcd(described, FEATURES, FLOORS, alpha, steps)
-    limit = chi2_quantile(1 - tail, len(FEATURES))
-    joined = rows.alias("d").join(sizes.select("lang", "source", "grp").alias("g"), same, "left").select("d.*", "grp")
-    scored = _distances_left(joined, estimates)
+    # A group's name cannot be that of all: it is a JSON object.
+    rows = rows.withColumn("grp", F.to_json(F.struct(F.col("lang").alias("l"), F.col("source").alias("s"))))
+    passed = rows.filter("not base_failed").select(F.explode(F.array("grp", F.lit(ALL))).alias("grp"), *FEATURES)
+    sizes = stage(passed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "mcd-sizes")
+    described = stage(passed.join(sizes, "grp").select("grp", "n", *FEATURES), "mcd-rows")
+    p = len(FEATURES)
+    estimates = stage(shrunken(fit_mcd(described, FEATURES, FLOORS, alpha), p, strength), "mcd-shrunken")
+    unstage(described, sizes)
+    limit = chi2_quantile(1 - tail, p)
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= F.lit(limit)))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
+    return _distances_left(rows, estimates).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
 
 
 def _distances_left(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """As ``_distances``, but rows that have no estimate stay, with ``d2`` null."""
     missing = rows.join(groups.select("grp"), "grp", "left_anti").withColumn("d2", F.lit(None).cast("double"))
     kept = [*rows.columns, "d2"]
-    return _distances(rows.filter(F.col("grp").isNotNull()), groups.drop("n"), FEATURES).select(*kept).unionByName(missing.select(*kept))
+    return _distances(rows, groups, FEATURES).select(*kept).unionByName(missing.select(*kept))

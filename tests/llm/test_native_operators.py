@@ -23,8 +23,34 @@ def counts_of(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def brute_rules(rows, min_group=40, tail=1e-7, alpha=0.75, steps=4):
-    """Verdicts by a plain minimum-covariance-determinant fit in numpy."""
+def concentrated(xs, alpha=0.75):
+    """Mean and covariance of a plain minimum-covariance-determinant fit; rows of the bin at the edge count in part."""
+    n, floors, p = len(xs), np.diag(np.array(outliers.FLOORS) ** 2), 5
+    at = lambda q: np.sort(xs, axis=0)[math.ceil(q * n) - 1]
+    spread = lambda x, w, f: ((x - np.average(x, 0, w)).T * w @ (x - np.average(x, 0, w)) / w.sum()) * f
+    starts = [(xs.mean(0), spread(xs, np.ones(n), 1.0) + floors), (at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2) + floors)]
+    found = []
+    for mean, cov in starts:
+        had = np.inf
+        while True:
+            d2 = np.einsum("ij,jk,ik->i", xs - mean, np.linalg.inv(cov), xs - mean)
+            bins = np.floor(np.log(d2 + 1e-9) * outliers.BINS)
+            wanted = math.ceil(alpha * n)
+            edge = np.sort(bins)[wanted - 1]
+            below, inside = (bins < edge).sum(), (bins == edge).sum()
+            weight = np.where(bins < edge, 1.0, np.where(bins == edge, (wanted - below) / inside, 0.0))
+            some = weight > 0
+            new = np.average(xs, 0, weight), spread(xs[some], weight[some], outliers.consistency(alpha, p)) + floors
+            logdet = np.linalg.slogdet(new[1])[1] / 2
+            if logdet >= had - 1e-9:
+                break
+            (mean, cov), had = new, logdet
+        found.append((had, mean, cov))
+    return min(found, key=lambda x: x[0])[1:]
+
+
+def brute_rules(rows, strength=100.0, tail=1e-7):
+    """Verdicts by plain fits in numpy, each drawn towards the one of all documents."""
     found, groups = [], defaultdict(list)
     for doc, text, lang, source in rows:
         n, chars, symbols, lines, repeats = counts = counts_of(text)
@@ -33,32 +59,17 @@ def brute_rules(rows, min_group=40, tail=1e-7, alpha=0.75, steps=4):
         found.append([doc, *counts, failed, [math.floor(1000 * v + 0.5) for v in x], (lang, source)])
         if not failed:
             groups[lang, source].append(found[-1][7])
-    pooled = defaultdict(list)
+    limit, fits = outliers.chi2_quantile(1 - tail, 5), {}
+    if groups:
+        whole = concentrated(np.array([x for xs in groups.values() for x in xs], float))
     for key, xs in groups.items():
-        pooled[key if len(xs) >= min_group else "pool"] += xs
-    limit, floors, p = outliers.chi2_quantile(1 - tail, 5), np.array(outliers.FLOORS), 5
-    fits = {}
-    for key, xs in pooled.items():
-        xs = np.array(xs, float)
-        if len(xs) < min_group:
-            continue
-        at = lambda q: np.sort(xs, axis=0)[math.ceil(q * len(xs)) - 1]
-        starts = [(xs.mean(0), np.cov(xs.T, bias=True) + np.diag(floors**2)), (at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2 + floors**2))]
-        best = None
-        for mean, cov in starts:
-            for _ in range(steps):
-                d2 = np.einsum("ij,jk,ik->i", xs - mean, np.linalg.inv(cov), xs - mean)
-                bins = np.floor(np.log(d2 + 1e-9) * outliers.BINS)
-                edge = np.sort(bins)[math.ceil(alpha * len(xs)) - 1]
-                near = xs[bins <= edge]
-                mean, cov = near.mean(0), np.cov(near.T, bias=True) * outliers.consistency(alpha, p) + np.diag(floors**2)
-            if best is None or np.linalg.slogdet(cov)[1] < best[0] - 1e-12:
-                best = np.linalg.slogdet(cov)[1], mean, np.linalg.inv(cov)
-        fits[key] = best[1:]
+        own, part = concentrated(np.array(xs, float)), len(xs) / (len(xs) + strength)
+        mean, cov = (part * a + (1 - part) * b for a, b in zip(own, whole))
+        fits[key] = mean, np.linalg.inv(cov + part * (1 - part) * np.outer(own[0] - whole[0], own[0] - whole[0]))
     out = []
     for *head, failed, x, key in found:
-        fit = fits.get(key if len(groups.get(key, [])) >= min_group else "pool") if key in groups else None
-        kept = not failed and (fit is None or (np.array(x) - fit[0]) @ fit[1] @ (np.array(x) - fit[0]) <= limit)
+        fit = fits.get(key)
+        kept = not failed and (np.array(x) - fit[0]) @ fit[1] @ (np.array(x) - fit[0]) <= limit
         out.append((*head, failed, bool(kept)))
     return sorted(out, key=repr)
 
@@ -78,9 +89,9 @@ def test_rules_of_odd_rows(spark):
 def test_rules_of_table(spark):
     docs = table(spark, "documents", "sf0.01")
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
-    for min_group in (20, 300):
-        got = rule_rows(docs, min_group=min_group)
-        assert got == brute_rules(rows, min_group)
+    for strength in (300.0, 100.0):
+        got = rule_rows(docs, strength=strength)
+        assert got == brute_rules(rows, strength)
     labels = {r["doc_id"]: r["quality"] for r in table(spark, "labels", "sf0.01").collect()}
     judged = [r for r in got if r[0] in labels and not r[6]]
     assert all(r[7] for r in judged if labels[r[0]] == 1)
@@ -99,6 +110,35 @@ def test_rules_reject_repetition_alone(spark):
     assert not got[1000][7] and not got[1001][7] and all(got[i][7] for i in range(200))
 
 
+def test_rules_of_small_groups(spark):
+    """The only document of a source is judged by what is known of all; forty are a kind of their own."""
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnop"), k))
+    prose = lambda n: " ".join(word(int(rng.integers(3, 9))) for _ in range(n))
+    marked = lambda n: " ".join(word(5) + "|#" * 20 for _ in range(n))
+    rows = [(i, prose(int(rng.integers(100, 400))), "en", f"s{i % 3}") for i in range(150)]
+    rows += [(500, marked(120), "en", "alone"), (501, prose(200), "de", "single"), (502, prose(200), None, None)]
+    rows += [(600 + i, marked(int(rng.integers(100, 400))), "xx", "tables") for i in range(40)]
+    got = {r[0]: r for r in rule_rows(docs_of(spark, rows))}
+    assert not got[500][7] and got[501][7] and got[502][7] and all(got[i][7] for i in range(150)) and all(got[600 + i][7] for i in range(40))
+    assert rule_rows(docs_of(spark, rows)) == rule_rows(docs_of(spark, rows[::-1], 5)) == brute_rules(rows)
+
+
+def test_repeat_words_where_hashes_meet(spark, monkeypatch):
+    """With three bits of hash left neighbours differ, and the texts of the windows decide."""
+    from pyspark.sql import functions as F
+
+    from linkloom.llm import quality_stats
+
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(map(str, rng.integers(0, 6, int(rng.integers(0, 40)))))) for i in range(60)]
+    df = docs_of(spark, rows).select("doc_id", F.struct(quality_stats.words_of().alias("w")).alias("x"))
+    for bits in (61, 21, 4):
+        monkeypatch.setattr(quality_stats, "PLACE_BITS", bits)
+        got = {r[0]: r[1] for r in df.select("doc_id", quality_stats.n_repeat_words(F.col("x.w"))).collect()}
+        assert got == {d: counts_of(t)[4] for d, t in rows}
+
+
 def test_chi_square():
     assert outliers.chi2_quantile(0.95, 1) == pytest.approx(3.8415, abs=1e-3)
     assert outliers.chi2_quantile(0.999, 5) == pytest.approx(20.515, abs=1e-3)

@@ -17,9 +17,9 @@ from linkloom.functions import NO_TEXT
 from linkloom.operators import evidence as ev
 from linkloom.operators import matrix, pageviews, relational, scoring, webgraph, weights
 from linkloom.plans import classic, similarity
-from linkloom.sources import adjacency
+from linkloom.sources import adjacency, files
 from linkloom.sources.tables import CLICKS_SQL, DICTIONARY_SQL, LINKS_SQL, click_graph, normalised_keys, page_links, query_dictionary, table
-from linkloom.storage import stage
+from linkloom.storage import stage, staged_path
 
 #: Off the lattice of the products of click shares, so that no product equals it.
 THRESHOLD = 0.00101
@@ -95,6 +95,11 @@ def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return edges, weights.weight_matrix(edges, "a", "q"), weights.weight_matrix(edges, "q", "a")
 
 
+def _weight_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both matrices staged, for what uses them more than once."""
+    return similarity.weight_pair(click_graph(spark, sf_dir))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_queries(click_graph(spark, sf_dir), IN_PLACE).scores
 
@@ -138,9 +143,15 @@ def weight_q2a(spark, sf_dir):
     return _weights(spark, sf_dir)[2].withColumn("v", F.round("v", 6))
 
 
-@query(f"WITH {WEIGHTS_SQL} SELECT i, j, CAST(round(v, 6) AS FLOAT) AS v FROM wqa")
+@query(f"""WITH {CLICKS_SQL}, sa AS (
+        SELECT a, exp(-CAST((count(*) * sum(clicks * clicks) - sum(clicks) * sum(clicks))::DOUBLE / (count(*) * count(*))::DOUBLE AS FLOAT)::DOUBLE) AS spread FROM clicks GROUP BY a
+    ), sq AS (SELECT q, sum(clicks) AS total FROM clicks GROUP BY q)
+    SELECT a AS i, q AS j, round(CAST(CAST(spread * CAST(clicks::DOUBLE / total AS FLOAT)::DOUBLE AS FLOAT) AS DOUBLE), 6) AS v FROM clicks JOIN sq USING (q) JOIN sa USING (a)
+""")
 def weight_a2q_single(spark, sf_dir):
-    return _weights(spark, sf_dir)[1].withColumn("v", F.round("v", 6).cast("float"))
+    """Weights in single-precision arithmetic."""
+    edges = stage(click_graph(spark, sf_dir), "clicks")
+    return weights.weight_matrix(edges, "a", "q", single=True).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
 @query(f"WITH {CLICKS_SQL}, {EVIDENCE_SQL} SELECT q1, q2, n, e FROM ev")
@@ -167,23 +178,23 @@ def evidence_intersect(spark, sf_dir):
 
 @query(f"WITH {WEIGHTS_SQL} {_first_sql('wqa')}")
 def self_product_q2q(spark, sf_dir):
-    return similarity.first_step(_weights(spark, sf_dir)[1], IN_PLACE)
+    return similarity.first_step(_weight_pair(spark, sf_dir)[0], IN_PLACE)
 
 
 @query(f"WITH {WEIGHTS_SQL} {_first_sql('waq')}")
 def self_product_a2a(spark, sf_dir):
-    return similarity.first_step(_weights(spark, sf_dir)[2], IN_PLACE)
+    return similarity.first_step(_weight_pair(spark, sf_dir)[1], IN_PLACE)
 
 
 @query(f"WITH {WEIGHTS_SQL} SELECT x.i, y.j, sum(x.v * y.v * {C})::FLOAT::DOUBLE AS v FROM waq AS x JOIN wqa AS y ON x.j = y.i WHERE x.v * y.v * {C} >= {TH} GROUP BY x.i, y.j")
 def matmul_partial_prune(spark, sf_dir):
-    _, a2q, q2a = _weights(spark, sf_dir)
+    a2q, q2a = _weight_pair(spark, sf_dir)
     return matrix.product(q2a, a2q, IN_PLACE.threshold, IN_PLACE.decay)
 
 
 @query(f"WITH {WEIGHTS_SQL} SELECT x.i, y.j, round(sum(x.v * y.v) * {C}, 6) AS v FROM waq AS x JOIN wqa AS y ON x.j = y.i GROUP BY x.i, y.j HAVING sum(x.v * y.v) > {TH}")
 def matmul_sum_prune(spark, sf_dir):
-    _, a2q, q2a = _weights(spark, sf_dir)
+    a2q, q2a = _weight_pair(spark, sf_dir)
     return matrix.product(q2a, a2q, IN_PLACE.threshold, IN_PLACE.decay, prune="sum").withColumn("v", F.round("v", 6))
 
 
@@ -194,17 +205,17 @@ def transpose(spark, sf_dir):
 
 @query(f"WITH {WEIGHTS_SQL}, s AS ({_first_sql('waq')}) SELECT i, j, v FROM s UNION ALL SELECT j, i, v FROM s WHERE i <> j")
 def symmetric_expand(spark, sf_dir):
-    return matrix.expand_symmetric(stage(similarity.first_step(_weights(spark, sf_dir)[2], IN_PLACE), "first"))
+    return matrix.expand_symmetric(stage(similarity.first_step(_weight_pair(spark, sf_dir)[1], IN_PLACE), "first"))
 
 
 @query(f"WITH {IN_PLACE_SQL} SELECT i, j, v FROM q2")
 def simrank_inplace2(spark, sf_dir):
-    return similarity.iterate(*_weights(spark, sf_dir)[1:], IN_PLACE)[0]
+    return similarity.iterate(*_weight_pair(spark, sf_dir), IN_PLACE)[0]
 
 
 @query(f"WITH {JACOBI_SQL} SELECT 'query' AS side, i, j, v FROM q2 UNION ALL SELECT 'ad', i, j, v FROM a2")
 def simrank_jacobi2(spark, sf_dir):
-    queries, ads = similarity.iterate(*_weights(spark, sf_dir)[1:], JACOBI)
+    queries, ads = similarity.iterate(*_weight_pair(spark, sf_dir), JACOBI)
     return queries.select(F.lit("query").alias("side"), "i", "j", "v").unionByName(ads.select(F.lit("ad").alias("side"), "i", "j", "v"))
 
 
@@ -213,6 +224,18 @@ def score_evidence(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
+@query(f"WITH {IN_PLACE_SQL}, {EVIDENCE_SQL} SELECT i, j, v * coalesce(e, 0.5::DOUBLE) AS v FROM q2 LEFT JOIN ev ON q1 = least(i, j) AND ev.q2 = greatest(i, j)")
+def merge_evidence(spark, sf_dir):
+    edges = stage(click_graph(spark, sf_dir), "clicks")
+    queries, _ = similarity.iterate(*similarity.weight_pair(edges), IN_PLACE)
+    return scoring.merge_evidence(queries, ev.evidence(edges))
+
+
+@query(f"WITH {SCORES_SQL} SELECT i, j, round(v / max(v) OVER (PARTITION BY i), 6) AS v FROM scores")
+def normalize_unmirrored(spark, sf_dir):
+    return scoring.normalised(_scores(spark, sf_dir), mirror=False).withColumn("v", F.round("v", 6))
+
+
 @query(f"WITH {MIRROR_SQL} SELECT i, j, v FROM mirror")
 def mirror_scores(spark, sf_dir):
     return scoring.mirrored(_scores(spark, sf_dir))
@@ -238,12 +261,20 @@ def ranked_list(spark, sf_dir):
     return scoring.ranked_lists(scoring.with_text(_scores(spark, sf_dir), _texts(spark, sf_dir)), "%.6f")
 
 
+@query(f"""WITH {SCORE_TEXT_SQL}, r AS (SELECT i, text, v, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS k FROM st)
+    SELECT i AS qid, string_agg(chr(1) || text || chr(2) || printf('%.6f', v), '' ORDER BY k) AS list FROM r GROUP BY i
+""")
+def ranked_list_raw(spark, sf_dir):
+    """Ranked lists with the scores as they are."""
+    return scoring.ranked_lists(scoring.with_text(_scores(spark, sf_dir), _texts(spark, sf_dir)), "%.6f", normalise=False)
+
+
 @query(f"WITH {RANKED_SQL} SELECT qid, text || list AS value FROM ranked JOIN texts USING (qid)")
 def final_output(spark, sf_dir):
     return similarity.ranked_lines(_scores(spark, sf_dir), _texts(spark, sf_dir), "%.6f")
 
 
-_A = "SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0"
+_A = "SELECT c_custkey AS key, c_acctbal AS value FROM customer"
 _B = "SELECT o_custkey AS key, max(o_totalprice) AS value FROM orders GROUP BY o_custkey"
 _C = "SELECT s_suppkey AS key, s_acctbal AS value FROM supplier"
 
@@ -330,6 +361,55 @@ def classic_simrank(spark, sf_dir):
     return classic.classic_simrank(links, iterations=2).withColumn("s", F.round("s", 6))
 
 
+def _host_similarity(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    links = webgraph.host_graph(page_links(spark, sf_dir))
+    return links, classic.classic_simrank(links, iterations=2)
+
+
+@query(_classic_sql().replace(" SELECT x, y, round(s, 6) AS s FROM s2", ", asked AS (SELECT src, dst FROM g UNION SELECT src, src FROM g) SELECT src AS x, dst AS y, round(coalesce(s, 0.0::DOUBLE), 6) AS s FROM asked LEFT JOIN s2 ON s2.x = greatest(src, dst) AND s2.y = least(src, dst)"))
+def classic_pair_lookup(spark, sf_dir):
+    """Similarity of the hosts at both ends of every link, and of each host and itself."""
+    links, similar = _host_similarity(spark, sf_dir)
+    asked = links.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(links.select("src", "src")).distinct()
+    return classic.similarity_of(similar, asked).withColumn("s", F.round("s", 6))
+
+
+@query(_classic_sql().replace(" SELECT x, y, round(s, 6) AS s FROM s2", " SELECT CASE WHEN x = h THEN y ELSE x END AS y, round(s, 6) AS s FROM s2, (SELECT min(x) AS h FROM node) WHERE x <> y AND (x = h OR y = h)"))
+def classic_row_lookup(spark, sf_dir):
+    """All hosts similar to the first one in code-point order."""
+    links, similar = _host_similarity(spark, sf_dir)
+    first = links.select(F.explode(F.array("src", "dst")).alias("x")).agg(F.min("x")).first()[0]
+    return classic.similar_to(similar, first).withColumn("s", F.round("s", 6))
+
+
+_PAGE = "(SELECT min(dst) FROM links)"
+
+
+def _page(links: DataFrame) -> str:
+    """The first url, in code-point order, that a page links to."""
+    return links.agg(F.min("dst")).first()[0]
+
+
+@query(f"WITH {LINKS_SQL} SELECT dst, weight FROM links WHERE src = {_PAGE}")
+def webgraph_out_links(spark, sf_dir):
+    links = page_links(spark, sf_dir)
+    return webgraph.out_links(links, _page(links))
+
+
+@query(f"WITH {LINKS_SQL} SELECT src, weight FROM links WHERE dst = {_PAGE}")
+def webgraph_in_links(spark, sf_dir):
+    links = page_links(spark, sf_dir)
+    return webgraph.in_links(links, _page(links))
+
+
+@query(f"WITH {LINKS_SQL}, asked AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links) SELECT a.src, a.dst, coalesce(max(weight), 0.0::DOUBLE) AS weight FROM asked AS a LEFT JOIN links AS l ON a.src = l.src AND a.dst = l.dst GROUP BY a.src, a.dst")
+def webgraph_edge_weights(spark, sf_dir):
+    """Weights of every link and of its reverse."""
+    links = page_links(spark, sf_dir)
+    asked = links.select("src", "dst").union(links.select("dst", "src")).distinct()
+    return webgraph.edge_weights(links, asked)
+
+
 _SETS = {"k": ["user_id"], "kb": ["user_id", "event_type"], "b": ["event_type"], "all": []}
 
 
@@ -381,3 +461,91 @@ def adjacency_round_trip(spark, sf_dir):
 @query(f"WITH {LINKS_SQL} SELECT DISTINCT url, {_HOST.format('url')} AS host FROM (SELECT src AS url FROM links UNION ALL SELECT dst FROM links)")
 def webgraph_nodes(spark, sf_dir):
     return webgraph.nodes(page_links(spark, sf_dir)).select("url", "host")
+
+
+@query(f"WITH {DICTIONARY_SQL} SELECT qid, norm_key, f, p FROM dictionary")
+def dictionary_text(spark, sf_dir):
+    """Dictionary rows written as lines and parsed again."""
+    return adjacency.parse_dictionary(adjacency.render_dictionary(query_dictionary(spark, sf_dir), "qq"))
+
+
+@query(f"WITH {DICTIONARY_SQL} SELECT norm_key, raw_key FROM normalised")
+def normalised_text(spark, sf_dir):
+    return adjacency.parse_normalised(adjacency.render_normalised(normalised_keys(spark, sf_dir), "nq"))
+
+
+@query(f"WITH {LINKS_SQL} SELECT src, dst, weight FROM links")
+def webgraph_text(spark, sf_dir):
+    """Links written as lines and parsed again."""
+    return adjacency.parse_web_graph(adjacency.render_web_graph(page_links(spark, sf_dir)))
+
+
+@query("SELECT CAST(o_custkey AS INT) AS i, CAST(o_orderkey AS INT) AS j, CAST(o_orderkey % 3 AS DOUBLE) AS v FROM orders WHERE o_orderkey % 3 <> 0")
+def matrix_zero_skip(spark, sf_dir):
+    whole = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("int").alias("i"), F.col("o_orderkey").cast("int").alias("j"), (F.col("o_orderkey") % 3).cast("double").alias("v"))
+    return matrix.drop_zeros(whole)
+
+
+@query(f"WITH {CLICKS_SQL} SELECT q AS i, a AS j, CAST(clicks AS DOUBLE) AS v FROM clicks")
+def matrix_bounds(spark, sf_dir):
+    """The clicks as a matrix, checked against the largest ids."""
+    edges = stage(click_graph(spark, sf_dir), "clicks")
+    most = weights.max_ids(edges).first()
+    return matrix.checked_bounds(edges.select(F.col("q").alias("i"), F.col("a").alias("j"), F.col("clicks").cast("double").alias("v")), most["max_q"] + 1, most["max_a"] + 1)
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_mktsegment").alias("value"))
+
+
+_LINES_SQL = "SELECT c_custkey || '|' || c_mktsegment AS value FROM customer"
+
+
+@query(_LINES_SQL)
+def text_files(spark, sf_dir):
+    """Lines written twice, the second time in place of the first, and scanned by a glob in small splits."""
+    path = staged_path(spark, "text-files")
+    files.write_text(_lines(spark, sf_dir).limit(3), f"{path}/lines")
+    files.write_text(_lines(spark, sf_dir), f"{path}/lines")
+    return files.scan_text(spark, f"{path}/li*", split_bytes=4096)
+
+
+@query(f"SELECT value, 1 AS n FROM ({_LINES_SQL})")
+def single_file(spark, sf_dir):
+    """Lines written as one file, with the number of files that were written."""
+    path = staged_path(spark, "single-file")
+    files.write_single(_lines(spark, sf_dir), path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    return lines.withColumn("n", F.lit(lines.select("file").distinct().count())).drop("file")
+
+
+@query("SELECT 'nation' AS tag, CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region")
+def named_files(spark, sf_dir):
+    """Two results written under one folder and scanned as one table with their names."""
+    path = staged_path(spark, "named-files")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name"))
+    files.write_named({"nation": nation, "region": region}, path)
+    return files.scan_tagged(spark, "id bigint, name string", {"nation": f"{path}/nation", "region": f"{path}/region"}).select("tag", "id", "name")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey FROM orders")
+def column_files(spark, sf_dir):
+    """Columns written and scanned under a declared schema in small splits."""
+    path = staged_path(spark, "column-files")
+    files.write_columns(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), "o_totalprice"), path)
+    return files.scan_columns(spark, "o_orderkey bigint, o_custkey bigint", path, split_bytes=1 << 16)
+
+
+@query(f"""
+    SELECT user_id, event_type, count(*) AS pv, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day FROM events
+    WHERE CAST(ts AS DATE) BETWEEN DATE '{LAST_DAY}' - 3 AND DATE '{LAST_DAY}' GROUP BY ALL
+""")
+def pv_day_partitions(spark, sf_dir):
+    """Five days built as partitions, the last one twice, the first one then expired."""
+    path, daily = staged_path(spark, "days"), _daily(spark, sf_dir)
+    make = lambda day: daily.filter(F.col("day") == F.lit(day))
+    if failed := pageviews.build_days(spark, path, LAST_DAY, 5, make) + pageviews.build_days(spark, path, LAST_DAY, 5, make):
+        raise RuntimeError(f"days failed: {failed}")
+    pageviews.delete_expired(spark, path, LAST_DAY, 4, reach=1)
+    return spark.read.parquet(path).select("user_id", "event_type", "pv", F.date_format("day", "yyyy-MM-dd").alias("day"))

@@ -16,9 +16,14 @@ def evidence_of(common: Column) -> Column:
     return F.lit(1.0) - F.pow(F.lit(2.0), -common.cast("double"))
 
 
-def spread_of(count: Column, total: Column, squares: Column) -> Column:
-    """e^-variance from exact integer sums; population variance."""
-    return F.exp(-((count * squares - total * total).cast("double") / (count * count).cast("double")))
+def variance_of(count: Column, total: Column, squares: Column) -> Column:
+    """Population variance from exact integer sums."""
+    return (count * squares - total * total).cast("double") / (count * count).cast("double")
+
+
+def spread_of(count: Column, total: Column, squares: Column, single: bool = False) -> Column:
+    """e^-variance; ``single`` rounds the variance to single precision first."""
+    return F.exp(-rounded(variance_of(count, total, squares), single))
 
 
 def rounded(value: Column, float32: bool) -> Column:

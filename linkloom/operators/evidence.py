@@ -6,33 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import evidence_of
-from linkloom.operators.matrix import _sliced
+from linkloom.operators.matrix import SLICE_ROWS, _sliced
 
 
-def common_neighbours(edges: DataFrame, slice_rows: int | None = None) -> DataFrame:
+def common_neighbours(edges: DataFrame, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """``q1 < q2, n``: ads that both queries share. Clicks do not count; edges are distinct first."""
     pairs = edges.select("a", "q").distinct()
     left, right, on = _sliced(pairs.select("a", F.col("q").alias("q1")), pairs.select("a", F.col("q").alias("q2")), "a", slice_rows)
     return left.join(right, on).filter("q1 < q2").groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("n"))
 
 
-def evidence(edges: DataFrame, slice_rows: int | None = None) -> DataFrame:
+def evidence(edges: DataFrame, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """``q1 < q2, n, e`` with e = 1 - 2^-n."""
     return common_neighbours(edges, slice_rows).select("q1", "q2", "n", evidence_of(F.col("n")).alias("e"))
 
 
-def query_pairs(edges: DataFrame) -> DataFrame:
+def evidence_for(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``q1, q2, n, e`` of the given distinct ``q1, q2`` pairs only; those that share nothing are left out.
+
+    The ads of whichever query has fewer are listed for a pair and looked up among the
+    edges of the other, so no list of a popular query travels with its pairs.
+    """
+    links = edges.select("q", "a").distinct()
+    degrees = links.groupBy("q").agg(F.count(F.lit(1)).alias("d"))
+    one, two = degrees.select(F.col("q").alias("q1"), F.col("d").alias("d1")), degrees.select(F.col("q").alias("q2"), F.col("d").alias("d2"))
+    small = F.col("d1") <= F.col("d2")
+    asked = pairs.select("q1", "q2").join(one, "q1").join(two, "q2")
+    asked = asked.select("q1", "q2", F.when(small, F.col("q1")).otherwise(F.col("q2")).alias("q"), F.when(small, F.col("q2")).otherwise(F.col("q1")).alias("other"))
+    listed = asked.join(links, "q").select("q1", "q2", F.col("other").alias("q"), "a")
+    shared = listed.join(links, ["q", "a"], "left_semi").groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("n"))
+    return shared.select("q1", "q2", "n", evidence_of(F.col("n")).alias("e"))
+
+
+def query_pairs(edges: DataFrame, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """Distinct ``q1 < q2`` that share an ad."""
-    return common_neighbours(edges).select("q1", "q2")
+    return common_neighbours(edges, slice_rows).select("q1", "q2")
 
 
 def evidence_of_arrays(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """``q1, q2, e`` in both orders for ``q1, q2`` pairs, from ``id, neighbours`` arrays.
 
-    Pairs without common neighbours are left out.
+    Pairs without common neighbours are left out. Arrays are taken apart, so that pairs
+    carry ids and no arrays.
     """
-    one = arrays.select(F.col("id").alias("q1"), F.col("neighbours").alias("x"))
-    two = arrays.select(F.col("id").alias("q2"), F.col("neighbours").alias("y"))
-    found = pairs.join(one, "q1").join(two, "q2").select("q1", "q2", F.size(F.array_intersect("x", "y")).alias("n")).filter("n > 0")
+    edges = arrays.select(F.col("id").alias("q"), F.explode("neighbours").alias("a"))
+    found = evidence_for(pairs, edges)
     both = F.explode(F.array(F.struct("q1", "q2"), F.struct(F.col("q2").alias("q1"), F.col("q1").alias("q2")))).alias("p")
-    return found.select(both, evidence_of(F.col("n")).alias("e")).select("p.q1", "p.q2", "e")
+    return found.select(both, "e").select("p.q1", "p.q2", "e")

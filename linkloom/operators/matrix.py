@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from linkloom.functions import rounded
 
 
+#: Rows of one key beyond which a product deals them over several slices: adaptive execution splits
+#: partitions by their bytes, not by the pairs that a key makes.
+SLICE_ROWS = 20_000
+
+
 def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
@@ -64,8 +69,8 @@ def _sliced(left: DataFrame, right: DataFrame, key: str, slice_rows: int | None)
     """Both sides with the columns to join on; hot keys of ``left`` dealt over several slices.
 
     A key with more than ``slice_rows`` rows on the left is split into slices; the
-    right side's rows of that key are repeated for each. None leaves skew to
-    adaptive execution, which splits hot partitions of the join in the same way.
+    right side's rows of that key are repeated for each. Keys without slices have
+    number 0 on both sides. None leaves skew to adaptive execution.
     """
     if slice_rows is None:
         return left, right, [key]
@@ -87,7 +92,7 @@ def product(
     expand_a: bool = False,
     unit_diagonal: bool = False,
     float32: bool = True,
-    slice_rows: int | None = None,
+    slice_rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """Sparse product of ``a`` and ``b``, scaled by ``decay``.
 
@@ -110,6 +115,6 @@ def product(
     return _summed(pairs, threshold, decay, prune, unit_diagonal, float32)
 
 
-def self_product(p: DataFrame, threshold: float = 0.0, decay: float = 1.0, prune: str = "partial", unit_diagonal: bool = True, float32: bool = True, slice_rows: int | None = None) -> DataFrame:
+def self_product(p: DataFrame, threshold: float = 0.0, decay: float = 1.0, prune: str = "partial", unit_diagonal: bool = True, float32: bool = True, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """Lower triangle of P'P scaled by ``decay``; see ``product``."""
     return product(transpose(p), p, threshold, decay, prune, False, True, False, unit_diagonal, float32, slice_rows)

@@ -20,8 +20,9 @@ def with_evidence(scores: DataFrame, evidence: DataFrame, default: float = 0.48)
 
 
 def merge_evidence(scores: DataFrame, evidence: DataFrame) -> DataFrame:
-    """As ``with_evidence`` with the fixed default 0.5, both sides in the same order of indices."""
-    joined = scores.join(evidence.select(F.col("q1").alias("i"), F.col("q2").alias("j"), "e"), ["i", "j"], "left")
+    """As ``with_evidence`` with the fixed default 0.5 and with the diagonal, which has no evidence."""
+    pairs = scores.select("i", "j", "v", F.least("i", "j").alias("q1"), F.greatest("i", "j").alias("q2"))
+    joined = pairs.join(evidence.select("q1", "q2", "e"), ["q1", "q2"], "left")
     return joined.select("i", "j", (F.col("v") * F.coalesce("e", F.lit(0.5))).alias("v"))
 
 

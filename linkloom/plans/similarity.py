@@ -9,24 +9,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linkloom.config import Params
 from linkloom.operators import evidence, matrix, scoring, weights
+from linkloom.operators.matrix import SLICE_ROWS
 from linkloom.storage import stage
 
 
-def first_step(p: DataFrame, params: Params, slice_rows: int | None = None) -> DataFrame:
+def first_step(p: DataFrame, params: Params, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """decay * P'P with unit diagonal: the update from the identity."""
     return matrix.self_product(p, params.threshold, params.decay, params.prune, True, params.float32_scores, slice_rows)
 
 
-def next_step(similar: DataFrame, p: DataFrame, params: Params, slice_rows: int | None = None) -> DataFrame:
+def next_step(similar: DataFrame, p: DataFrame, params: Params, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """decay * (S P)' P with unit diagonal, S the half-stored similarity of the other side."""
     m = matrix.product(similar, p, params.threshold, 1.0, params.prune, expand_a=True, float32=params.float32_scores, slice_rows=slice_rows)
     return matrix.product(m, p, params.threshold, params.decay, params.prune, transpose_a=True, lower=True, unit_diagonal=True, float32=params.float32_scores, slice_rows=slice_rows)
 
 
-def iterate(a2q: DataFrame, q2a: DataFrame, params: Params = Params(), slice_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def iterate(a2q: DataFrame, q2a: DataFrame, params: Params = Params(), slice_rows: int | None = SLICE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Similarities ``(queries, ads)`` of the ads-by-queries and queries-by-ads weights.
 
     In place, n iterations update each side n - 1 times, ads first; otherwise both
@@ -61,20 +63,26 @@ class Result:
     scores: DataFrame
 
 
-def similar_queries(edges: DataFrame, params: Params = Params(), slice_rows: int | None = None) -> Result:
+def similar_queries(edges: DataFrame, params: Params = Params(), slice_rows: int | None = SLICE_ROWS) -> Result:
     """Click edges ``q, a, clicks`` to scores ``i, j, v`` of query pairs, with evidence.
 
-    Evidence counts all edges, also those below the click threshold.
+    Evidence counts all edges, also those below the click threshold, and is looked up
+    for the pairs that have a score only.
     """
     edges = stage(edges.select("q", "a", "clicks"), "edges")
-    kept = weights.filter_clicks(edges, params.min_clicks)
-    a2q = stage(weights.weight_matrix(kept, "a", "q"), "weights-a2q")
-    q2a = stage(weights.weight_matrix(kept, "q", "a"), "weights-q2a")
+    a2q, q2a = weight_pair(weights.filter_clicks(edges, params.min_clicks))
     queries, ads = iterate(a2q, q2a, params, slice_rows)
-    scores = scoring.with_evidence(queries, evidence.evidence(edges, slice_rows), params.evidence_default)
+    pairs = queries.filter("i <> j").select(F.least("i", "j").alias("q1"), F.greatest("i", "j").alias("q2"))
+    scores = scoring.with_evidence(queries, evidence.evidence_for(pairs, edges), params.evidence_default)
     return Result(a2q, q2a, queries, ads, stage(scores, "scores"))
 
 
+def weight_pair(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ads-by-queries and the queries-by-ads weights, from one written table."""
+    both = stage(weights.both_weights(edges), "weights")
+    return both.select(F.col("a").alias("i"), F.col("q").alias("j"), F.col("a2q").alias("v")), both.select(F.col("q").alias("i"), F.col("a").alias("j"), F.col("q2a").alias("v"))
+
+
 def ranked_lines(scores: DataFrame, texts: DataFrame, number: str | None = None) -> DataFrame:
     """``qid, value``: output lines of queries with their similar queries, best first."""
     texts = stage(texts, "texts")

@@ -38,6 +38,21 @@ def render_adjacency(edges: DataFrame, tag: str, node: str, other: str) -> DataF
     return lists.select(F.concat_ws(FIELD, F.lit(tag), F.col(node).cast("string"), joined).alias("value"))
 
 
+def render_dictionary(words: DataFrame, tag: str) -> DataFrame:
+    """Dictionary lines of ``qid, norm_key, f, p`` rows."""
+    return words.select(F.concat_ws(FIELD, F.lit(tag), F.col("qid").cast("string"), F.concat_ws(PART, "norm_key", "f", "p")).alias("value"))
+
+
+def render_normalised(keys: DataFrame, tag: str) -> DataFrame:
+    """Lines of ``norm_key, raw_key`` rows."""
+    return keys.select(F.concat_ws(FIELD, F.lit(tag), "norm_key", "raw_key").alias("value"))
+
+
+def render_web_graph(links: DataFrame) -> DataFrame:
+    """Web-graph lines of ``src, dst, weight`` rows; a node alone where ``dst`` is null."""
+    return links.select(F.when(F.col("dst").isNull(), F.col("src")).otherwise(F.concat("src", F.lit(" -> "), "dst", F.lit(" "), F.col("weight").cast("string"))).alias("value"))
+
+
 def parse_dictionary(lines: DataFrame) -> DataFrame:
     """``qid, norm_key, f, p`` of lines ``tag ^A id ^A norm ^C f ^C p``; others are skipped."""
     rows = lines.select(F.split("value", FIELD, -1).alias("f")).filter(F.size("f") == 3)
@@ -54,16 +69,16 @@ def parse_normalised(lines: DataFrame) -> DataFrame:
 def parse_web_graph(lines: DataFrame) -> DataFrame:
     """``src, dst, weight`` of lines ``url -> url weight``; ``dst`` null for a node alone.
 
-    The weight defaults to 1; one that is no number counts as part of the url, as
-    does everything else after the arrow.
+    After the arrow the url ends at the first space, if all that follows is a number;
+    else the url is all of it and the weight 1.
     """
     line = F.trim("value")
     at = F.instr(line, "->")
     right = F.trim(F.substring(line, at + 2, F.length(line)))
-    tail = F.regexp_extract(right, r"\s(\S+)$", 1)
-    number = F.expr("try_cast(tail as double)")
-    rows = lines.filter(line != "").select(F.when(at > 0, F.trim(F.substring(line, F.lit(1), at - 1))).otherwise(line).alias("src"), F.when(at > 0, right).alias("right"), F.when(at > 0, tail).alias("tail"))
-    dst: Column = F.when(number.isNotNull(), F.trim(F.regexp_replace("right", r"\s\S+$", ""))).otherwise(F.col("right"))
+    gap = F.instr("right", " ")
+    rows = lines.filter(line != "").select(F.when(at > 0, F.trim(F.substring(line, F.lit(1), at - 1))).otherwise(line).alias("src"), F.when(at > 0, right).alias("right"))
+    number = F.when(gap > 0, F.trim(F.substring("right", gap + 1, F.length("right"))).try_cast("double"))
+    dst: Column = F.when(number.isNotNull(), F.substring("right", F.lit(1), gap - 1)).otherwise(F.col("right"))
     return rows.select("src", dst.alias("dst"), F.coalesce(number, F.lit(1.0)).alias("weight"))
 
 

@@ -32,8 +32,8 @@ def test_dictionaries(spark):
 
 
 def test_web_graph(spark):
-    got = adjacency.parse_web_graph(lines(spark, "a.com/x -> b.com 2.5", "a.com -> c.com", "lone.com", "a.com -> d.com much", ""))
-    assert rows(got) == sorted([("a.com/x", "b.com", 2.5), ("a.com", "c.com", 1.0), ("lone.com", None, 1.0), ("a.com", "d.com much", 1.0)], key=str)
+    got = adjacency.parse_web_graph(lines(spark, "a.com/x -> b.com 2.5", "a.com -> c.com", "lone.com", "a.com -> d.com much", "u -> a b 2.0", "v -> a  3 ", ""))
+    assert rows(got) == sorted([("a.com/x", "b.com", 2.5), ("a.com", "c.com", 1.0), ("lone.com", None, 1.0), ("a.com", "d.com much", 1.0), ("u", "a b 2.0", 1.0), ("v", "a", 3.0)], key=str)
     links = spark.createDataFrame([("http://a.com/x", "http://b.com/", 1.0), ("http://a.com/x", "http://b.com/", 3.0), ("http://a.com/x", "http://A.com/y", 2.0), ("lone.com", None, 1.0)], "src string, dst string, weight double")
     assert rows(webgraph.add_links(links)) == [("http://a.com/x", "http://A.com/y", 2.0), ("http://a.com/x", "http://b.com/", 3.0)]
     assert rows(webgraph.without_internal(links).select("dst")) == [("http://b.com/",), ("http://b.com/",)]

@@ -6,8 +6,9 @@ length). Over some rounds each labels the unlabelled documents that it is sure
 about for the other. Both are then weighed by a logistic model of their scores on
 labelled documents that neither was fitted on, and all documents are scored.
 
-Fitting uses a bounded sample (``Fit.labelled`` and ``Fit.unlabelled`` documents,
-those of least hash); scoring reads every document, whole.
+Fitting starts from a bounded sample of labelled documents, those of least hash. In
+every round both views score all other documents, whole, and the surest of the corpus
+become pseudo-labels: a task sends on as many as a round may use, the rest stays there.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stage, text_of, unstage
 from .tokens import text_blocks
 
 BUCKETS = 256
@@ -31,12 +32,11 @@ LANGS, SOURCES, LENGTHS = 32, 128, 24
 
 @dataclass(frozen=True)
 class Fit:
-    """Most documents of the labelled and the unlabelled sample; rounds; least confidence of a
-    pseudo-label; most pseudo-labels a round and view; ridge; share of labelled documents kept
-    for calibration (one in ``hold``); least score that keeps a document."""
+    """Most documents of the labelled sample; rounds; least confidence of a pseudo-label; most
+    pseudo-labels a round and view; ridge; share of labelled documents kept for calibration
+    (one in ``hold``); least score that keeps a document."""
 
     labelled: int = 6000
-    unlabelled: int = 6000
     rounds: int = 3
     sure: float = 0.97
     each: int = 600
@@ -152,32 +152,52 @@ class Model:
         return sigmoid(self.both.score(np.column_stack([self.text.score(text), self.metadata.score(metadata)])))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, fit: Fit) -> Model | None:
-    """Model from the features of both views; ``labels``: 0, 1, or -1 for unlabelled rows.
+#: Teaching view, label, document and how sure the view is.
+SURE = "view int, label int, doc_id long, sure double"
 
-    None if the labelled rows do not show both classes, in and out of the held part.
+
+def surest(models: tuple[Linear, Linear], views: tuple[np.ndarray, np.ndarray], ids: np.ndarray, taught: tuple[np.ndarray, np.ndarray], fit: Fit) -> list[tuple]:
+    """Rows of ``SURE``: per view and label the surest documents, ``fit.each`` at most, ties to the smaller id.
+
+    ``taught``: for each view, ids that it is not to name (those that the other view has learnt already).
+    """
+    out = []
+    for v in (0, 1):
+        p = np.round(sigmoid(models[v].score(views[v])), 9)  # the last digits depend on the size of a batch
+        free = ~np.isin(ids, taught[v])
+        for label, sure in ((1, p), (0, 1 - p)):
+            some = np.flatnonzero(free & (sure >= fit.sure))
+            some = some[np.lexsort((ids[some], -sure[some]))][: fit.each]
+            out += [(v, label, int(ids[i]), float(sure[i])) for i in some]
+    return out
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, fit: Fit, find) -> Model | None:
+    """Model from the features of both views of labelled rows (``labels``: 0 or 1).
+
+    ``find(models, taught)`` returns, for documents that are not among these rows, rows of
+    ``SURE``, surest first, and the features of both views by id. None if the labelled rows do
+    not show both classes, in and out of the held part.
     """
-    known = np.flatnonzero(labels >= 0)
-    held, used = known[:: fit.hold], np.setdiff1d(known, known[:: fit.hold])
-    if any(len(np.unique(labels[x])) < 2 for x in (held, used)):
+    held = np.arange(len(labels)) % fit.hold == 0
+    if any(len(np.unique(labels[x])) < 2 for x in (held, ~held)):
         return None
-    own = [labels.astype(float), labels.astype(float)]
-    rows = [used, used]
-    pool = np.flatnonzero(labels < 0)
-    for last in [False] * fit.rounds + [True]:
-        models = [Linear.fit(views[v][rows[v]], own[v][rows[v]], fit.ridge) for v in (0, 1)]
-        if last:
-            break
+    x = [view[~held] for view in views]
+    y = [labels[~held].astype(float)] * 2
+    share = y[0].mean()
+    taught = [np.zeros(0, np.int64)] * 2
+    fitted = lambda: tuple(Linear.fit(x[v], y[v], fit.ridge) for v in (0, 1))
+    models = fitted()
+    for _ in range(fit.rounds):
+        rows, features = find(models, tuple(taught))
         for v in (0, 1):  # each view teaches the other
-            other = 1 - v
-            free = np.setdiff1d(pool, rows[other])
-            p = sigmoid(models[v].score(views[v][free]))
-            share = own[v][used].mean()
-            for value, sure, most in ((1.0, p, round(fit.each * share)), (0.0, 1 - p, round(fit.each * (1 - share)))):
-                picked = np.flatnonzero(sure >= fit.sure)
-                picked = free[picked[np.argsort(-sure[picked], kind="stable")][:most]]
-                own[other][picked] = value
-                rows[other] = np.union1d(rows[other], picked)
+            most = {1: round(fit.each * share), 0: round(fit.each * (1 - share))}
+            picked = [(label, doc_id) for label in (1, 0) for doc_id in [r[2] for r in rows if r[:2] == (v, label)][: most[label]]]
+            if picked:
+                x[1 - v] = np.vstack([x[1 - v], [features[doc_id][1 - v] for _, doc_id in picked]])
+                y[1 - v] = np.r_[y[1 - v], [float(label) for label, _ in picked]]
+                taught[v] = np.r_[taught[v], [doc_id for _, doc_id in picked]]
+        models = fitted()
     scores = np.column_stack([models[v].score(views[v][held]) for v in (0, 1)])
     return Model(*models, Linear.fit(scores, labels[held].astype(float), fit.ridge))
 
@@ -197,42 +217,97 @@ def _features(texts: pa.Array) -> np.ndarray:
     return np.vstack([text_features(*_offsets(t)) for _, t in text_blocks([batch], 1 << 18)])
 
 
-def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model | None:
-    """Model fitted on a bounded sample of ``docs`` and ``labels`` (``doc_id, quality``).
+def _described(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, lang, source, n_chars``; ids null or not, texts never."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
 
-    Ids that carry several labels count as their majority, ties as good; null
-    labels and ids do not count. Rows that share an id are all used.
+
+def _views_of(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, text features and metadata features of the documents in ``ids`` (one column, a bounded number of rows).
+
+    Rows that share an id count as one, that of the least features.
     """
-    drawn = F.xxhash64(F.lit(10), "doc_id")
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    known = known.join(ids.distinct(), "doc_id", "left_semi").orderBy(drawn, "doc_id").limit(fit.labelled)
-    free = ids.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").distinct().orderBy(drawn, "doc_id").limit(fit.unlabelled)
-    # At most Fit.labelled + Fit.unlabelled ids.
-    sample = F.broadcast(known.unionByName(free.withColumn("label", F.lit(-1))))
 
     def run(batches):
         for batch in batches:
-            x = _features(batch.column(2))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(3), batch.column(4), batch.column(5)], names=["doc_id", "label", "x", "lang", "source", "n_chars"])
+            x = _features(batch.column(1))
+            yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *batch.columns[2:]], names=["doc_id", "x", "lang", "source", "n_chars"])
+
+    rows = _described(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = rows.mapInArrow(run, "doc_id long, x binary, lang string, source string, n_chars long")
+    found = rows.groupBy("doc_id").agg(F.min(F.struct("x", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*").toArrow().to_pydict()
+    text = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, DENSE + BUCKETS)
+    return np.asarray(found["doc_id"], np.int64), text, metadata_features(found["lang"], found["source"], found["n_chars"])
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    rows = rows.join(sample, "doc_id").select("doc_id", "label", "text", "lang", "source", "n_chars")
-    found = rows.mapInArrow(run, "doc_id long, label int, x binary, lang string, source string, n_chars long").toArrow().to_pydict()
-    order = sorted(range(len(found["doc_id"])), key=lambda i: (found["doc_id"][i], found["x"][i]))
+def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model | None:
+    """Model fitted on a bounded sample of ``labels`` (``doc_id, quality``) and on all of ``docs``.
+
+    Ids that carry several labels count as their majority, ties as good; null
+    labels and ids do not count. Rows that share an id count as one.
+    """
+    spark = docs.sparkSession
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.join(ids.distinct(), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(10), "doc_id"), "doc_id").limit(fit.labelled)
+    label = {r["doc_id"]: r["label"] for r in known.collect()}  # fit.labelled rows at most
+    if len(set(label.values())) < 2:
+        return None
+    frame = lambda some: spark.createDataFrame([(int(i),) for i in some], "doc_id long")
+    own, text, metadata = _views_of(docs, frame(label))
     # By hash, so that the held part is no function of the ids' order.
-    order.sort(key=lambda i: zlib.crc32(str(found["doc_id"][i]).encode()))
-    pick = lambda name: [found[name][i] for i in order]
-    text = np.frombuffer(b"".join(pick("x")), np.float32).reshape(-1, DENSE + BUCKETS)
-    metadata = metadata_features(pick("lang"), pick("source"), pick("n_chars"))
-    return co_train((text, metadata), np.asarray(pick("label"), np.int64), fit)
+    order = np.asarray(sorted(range(len(own)), key=lambda i: (zlib.crc32(str(own[i]).encode()), own[i])))
+    own, text, metadata = own[order], text[order], metadata[order]
+
+    def find(models, taught):
+        barred = tuple(np.r_[own, t] for t in taught)
+
+        def run(batches):
+            best: list[tuple] = []
+            for batch in batches:
+                batch = batch.filter(batch.column(0).is_valid())
+                if not len(batch):
+                    continue
+                views = _features(batch.column(1)), metadata_features(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+                best += surest(models, views, np.asarray(batch.column(0)), barred, fit)
+                if len(best) > 8 * fit.each:
+                    best = _best(best, fit.each)
+            for k in range(0, len(best := _best(best, fit.each)), 10_000):
+                some = best[k : k + 10_000]
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*some), (pa.int32(), pa.int32(), pa.int64(), pa.float64()))], names=["view", "label", "doc_id", "sure"])
+
+        each = _described(docs).mapInArrow(run, SURE).groupBy("view", "label", "doc_id").agg(F.max("sure").alias("sure"))
+        each = stage(each, "co-training")
+        rows = []
+        for view in (0, 1):
+            for value in (1, 0):  # fit.each rows at most
+                rows += [tuple(r) for r in each.filter((F.col("view") == view) & (F.col("label") == value)).orderBy(F.desc("sure"), "doc_id").limit(fit.each).collect()]
+        unstage(each)
+        picked = sorted({r[2] for r in rows})
+        if not picked:
+            return [], {}
+        ids, *both = _views_of(docs, frame(picked))
+        return rows, {int(i): (a, b) for i, a, b in zip(ids, *both)}
+
+    return co_train((text, metadata), np.asarray([label[int(i)] for i in own], np.int64), fit, find)
+
+
+def _best(rows: list[tuple], each: int) -> list[tuple]:
+    """Of each view and label the ``each`` surest rows of ``SURE``."""
+    out, counts = [], {}
+    for row in sorted(rows, key=lambda r: (r[0], r[1], -r[3], r[2])):
+        counts[row[:2]] = counts.get(row[:2], 0) + 1
+        if counts[row[:2]] <= each:
+            out.append(row)
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
     """``docs`` with ``quality_score`` (0 to 1) and ``kept``; columns of these names are replaced.
 
-    Null texts are empty. Without a model (labels of one class or none) scores
-    are null and every document is kept.
+    Null texts are empty; texts of any length are read whole, a block at a time. Without a
+    model (labels of one class or none) scores are null and every document is kept.
+    Repeated rows are scored one by one; an empty table gives no rows. Other columns stay.
     """
     model = train(docs, labels, fit)
     if model is None:

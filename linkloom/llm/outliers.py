@@ -30,6 +30,14 @@ SCALE = 1000
 BINS = 64
 #: Name of the group of all documents.
 ALL = "all"
+#: Groups up to which their estimates are broadcast, some 50 numbers each.
+MOST_BROADCAST = 50_000
+
+
+def _join_groups(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """Rows with what is known of their group: broadcast if the groups were counted and are few,
+    else joined by sorting, where Spark splits hot groups."""
+    return rows.join(F.broadcast(groups) if few else groups, "grp")
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -69,13 +77,9 @@ def _factored(groups: DataFrame, keys: list[str], p: int) -> DataFrame:
     return groups.select(*keys, *names, logdet.alias("logdet"))
 
 
-def _distances(rows: DataFrame, groups: DataFrame, features: list[str]) -> DataFrame:
-    """Rows with ``d2``, their squared Mahalanobis distance in their group.
-
-    The estimates are one row a group and start; Spark broadcasts them while they are
-    under its size limit and else joins by sorting, splitting hot groups.
-    """
-    out = rows.join(groups, "grp")
+def _distances(rows: DataFrame, groups: DataFrame, features: list[str], few: bool) -> DataFrame:
+    """Rows with ``d2``, their squared Mahalanobis distance in their group."""
+    out = _join_groups(rows, groups, few)
     for i, x in enumerate(features):
         rest = F.col(x) - F.col(f"m_{i}")
         for k in range(i):
@@ -120,7 +124,7 @@ def _robust_start(rows: DataFrame, features: list[str], floors: list[float]) ->
     return wide.select("*", *zeros)
 
 
-def fit_mcd(rows: DataFrame, features: list[str], floors: list[float], alpha: float = 0.75, most_steps: int = 100) -> DataFrame:
+def fit_mcd(rows: DataFrame, features: list[str], floors: list[float], alpha: float = 0.75, few: bool = False, most_steps: int = 100) -> DataFrame:
     """Estimates ``grp, n, m_i, s_i_j`` for rows ``grp, n, *features``, n the group's size.
 
     Two deterministic starts, classical moments and coordinate-wise quartiles, are
@@ -139,7 +143,7 @@ def fit_mcd(rows: DataFrame, features: list[str], floors: list[float], alpha: fl
     for step in range(1, most_steps + 1):
         # Only what fell in the step before can fall again; a start is no estimate yet.
         falling = groups.filter(F.col("step") == step - 1).select(*columns)
-        near = _distances(rows, falling.select(*keys, *[c for c in columns if c[:2] in ("m_", "l_")]), features)
+        near = _distances(rows, falling.select(*keys, *[c for c in columns if c[:2] in ("m_", "l_")]), features, few)
         near = near.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS))
         sums = stage(near.groupBy(*keys, "n", "bin").agg(*_sums(features)), "mcd-sums")
         running = sums.select(*keys, "n", "bin", *moments, *[F.sum(c).over(order).alias(f"to_{c}") for c in moments])
@@ -160,7 +164,7 @@ def fit_mcd(rows: DataFrame, features: list[str], floors: list[float], alpha: fl
             break
     best = Window.partitionBy("grp").orderBy("logdet", "start")
     won = groups.withColumn("r", F.row_number().over(best)).filter("r = 1")
-    sizes = rows.select("grp", "n").distinct()
+    sizes = rows.groupBy("grp").agg(F.first("n").alias("n"))
     return stage(won.join(sizes, "grp").select("grp", "n", *[c for c in columns if c[:2] in ("m_", "s_")]), "mcd")
 
 
@@ -229,17 +233,13 @@ def quality_rules(docs: DataFrame, tail: float = 1e-7, alpha: float = 0.75, stre
     rows = rows.withColumn("grp", F.to_json(F.struct(F.col("lang").alias("l"), F.col("source").alias("s"))))
     passed = rows.filter("not base_failed").select(F.explode(F.array("grp", F.lit(ALL))).alias("grp"), *FEATURES)
     sizes = stage(passed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "mcd-sizes")
-    described = stage(passed.join(sizes, "grp").select("grp", "n", *FEATURES), "mcd-rows")
+    few = sizes.count() <= MOST_BROADCAST
+    described = stage(_join_groups(passed, sizes, few).select("grp", "n", *FEATURES), "mcd-rows")
     p = len(FEATURES)
-    estimates = stage(shrunken(fit_mcd(described, FEATURES, FLOORS, alpha), p, strength), "mcd-shrunken")
+    estimates = stage(shrunken(fit_mcd(described, FEATURES, FLOORS, alpha, few), p, strength), "mcd-shrunken")
     unstage(described, sizes)
     limit = chi2_quantile(1 - tail, p)
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= F.lit(limit)))
-    return _distances_left(rows, estimates).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
-
-
-def _distances_left(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """As ``_distances``, but rows that have no estimate stay, with ``d2`` null."""
-    missing = rows.join(groups.select("grp"), "grp", "left_anti").withColumn("d2", F.lit(None).cast("double"))
-    kept = [*rows.columns, "d2"]
-    return _distances(rows, groups, FEATURES).select(*kept).unionByName(missing.select(*kept))
+    missing = rows.join(F.broadcast(estimates.select("grp")) if few else estimates.select("grp"), "grp", "left_anti").withColumn("d2", F.lit(None).cast("double"))
+    scored = _distances(rows, estimates, FEATURES, few).select(*rows.columns, "d2").unionByName(missing)
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")

@@ -57,3 +57,29 @@ def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     want = duck_over(embeddings=table(spark, "embeddings")).execute(ORACLES["op2_exact_top_k"]).to_arrow_table()
     assert as_rows(QUERIES["op2_exact_top_k"](spark, sf).toArrow()) == as_rows(want)
+
+
+def test_block_search_stops_and_finds_all():
+    rng = np.random.default_rng(6)
+    rows, queries = rng.integers(-30, 30, (6000, 3)), rng.integers(-9, 9, (40, 3))
+    queries[0], queries[1] = 0, [1, 0, 0]
+    ids = rng.permutation(6000) * 3
+    lists = topk.SortedLists(ids, rows)
+    own = np.r_[ids[:20], np.full(20, -1)]
+    scores = queries @ rows.T
+    for low in (np.full(40, topk.NO_BOUND), np.partition(scores, -9, axis=1)[:, -9]):
+        q, at, got = lists.search_all(own, queries, 5, low)
+        for i in range(40):
+            want = sorted((-s, v) for s, v in zip(scores[i], ids) if v != own[i])[:5]
+            assert [(-s, v) for s, v in zip(got[q == i], lists.ids[at[q == i]])] == want
+    depth = lists.depths(queries.astype(float), np.partition(scores, -5, axis=1)[:, -5].astype(float))
+    assert (depth[2:] < 3000).mean() > 0.9 and all(len(lists.seen(queries[i].astype(float), int(depth[i]))) < 6000 for i in range(2, 40) if depth[i] < 1000)
+
+
+@pytest.mark.parametrize("shard_rows, block", [(100, 7), (5000, 1000), (37, 3)])
+def test_shards_and_blocks_agree(spark, shard_rows, block):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(700)]
+    parts = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(parts, parts.filter("vec_id % 50 = 0"), 5, shard_rows, block).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 50, 5)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.storage import shared_dir, stage, staged_path, unstage
 
-__all__ = ["GAP", "WORD", "shared_dir", "ship", "stage", "staged_path", "table", "text_of", "unstage"]
+__all__ = ["GAP", "WORD", "keyed_texts", "shared_dir", "ship", "stage", "staged_path", "table", "text_of", "unstage"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,3 +51,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """The whole text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``doc, text, document``: a key that differs for all rows and ascends as ids do, the bytes of the
+    text, and all columns of ``docs``.
+
+    The key is the id where ids differ. Else rows are numbered, those without id first, rows that
+    share an id by the first 64 bytes of their text and by its hash; a hot id is dealt over tasks.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.select(doc_id.alias("doc"), text_of().cast("binary").alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
+    if docs.groupBy(doc_id.alias("id")).count().filter("count > 1 or id is null").isEmpty():
+        return texts
+    order = ["doc", "head", "hash", "salt"]
+    ranged = texts.withColumns({"head": F.substring("text", 1, 64), "hash": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
+    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(ranged.select(F.monotonically_increasing_id().alias("doc"), "text", "document"), "texts")

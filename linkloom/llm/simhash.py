@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from .bktree import linked
 from .common import stage, text_of
 from .components import connected_components
-from .similar import similar_documents
 
 SEED, RADIUS = 42, 3
 #: (lowest bit, bits) of the five blocks.
@@ -41,11 +40,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         return digest(joined, SEED)
     ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
     begins = [0, *(e + 1 for e in ends)]
-    counts, n, step = np.zeros(64, np.int64), len(words) - shingle + 1, 1 << 16
-    for k in range(0, n, step):  # a very long text, a block at a time
-        block = [digest(joined[a:b], SEED) for a, b in zip(begins[k : min(k + step, n)], ends[k + shingle - 1 :])]
-        bits = np.unpackbits(np.asarray(block, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+    n, step = len(words) - shingle + 1, 1 << 16
+    # A very long text, a block at a time.
+    return majority(np.asarray([digest(joined[a:b], SEED) for a, b in zip(begins[k : min(k + step, n)], ends[k + shingle - 1 :])], np.uint64) for k in range(0, n, step))
+
+
+def majority(blocks) -> int:
+    """The bits that are set in over half of the hashes, of which ``blocks`` are arrays."""
+    counts, n = np.zeros(64, np.int64), 0
+    for block in blocks:
+        bits = np.unpackbits(block.astype("<u8", copy=False).view(np.uint8), bitorder="little").reshape(-1, 64)
         counts += bits.sum(axis=0, dtype=np.int32)
+        n += len(block)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -102,24 +108,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` that links reach, own id included;
     texts with equal fingerprints are linked. Rows without ``doc_id`` are linked
     like others but never name a component; a component of such rows alone has a
-    null one. Ties cannot arise; repeated rows each get their row.
+    null one. Ties cannot arise; repeated rows each get their row; null texts are empty, and
+    texts of any length are read whole. An empty table gives no rows; other columns play no part.
     """
     prints = stage(fingerprints(docs), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprints-distinct")
     roots = stage(connected_components(shard_links(distinct)), "fingerprints-roots").withColumnRenamed("node", "fp")
-    lows = roots.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
-    named = roots.join(lows, "root").select("fp", "component_id", F.lit(True).alias("joined"))
+    # Both sides of each join are written tables, so that Spark can split a hot component or fingerprint.
+    lows = stage(roots.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component_id")), "fingerprints-lows")
+    named = stage(roots.join(lows, "root").select("fp", "component_id", F.lit(True).alias("joined")), "fingerprints-named")
     each = distinct.join(named, "fp", "left").select("fp", F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
-    return prints.join(each, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its component, one row an id.
-
-    Links are those of ``similar_documents``, not the radius of operator 6. Rows
-    without ``doc_id`` cannot be told apart by it and stay.
-    """
-    found = similar_documents(docs)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return prints.join(stage(each, "fingerprints-each"), "fp").select("doc_id", "fp", "component_id")

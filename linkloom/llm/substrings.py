@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, unstage
+from .common import keyed_texts, stage, unstage
 from .suffixes import suffix_order
 from .tokens import text_blocks
 
@@ -484,23 +484,6 @@ def sort_regions(regions: DataFrame, shard_bytes: int = 2 << 20, memory: int = 3
     return regions.repartition("part").sortWithinPartitions("part").mapInArrow(run, INTERVALS)
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """``doc, text, document``: a key that differs for all rows and ascends as ids do, the bytes of the
-    text, and all columns of ``docs``.
-
-    The key is the id where ids differ. Else rows are numbered, those without id first, rows that
-    share an id by the first 64 bytes of their text and by its hash; a hot id is dealt over tasks.
-    """
-    doc_id = F.col("doc_id").cast("long")
-    texts = docs.select(doc_id.alias("doc"), text_of().cast("binary").alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
-    if docs.groupBy(doc_id.alias("id")).count().filter("count > 1 or id is null").isEmpty():
-        return texts
-    order = ["doc", "head", "hash", "salt"]
-    ranged = texts.withColumns({"head": F.substring("text", 1, 64), "hash": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
-    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stage(ranged.select(F.monotonically_increasing_id().alias("doc"), "text", "document"), "texts")
-
-
 def repeated_intervals(texts: DataFrame) -> DataFrame:
     """``doc, spans``: intervals of each text that repeat earlier ones."""
     texts = texts.select("doc", "text")

@@ -5,7 +5,7 @@ from linkloom.llm import cotraining, mixing
 from linkloom.storage import stage
 
 from .helpers import BPE, ODD_ROWS, docs_of, table
-from .test_simhash import brute as brute_components
+from .test_similar import brute_similar
 from .test_substrings import brute as brute_removal
 from .test_tokens_packing import check_packing
 
@@ -27,7 +27,7 @@ def test_every_stage_against_brute_force(spark):
     texts = [{(r["doc_id"], r["text"]) for r in d.collect()} for d in [docs, *results[:4]]]
     kept = {r["doc_id"] for r in cotraining.score(docs, labels).filter("kept").collect()}
     assert {d for d, _ in texts[1]} == kept
-    first = {c for _, _, c in brute_components(sorted(texts[1]))}
+    first = brute_similar(sorted(texts[1]))
     assert texts[2] == {(d, t) for d, t in texts[1] if d in first}
     left = {d: rows[0][4].decode("utf-8", "ignore") for d, rows in brute_removal(sorted(texts[2])).items()}
     assert texts[3] == {(d, t) for d, t in left.items() if t or not dict(texts[2])[d]}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from linkloom.llm import bktree, simhash
+from linkloom.llm import bktree, simhash, similar
 from linkloom.llm.components import connected_components
 
 from .helpers import ODD_ROWS, docs_of, table
@@ -63,7 +63,7 @@ def test_table_and_empty(spark):
 
 def test_keep_first(spark):
     rows = [(3, "a b c d"), (2, "a b c d"), (2, "a b c d"), (9, "x y z w"), (None, "a b c d")]
-    assert sorted((r["doc_id"] for r in simhash.keep_first(docs_of(spark, rows)).collect()), key=repr) == [2, 9, None]
+    assert sorted((r["doc_id"] for r in similar.keep_first(docs_of(spark, rows)).collect()), key=repr) == [2, 9, None]
 
 
 def test_forest_against_all_pairs():

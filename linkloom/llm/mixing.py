@@ -7,13 +7,32 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stage, text_of
 
+#: A level of buckets has this many bits of a row's key; keys have 63.
 BUCKET_BITS = 12
+#: Lowest bit of the buckets of each level: of the last, rows themselves are ordered.
+LEVELS = (63 - BUCKET_BITS, 63 - 2 * BUCKET_BITS)
 
 
 def word_count(column: str = "text") -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
+def _sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds the sums of columns over all rows that come before in an order, whose keys differ.
+
+    Rows are sorted in ranges; each range adds the sums of the ranges before it, of which
+    there is one row for each core.
+    """
+    ranged = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order)
+    ranged = stage(ranged.withColumns({"range": F.spark_partition_id(), "nth": F.monotonically_increasing_id()}), "mix-ranges")
+    inside = Window.partitionBy("range").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range").agg(*[F.sum(c).alias(f"all_{name}") for name, c in sums.items()])
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("range", *[F.coalesce(F.sum(f"all_{name}").over(before), F.lit(0)).alias(f"base_{name}") for name in sums])
+    out = ranged.withColumns({name: F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()}).join(F.broadcast(bases), "range")
+    return out.select(*rows.columns, *[(F.col(name) + F.col(f"base_{name}")).alias(name) for name in sums])
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """Targets of ``(source, source_size)`` rows, one a source: adds ``weight, target``.
 
@@ -23,67 +42,68 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int
 
     Raising the water level stops sources in the order of ``cap / weight``, so
     one sorted pass replaces the rounds: a source is stopped if the level, were
-    it and all that stop later still open, lies above its cap. The sort is over
-    sources, which are few next to documents. Sizes and weights are integers, so
-    sums are exact and reruns agree.
+    it and all that stop later still open, lies above its cap. Sizes and weights are
+    integers, so sums are exact and reruns agree. An empty table gives no rows.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    position = (F.row_number().over(by_name) - 1) % len(weights)
-    rows = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), position.cast("int") + 1).cast("long"))
-    rows = rows.withColumn("cap", F.col("source_size") * max_epochs)
-    level = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    rows = rows.withColumns(
-        {
-            "total": F.sum("source_size").over(everything),
-            "open_weight": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
-            "stopped": F.coalesce(F.sum("cap").over(before), F.lit(0)),
-        }
-    )
-    height = (F.col("total") - F.col("stopped")) / F.col("open_weight")
-    rows = rows.withColumn("full", F.col("cap") <= height * F.col("weight"))
-    rest = F.sum(F.when(~F.col("full"), F.col("weight"))).over(everything)
-    taken = F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(everything), F.lit(0))
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise((F.col("total") - taken).cast("double") * F.col("weight") / rest)
-    return rows.select("source", "source_size", "weight", target.alias("target"))
-
-
-def _keyed(rows: DataFrame, seed: int) -> DataFrame:
-    """Adds ``key``, a seeded hash of a row, and ``bucket``, its highest bits."""
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    return rows.withColumns({"key": key, "bucket": F.shiftrightunsigned(key, 64 - BUCKET_BITS).cast("int")})
+    by_name = [F.col("source").isNull(), F.col("source")]
+    rows = _sums_before(sources, by_name, {"position": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("position") % len(weights)).cast("int") + 1).cast("long")
+    rows = rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * max_epochs).alias("cap"))
+    rows = _sums_before(rows, [F.col("cap") / F.col("weight"), *by_name], {"stopped": F.col("cap"), "stopped_weight": F.col("weight")})
+    total = lambda found, name: F.lit(int(found[name] or 0)).cast("long")
+    all_ = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    height = (total(all_, "size") - F.col("stopped")) / (total(all_, "weight") - F.col("stopped_weight"))
+    rows = stage(rows.withColumn("full", F.col("cap") <= height * F.col("weight")), "mix-sources")
+    ends = rows.agg(F.sum(F.when(~F.col("full"), F.col("weight"))).alias("rest"), F.sum(F.when(F.col("full"), F.col("cap"))).alias("taken")).first()
+    shared = (total(all_, "size") - total(ends, "taken")).cast("double") * F.col("weight") / F.greatest(total(ends, "rest"), F.lit(1))
+    return rows.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id, source, size, key`` of every row; ``key`` is a hash of 63 bits of the id and the text."""
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(9), F.col("doc_id").cast("long"), text_of()), 1)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), key.alias("key"), *more)
+
+
+def _row_key(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 1)
 
 
 def mix_plan(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
-    """Per source of ``doc_id, source, size`` rows: ``source, source_size, target, whole, full_to, cut_bucket, cut_row``.
+    """Per source of ``_sized`` rows: ``source, source_size, target, whole, upto, cut_row``.
 
-    Every row is taken ``whole`` times, and once more if its bucket is ``full_to``
-    or less, or is ``cut_bucket`` and the row is ``cut_row`` or before it. The
-    cut is found from sums over hash buckets, at most 4096 a source; rows are
-    ordered only inside the one bucket a source that the target cuts.
+    Every row is taken ``whole`` times, and once more if its bucket of the last level lies
+    before ``upto``, or is ``upto`` and the row is ``cut_row`` or before it. The cut is found
+    level by level from sums over at most 4096 buckets a source; rows are ordered only inside
+    the one bucket a source, in sixteen million, that the target cuts.
     """
-    base = _keyed(sizes, seed)
-    sums = stage(base.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    base = sizes.select("source", "doc_id", "size", _row_key(seed).alias("key"))
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    bucket = lambda bit: F.shiftright("key", bit).alias("bucket")
+    sums = stage(base.groupBy("source", bucket(LEVELS[0])).agg(F.sum("size").alias("words")), "mix-buckets")
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     ratio = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     targets = targets.withColumn("whole", F.least(F.floor(ratio), F.lit(max_epochs)).cast("long"))
-    targets = stage(targets.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = sums.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0))).alias("s").join(targets.alias("t"), same("s", "t")).select("t.*", "bucket", "below", "words")
-    full = (F.col("extra") > 0) & (F.col("below") + F.col("words") <= F.col("extra"))
-    cut = (F.col("below") < F.col("extra")) & (F.col("below") + F.col("words") > F.col("extra"))
-    marks = filled.groupBy("source", "source_size", "target", "whole", "extra").agg(
-        F.coalesce(F.max(F.when(full, F.col("bucket"))), F.lit(-1)).alias("full_to"), F.max(F.when(cut, F.col("bucket"))).alias("cut_bucket"), F.max(F.when(cut, F.col("below"))).alias("below")
-    )
-    marks = stage(marks, "mix-marks")
-    rows = base.alias("d").join(marks.filter("cut_bucket is not null").alias("m"), same("d", "m") & (F.col("d.bucket") == F.col("m.cut_bucket"))).select("d.*", "below", "extra")
+    targets = targets.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
+    marks = stage(targets.withColumns({"found": F.lit(True), "prefix": F.lit(0).cast("long"), "below": F.lit(0).cast("long")}), "mix-targets")
+    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    for level, bit in enumerate(LEVELS):
+        if level:
+            inside = base.alias("d").join(marks.filter("found").alias("m"), same("d", "m") & (F.shiftright("key", LEVELS[level - 1]) == F.col("prefix"))).select("d.*")
+            sums = stage(inside.groupBy("source", bucket(bit)).agg(F.sum("size").alias("words")), "mix-buckets")
+        filled = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).alias("s").join(marks.alias("m"), same("s", "m"))
+        filled = filled.select("s.source", "bucket", (F.col("below") + F.col("before")).alias("below"), "words", "extra")
+        cut = filled.filter((F.col("below") <= F.col("extra")) & (F.col("below") + F.col("words") > F.col("extra"))).select("source", "bucket", "below")
+        marks = marks.alias("m").join(cut.alias("c"), same("m", "c"), "left").select("m.source", "source_size", "target", "whole", "extra", (F.col("found") & F.col("bucket").isNotNull()).alias("found"), F.col("bucket").alias("prefix"), F.col("c.below").alias("below"))
+        marks = stage(marks, "mix-marks")
+    rows = base.alias("d").join(marks.filter("found").alias("m"), same("d", "m") & (F.shiftright("key", LEVELS[-1]) == F.col("prefix"))).select("d.*", "below", "extra")
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     # A row is taken if more than half of it lies below the target.
     rows = rows.withColumn("at", F.col("below") + F.coalesce(F.sum("size").over(inside), F.lit(0))).filter(F.col("at") + F.col("size") / 2 < F.col("extra"))
     last = rows.groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("cut_row"))
-    plan = marks.alias("m").join(last.alias("l"), same("m", "l"), "left").select("m.source", "source_size", "target", "whole", "full_to", "cut_bucket", "cut_row")
+    # Without a cut, all rows are taken once more or none.
+    upto = F.when(F.col("found"), F.col("prefix")).when(F.col("extra") > 0, F.lit(1 << (2 * BUCKET_BITS))).otherwise(F.lit(0)).cast("long")
+    plan = marks.alias("m").join(last.alias("l"), same("m", "l"), "left").select("m.source", "source_size", "target", "whole", upto.alias("upto"), "cut_row")
     return stage(plan, "mix-plan")
 
 
@@ -94,31 +114,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     times; a seeded sample gets one copy more, so that the words of the sample
     come as near the rest of the target as whole documents allow.
 
-    Null texts have size 0. Null sources are one source. A source of size 0 has
-    target 0 and takes nothing. Rows that repeat are separate rows, unless they
-    agree in id and size: then they are taken or left together.
+    Null texts have size 0, and texts of any length are counted whole. Null sources are one
+    source. A source of size 0 has target 0 and takes nothing. Rows that repeat are separate
+    rows, unless they agree in id and text: then they are taken or left together. An empty
+    table gives no rows; other columns play no part.
     """
-    sizes = stage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size")), "mix-sizes")
+    sizes = stage(_sized(docs), "mix-sizes")
     plan = mix_plan(sizes, weights, max_epochs, seed)
-    return _planned(sizes, plan, max_epochs, seed).withColumn("taken", F.col("copies") * F.col("size"))
+    planned = _planned(sizes, plan, max_epochs, seed).withColumn("taken", F.col("copies") * F.col("size"))
+    return planned.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def _planned(rows: DataFrame, plan: DataFrame, max_epochs: int, seed: int) -> DataFrame:
-    """``doc_id, source, size`` rows with ``source_size, target, copies`` and their other columns.
+    """``_sized`` rows with ``source_size, target, copies`` and their other columns.
 
     The plan is one row a source; Spark broadcasts it while it is under its
     limit and else joins by sorting, splitting hot sources.
     """
-    joined = _keyed(rows, seed).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    within = (F.col("bucket") == F.col("cut_bucket")) & (F.struct("key", "doc_id", "size") <= F.col("cut_row"))
-    more = (F.col("bucket") <= F.col("full_to")) | F.coalesce(within, F.lit(False))
+    joined = rows.withColumn("row_key", _row_key(seed)).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    bucket = F.shiftright("row_key", LEVELS[-1])
+    within = (bucket == F.col("upto")) & (F.struct(F.col("row_key").alias("key"), "doc_id", "size") <= F.col("cut_row"))
+    more = (bucket < F.col("upto")) | F.coalesce(within, F.lit(False))
     copies = F.least(F.col("whole") + more.cast("long"), F.lit(max_epochs)).alias("copies")
     return joined.select(*[F.col(f"d.{c}") for c in rows.columns], "source_size", "target", copies)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 9) -> DataFrame:
     """The rows of ``docs`` as often as ``mix`` takes them, with the columns of ``docs``."""
-    own = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"), F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
+    own = _sized(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
     plan = mix_plan(stage(own.drop("document"), "mix-sizes"), weights, max_epochs, seed)
     taken = _planned(own, plan, max_epochs, seed).filter("copies > 0")
     return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("document.*")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 @dataclass(frozen=True)
@@ -41,9 +41,9 @@ class Tree:
     branch. ``labelled``: least labelled pages of a branch that is tested; ``z2``: square of the
     largest deviation, in standard deviations, of a branch that is merged. ``prior`` and
     ``strength``: share of blocked urls assumed, and for how many labelled ones it counts.
-    ``purity``: least smoothed share that blocks. ``depth``: levels of the tree."""
+    ``purity``: least smoothed share that blocks. The tree has as many levels as ``support``
+    pages have segments, for deeper ones cannot have a branch."""
 
-    depth: int = 4
     support: int = 5
     share: float = 0.01
     labelled: int = 5
@@ -92,13 +92,16 @@ def _branches(pages: DataFrame, tree: Tree) -> DataFrame:
     return joined.select("host", "template", "seg", F.when(merged, F.lit("+")).otherwise(F.concat(F.lit("="), "seg")).alias("branch"))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], tree: Tree = Tree()) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], tree: Tree = Tree(), labels: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, template, purity, verdict`` of every row of ``pages``.
 
-    Labels are what the rules decide. Empty segments are skipped; a path that ends
-    before a level ends its template there; segments below ``depth`` count as
+    Labels are what the rules decide, and those of ``labels`` (``page_id, block`` 0 or 1, the
+    greater of several) for other pages, whose verdict is the tree's all the same. Empty segments are skipped; a path that ends
+    before a level ends its template there; segments below the last level count as
     one wildcard. Urls without host form templates of the empty host like any
-    other. Templates without labelled urls have the prior's purity.
+    other. Templates without labelled urls have the prior's purity. Null urls have neither host
+    nor path; urls of any length are read whole; repeated rows count and are judged one by
+    one. An empty table gives no rows; other columns play no part.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
@@ -108,27 +111,39 @@ def filter_urls(pages: DataFrame, rules: list[Rule], tree: Tree = Tree()) -> Dat
     for i, rule in enumerate(rules):
         label = F.when(F.col("rule_no") == i, F.lit(int(rule.block))).otherwise(label)
         name = F.when(F.col("rule_no") == i, F.lit(rule.name)).otherwise(name)
-    rows = rows.withColumns({"label": label, "rule": name, "template": F.lit("")})
-    rows = stage(rows.drop("rule_no"), "urls")
+    rows = rows.withColumns({"ruled": label, "rule": name, "template": F.lit("")})
+    if labels is not None:
+        given = labels.filter("page_id is not null and block is not null").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max(F.col("block").cast("int")).alias("given"))
+        rows = rows.join(given, "page_id", "left")
+    rows = rows.withColumn("label", F.coalesce("ruled", "given") if labels is not None else F.col("ruled")).drop("rule_no", "given")
+    rows = stage(rows, "urls")
     segments = F.filter(F.split("path", "/", -1), lambda x: x != "")
-    for level in range(tree.depth):
+    level, before = 0, rows
+    while rows.filter(F.size(segments) > level).limit(tree.support).count() == tree.support:
         open_ = rows.withColumn("seg", F.get(segments, F.lit(level)))
         branches = stage(_branches(open_.filter("seg is not null"), tree), "url-tree")
         step = F.when(F.col("seg").isNotNull(), F.concat(F.lit("/"), F.coalesce("branch", F.lit("*")))).otherwise(F.lit(""))
         rows = open_.join(branches, ["host", "template", "seg"], "left").withColumn("template", F.concat("template", step)).select(*rows.columns)
-        rows = stage(rows, "urls-level")
-    deeper = F.when(F.size(segments) > tree.depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
+        after = stage(rows, "urls-level")
+        unstage(before, branches)
+        before = rows = after
+        level += 1
+    deeper = F.when(F.size(segments) > level, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
     rows = rows.withColumn("template", deeper)
     found = rows.groupBy("host", "template").agg(*_sums())
     purity = (F.col("bad") + F.lit(tree.prior * tree.strength)) / (F.col("known") + F.lit(tree.strength))
-    found = found.select("host", "template", purity.alias("purity"))
-    of_rule = F.when(F.col("label") == 1, F.lit("block")).when(F.col("label") == 0, F.lit("allow"))
+    # Written, so that Spark can split a hot host on the other side of the join.
+    found = stage(found.select("host", "template", purity.alias("purity")), "url-templates")
+    of_rule = F.when(F.col("ruled") == 1, F.lit("block")).when(F.col("ruled") == 0, F.lit("allow"))
     of_tree = F.when(F.col("purity") >= tree.purity, F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(found, ["host", "template"]).select("page_id", "host", "path", "rule", "template", "purity", F.coalesce(of_rule, of_tree).alias("verdict"))
 
 
-def oracle(rules: list[Rule], tree: Tree = Tree()) -> str:
-    """The same as ``filter_urls`` in DuckDB SQL, written independently of it, over ``pages``."""
+def oracle(rules: list[Rule], tree: Tree = Tree(), levels: int = 8) -> str:
+    """The same as ``filter_urls`` in DuckDB SQL, written independently of it, over ``pages``.
+
+    Written out for ``levels`` levels: an error where ``tree.support`` pages have more segments.
+    """
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     fits = " UNION ALL ".join(
         f"SELECT page_id, url, {quote(r.name)} AS rule, {int(r.block)} AS label FROM split WHERE (host = {quote(r.host)} OR ends_with(host, {quote('.' + r.host)})) AND starts_with(path, {quote(r.path)})" for r in rules
@@ -145,11 +160,15 @@ def oracle(rules: list[Rule], tree: Tree = Tree()) -> str:
     ), l0 AS (
         SELECT s.page_id, s.host, s.path, b.rule, b.label, '' AS template, list_filter(string_split(s.path, '/'), lambda x: x <> '') AS segs
         FROM split AS s LEFT JOIN best AS b ON s.page_id = b.page_id AND s.url IS NOT DISTINCT FROM b.url
+    ), sizes AS (
+        SELECT row_number() OVER (ORDER BY len(segs) DESC) AS k, len(segs) AS n FROM l0
+    ), deep AS (
+        SELECT CASE WHEN coalesce(max(n), 0) > {levels} THEN error('more levels are needed') ELSE coalesce(max(n), 0) END AS depth FROM sizes WHERE k = {tree.support}
     )"""
-    for k in range(tree.depth):
+    for k in range(levels):
         sql += f""", c{k} AS (
         SELECT host, template, segs[{k + 1}] AS seg, count(*) AS n, count(label) AS known, coalesce(sum(label), 0) AS bad
-        FROM l{k} WHERE segs[{k + 1}] IS NOT NULL GROUP BY ALL
+        FROM l{k}, deep WHERE segs[{k + 1}] IS NOT NULL AND depth > {k} GROUP BY ALL
     ), s{k} AS (
         SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS everything FROM c{k})
         WHERE n >= {tree.support} AND n >= {tree.share}::DOUBLE * everything
@@ -162,11 +181,11 @@ def oracle(rules: list[Rule], tree: Tree = Tree()) -> str:
         FROM s{k} AS s LEFT JOIN p{k} AS p USING (host, template)
     ), l{k + 1} AS (
         SELECT l.page_id, l.host, l.path, l.rule, l.label, l.segs,
-               l.template || CASE WHEN l.segs[{k + 1}] IS NULL THEN '' ELSE '/' || coalesce(b.branch, '*') END AS template
-        FROM l{k} AS l LEFT JOIN b{k} AS b ON l.host = b.host AND l.template = b.template AND l.segs[{k + 1}] = b.seg
+               l.template || CASE WHEN l.segs[{k + 1}] IS NULL OR depth <= {k} THEN '' ELSE '/' || coalesce(b.branch, '*') END AS template
+        FROM l{k} AS l CROSS JOIN deep LEFT JOIN b{k} AS b ON l.host = b.host AND l.template = b.template AND l.segs[{k + 1}] = b.seg
     )"""
     return sql + f""", leaf AS (
-        SELECT * REPLACE (CASE WHEN len(segs) > {tree.depth} THEN template || '/**' ELSE template END AS template) FROM l{tree.depth}
+        SELECT * REPLACE (CASE WHEN len(segs) > depth THEN template || '/**' ELSE template END AS template) FROM l{levels}, deep
     ), score AS (
         SELECT host, template, (coalesce(sum(label), 0) + {tree.prior * tree.strength}::DOUBLE) / (count(label) + {tree.strength}::DOUBLE) AS purity FROM leaf GROUP BY ALL
     )

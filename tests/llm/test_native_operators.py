@@ -179,6 +179,19 @@ def test_url_tree_learns(spark):
     assert got == want and all(row[got[0].index("verdict")] == "block" for row in got[1])
 
 
+def test_url_tree_goes_to_the_last_branch(spark):
+    """Six wildcards above the segment that tells blocked pages from others; labels of a table."""
+    deep = lambda i, k: f"http://d.org/{'/'.join(f'{i}x{j}' for j in range(6))}/{k}/{i}"
+    rows = [(i, deep(i, "spam" if i % 2 else "fine"), "h") for i in range(60)]
+    got, want = url_case(spark, rows)
+    assert got == want and all(row[got[0].index("verdict")] == "allow" for row in got[1])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(1, 0), (None, 1), (3, None)], "page_id long, block int")
+    verdicts = {r["page_id"]: (r["verdict"], r["template"]) for r in urls.filter_urls(df, RULES, labels=labels).collect()}
+    assert all(verdicts[i][0] == ("block" if i % 2 else "allow") for i in range(60))
+    assert verdicts[1][1] == "/*/*/*/*/*/*/=spam/*"
+
+
 @pytest.mark.parametrize("name, tables", [("op7_url_filter", ["pages"]), ("op8_license_scan", ["documents"])])
 def test_queries_against_sql(spark, name, tables):
     sf = "/root/testdata/sf0.01"

@@ -1,14 +1,18 @@
 """Operator 8: license scan by MinHash over text windows (DataFrame functions only).
 
-A template of m five-word shingles is sought in windows of 2m shingles that
-start at every m-th, so any run of m shingles lies whole in a window. Templates
-are retrieved by bands of one MinHash value each: a window that holds 0.8 of a
-template has Jaccard similarity 0.8 / 2.2 to it at least, and all ``BANDS`` of
-them miss with probability (1 - 0.8 / 2.2) ** BANDS, under one in a million.
+A template of s five-word shingles belongs to the class of the least power of two c that
+is s or more. It is sought in windows of 2c shingles that start at every c/2-th, so any
+run of 1.5c shingles lies whole in a window: 1.5 times a notice, whatever words stand
+in between. Templates are retrieved by ``BANDS`` bands of one MinHash value each: a window
+that holds 0.8 of a template has Jaccard similarity 0.8 / 4.2 to it at least, and all
+bands miss with probability (1 - 0.8 / 4.2) ** BANDS, under one in a hundred million.
 Retrieved windows are verified by exact containment of shingles.
 
-A window can collide only through a shingle that it shares with a template, so
-MinHash values are made only for windows around such shingles.
+The value of a band is the hash of one shingle of the template, and a window can collide
+in the band only if it holds that shingle. So words are first looked up in a Bloom filter
+of the shingles that bands stand for, and MinHash values are made for the windows around
+those found. Templates, their bands and their shingles are tables, of any size; only the
+filter, of a bounded number of bits, is part of the plan.
 """
 
 from __future__ import annotations
@@ -17,13 +21,17 @@ import string
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, unstage
 from .quality_stats import bound
 
-SHINGLE, BANDS = 5, 32
+SHINGLE, BANDS = 5, 96
+#: Least and most bits of the filter, as powers of two, and probes of a shingle.
+FILTER_BITS, PROBES = (16, 24), 3
+#: Rows of the table of bands up to which it is broadcast.
+MOST_BROADCAST = 1 << 20
 
 #: Wording of public license notices, by name.
 NOTICES = {
@@ -81,101 +89,147 @@ def _numbers(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(w: Column) -> Column:
-    return F.transform(_numbers(F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+def _hashes(w: Column, length: int) -> Column:
+    return F.transform(_numbers(F.size(w) - (length - 1)), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(length)]))
 
 
-def _literal_hashes(templates: list[Template]) -> Column:
-    shingles = sorted({s for t in templates for s in t.shingles})
-    return F.array(*[F.xxhash64(*map(F.lit, s)) for s in shingles])
+def _shingles(w: Column, length: int) -> Column:
+    return F.array_distinct(F.transform(_numbers(F.size(w) - (length - 1)), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(length)])))
 
 
-def _signature(shingles: Column) -> Column:
-    """One MinHash value a band."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
+def _by_length(make) -> Column:
+    """``make(length)`` for the row's ``length`` of shingles."""
+    return reduce(lambda rest, n: F.when(F.col("length") == n, make(n)).otherwise(rest), range(1, SHINGLE), make(SHINGLE))
 
 
-def _template_bands(spark: SparkSession, templates: list[Template]) -> DataFrame:
-    """``name, m, shingles, band, value``: ``BANDS`` rows a template."""
-    rows = F.array(*[F.struct(F.lit(t.name).alias("name"), F.lit(len(t.shingles)).alias("m"), F.array(*[F.lit(" ".join(s)) for s in t.shingles]).alias("shingles")) for t in templates])
-    table = spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
-    return table.select("*", F.posexplode(_signature(F.col("shingles"))).alias("band", "value"))
+def prepared(notices: DataFrame) -> DataFrame:
+    """``name, length, m, size, shingles, hashes`` of notices ``name, text``.
 
+    Of fewer than five words the whole is one shingle; notices without words are left out.
+    ``size`` is the class, ``m`` the number of distinct shingles.
+    """
+    words = notices.select(F.col("name").cast("string").alias("name"), plain_words(text_of()).alias("w")).filter(F.size("w") > 0)
+    words = words.withColumn("length", F.least(F.size("w"), F.lit(SHINGLE)))
+    span = F.size("w") - F.col("length") + 1
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(span.cast("double")))).cast("int")
+    size = F.when(size < span, size * 2).otherwise(size)
+    rows = words.select("name", "length", size.alias("size"), _by_length(lambda n: _shingles(F.col("w"), n)).alias("shingles"), F.array_distinct(_by_length(lambda n: _hashes(F.col("w"), n))).alias("hashes"))
+    return rows.select("name", "length", F.size("shingles").cast("long").alias("m"), "size", "shingles", "hashes")
+
+
+def bands_of(templates: DataFrame) -> DataFrame:
+    """``name, length, size, band, value, shingle``: ``BANDS`` rows a template, with the hash of the shingle that has the value."""
+    least = lambda b: F.array_min(F.transform("hashes", lambda h: F.struct(F.xxhash64(h, b).alias("value"), h.alias("shingle"))))
+    return templates.select("name", "length", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), least)).alias("band", "x")).select("name", "length", "size", "band", "x.value", "x.shingle")
 
-def _short(docs: DataFrame, template: Template) -> DataFrame:
-    """``doc_id, name, m, at, shared`` of a notice shorter than a shingle; its m is 1."""
-    text, n = text_of(), len(template.words)
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    # Its longest word stands in a text that holds it, so other texts need no words.
-    near = docs.filter(F.contains(lower, F.lit(max(template.words, key=len))))
-    same = lambda w: lambda i: reduce(lambda a, b: a & b, [F.get(w, i + k) == word for k, word in enumerate(template.words)])
-    places = bound(plain_words(text), lambda w: F.filter(_numbers(F.size(w) - (n - 1)), same(w)))
-    starts = F.filter(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i - 1, i)))), lambda k: k >= 0)
-    found = near.select(F.col("doc_id").cast("long"), F.explode(starts).alias("at"))
-    return found.select("doc_id", F.lit(template.name).alias("name"), F.lit(1).cast("long").alias("m"), "at", F.lit(1).cast("long").alias("shared"))
 
+def _probes(h: Column, bits: int) -> list[Column]:
+    """Bits of the filter that stand for a hash."""
+    return [F.shiftrightunsigned(h, 64 - bits - 12 * k).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") for k in range(PROBES)]
 
-def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, containment: float = 0.8, short: dict[str, str] = SHORT_NOTICES) -> DataFrame:
+
+def _filter(shingles: DataFrame, keys: int) -> tuple[Column, int]:
+    """The filter of ``shingle`` hashes as an array of longs, and its number of bits as a power of two.
+
+    At least 64 bits a hash, so that one word in some ten thousand passes by chance; beyond the
+    most bits more pass, and are looked up in the table.
+    """
+    bits = min(max(FILTER_BITS[0], (64 * max(keys, 1) - 1).bit_length()), FILTER_BITS[1])
+    at = shingles.select(F.explode(F.array(*_probes(F.col("shingle"), bits))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, at & 63))").alias("x")).collect()  # 2 ** 18 rows at most
+    values = [0] * (1 << (bits - 6))
+    for row in words:
+        values[row["i"]] = row["x"]
+    return F.lit(values).cast("array<bigint>"), bits
+
+
+def _windows(size: Column) -> tuple[Column, Column]:
+    """Step and length, in shingles, of the windows of a class."""
+    return F.greatest(F.floor(size / 2), F.lit(1)).cast("int"), (2 * size).cast("int")
+
+
+def scan(docs: DataFrame, notices: dict[str, str] | DataFrame = NOTICES, containment: float = 0.8, short: dict[str, str] = SHORT_NOTICES) -> DataFrame:
     """``doc_id, license, n_shingles, best_shared, n_windows, first_word`` of every match.
 
     A document matches a template if a window holds ``containment`` of its
     shingles; ``best_shared`` is the most any window holds, ``first_word`` the
-    first word of the first matching window. ``short`` notices, of fewer than five
-    words, count as one shingle. Null texts match nothing, and texts of fewer than
-    five words none but those; rows that share a ``doc_id`` are reported together.
+    first word of the first matching window. ``notices`` are names and texts, or a table
+    ``name, text`` of any number of templates, which then stands alone. ``short`` notices, of
+    fewer than five words, count as one shingle. Null texts match nothing, and texts of fewer than
+    five words none but those; rows that share a ``doc_id`` are reported together, and texts of any length
+    are read whole. An empty table gives no rows; other columns play no part.
     """
-    spark, templates = docs.sparkSession, templates_of(notices)
-    sizes = sorted({len(t.shingles) for t in templates})
-    every = _literal_hashes(templates)
-    hits = bound(plain_words(text_of()), lambda w: F.array_intersect(_hashes(w), every))
-    near = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), hits.alias("hits")).filter(F.size("hits") > 0)
-    near = stage(near.select("doc_id", "text"), "license-documents")
-
-    def windows(w: Column) -> Column:
-        def of_size(h: Column, m: int) -> Column:
-            wanted = F.array_intersect(h, _literal_hashes([t for t in templates if len(t.shingles) == m]))
-            at = lambda own: F.flatten(F.transform(F.filter(_numbers(F.size(h)), lambda i: F.array_contains(own, F.get(h, i))), lambda i: F.array(F.floor(i / m) - 1, F.floor(i / m))))
-            starts = F.filter(F.array_distinct(bound(wanted, at)), lambda k: k >= 0)
-            return F.transform(starts, lambda k: F.struct(F.lit(m).alias("m"), (k * m).cast("int").alias("at"), F.slice(w, (k * m).cast("int") + 1, 2 * m + SHINGLE - 1).alias("w")))
-
-        return bound(_hashes(w), lambda h: F.concat(*[of_size(h, m) for m in sizes]))
-
-    shingled = F.array_distinct(F.transform(_numbers(F.size("x.w") - (SHINGLE - 1)), lambda i: F.concat_ws(" ", *[F.get(F.col("x.w"), i + k) for k in range(SHINGLE)])))
-    cut = near.select("doc_id", F.explode(bound(plain_words(F.col("text")), windows)).alias("x")).select("doc_id", "x.m", "x.at", shingled.alias("held"))
+    spark = docs.sparkSession
+    if not isinstance(notices, DataFrame):
+        given = [(t.name, " ".join(t.words)) for t in templates_of(notices) + short_templates_of(short)]
+        notices = spark.createDataFrame(given, "name string, text string")
+    templates = stage(prepared(notices), "license-templates")
+    bands = stage(bands_of(templates), "license-bands")
+    few = bands.count() <= MOST_BROADCAST
+    small = lambda df: F.broadcast(df) if few else df
+    keys = bands.select("length", "size", "shingle").distinct()
+    lengths = sorted(r["length"] for r in bands.select("length").distinct().collect())  # 5 at most
+    if not lengths:
+        return docs.limit(0).select(F.col("doc_id").cast("long"), F.lit("").alias("license"), *[F.lit(0).cast("long").alias(c) for c in ("n_shingles", "best_shared", "n_windows", "first_word")])
+    table, bits = _filter(keys.select("shingle").distinct(), keys.count())
+
+    def known(h: Column) -> Column:
+        """Whether the filter has a hash."""
+        tests = [F.call_function("shiftright", F.get(table, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("bigint")) == 1 for at in _probes(h, bits)]
+        return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+    holds = lambda w: reduce(lambda a, b: a | b, [F.exists(_hashes(w, n), known) for n in lengths])
+    # The words are kept where the filter names one of their shingles, so that they are cut once.
+    near = docs.select(F.col("doc_id").cast("long"), bound(plain_words(text_of()), lambda w: F.when(holds(w), w)).alias("w")).filter(F.col("w").isNotNull())
+    near = stage(near.withColumn("row", F.monotonically_increasing_id()), "license-documents")
+    found = reduce(DataFrame.unionByName, [near.select("row", F.lit(n).alias("length"), F.posexplode(_hashes(F.col("w"), n)).alias("at", "shingle")) for n in lengths])
+    step, length = _windows(F.col("size"))
+    around = found.join(small(keys), ["length", "shingle"]).select("row", "length", "size", F.explode(F.transform(F.sequence(F.lit(0), (length / step).cast("int") - 1), lambda j: F.floor(F.col("at") / step).cast("int") - j)).alias("k"))
+    starts = stage(around.filter("k >= 0").distinct(), "license-starts")
+    part = F.slice("w", F.col("k") * step + 1, length + F.col("length") - 1)
+    cut = near.join(starts, "row").select("doc_id", "row", "length", "size", (F.col("k") * step).cast("int").alias("at"), part.alias("part"))
+    cut = cut.select("doc_id", "row", "length", "size", "at", _by_length(lambda n: _shingles(F.col("part"), n)).alias("held"), F.array_distinct(_by_length(lambda n: _hashes(F.col("part"), n))).alias("hashes"))
     cut = stage(cut, "license-windows")
-    bands = cut.select("doc_id", "m", "at", "held", F.posexplode(_signature(F.col("held"))).alias("band", "value"))
-    # Fixed size: BANDS rows for each template given.
-    found = bands.join(F.broadcast(_template_bands(spark, templates)), ["m", "band", "value"])
+    signature = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, b))))
+    signed = cut.select("row", "length", "size", "at", F.posexplode(signature).alias("band", "value"))
+    alike = signed.join(small(bands.select("name", "length", "size", "band", "value")), ["length", "size", "band", "value"]).select("row", "length", "size", "at", "name").distinct()
     shared = F.size(F.array_intersect("held", "shingles")).cast("long")
-    verified = found.select("doc_id", "name", F.col("m").cast("long").alias("m"), "at", shared.alias("shared")).filter(F.col("shared") >= F.lit(containment) * F.col("m"))
-    for template in short_templates_of(short):
-        verified = verified.unionByName(_short(docs, template))
+    pairs = cut.join(alike, ["row", "length", "size", "at"]).join(templates.select("name", "m", "shingles"), "name")
+    verified = pairs.select("doc_id", "name", "m", "at", shared.alias("shared")).filter(F.col("shared") >= F.lit(containment) * F.col("m"))
     each = verified.groupBy("doc_id", "name", "m", "at").agg(F.max("shared").alias("shared"))
-    return each.groupBy("doc_id", F.col("name").alias("license"), F.col("m").alias("n_shingles")).agg(
+    out = each.groupBy("doc_id", F.col("name").alias("license"), F.col("m").alias("n_shingles")).agg(
         F.max("shared").alias("best_shared"), F.count(F.lit(1)).alias("n_windows"), F.min("at").cast("long").alias("first_word")
     )
+    out = stage(out, "license-matches")
+    unstage(templates, bands, near, starts, cut)
+    return out
 
 
-def oracle(notices: dict[str, str] = NOTICES, containment: float = 0.8) -> str:
+def oracle(notices: dict[str, str] = NOTICES, containment: float = 0.8, short: dict[str, str] = SHORT_NOTICES) -> str:
     """Exact containment of every template in every window, in DuckDB SQL over ``documents``."""
-    values = ", ".join(f"('{t.name}', {len(t.shingles)}, '{' '.join(s)}')" for t in templates_of(notices) for s in t.shingles)
+    rows = []
+    for t in templates_of(notices) + short_templates_of(short):
+        n = min(SHINGLE, len(t.words))
+        shingles = sorted({" ".join(t.words[i : i + n]) for i in range(len(t.words) - n + 1)})
+        size = 1 << (len(t.words) - n).bit_length()
+        rows += [f"('{t.name}', {n}, {len(shingles)}, {2 * size}, {max(size // 2, 1)}, '{s}')" for s in shingles]
     return f"""
-    WITH t(license, m, shingle) AS (VALUES {values}),
+    WITH t(license, n, m, width, step, shingle) AS (VALUES {', '.join(rows)}),
     w AS (
         SELECT doc_id, row_number() OVER () AS r,
                regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{_WORD}') AS w
         FROM documents
     ), i AS (
-        SELECT doc_id, r, w, unnest(range(len(w) - {SHINGLE - 1})) AS i FROM w WHERE len(w) >= {SHINGLE}
+        SELECT doc_id, r, w, n, unnest(range(len(w) - n + 1)) AS i FROM w, (SELECT DISTINCT n FROM t) WHERE len(w) >= n
     ), s AS (
-        SELECT doc_id, r, i, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS shingle FROM i
+        SELECT doc_id, r, n, i, array_to_string(w[i + 1 : i + n], ' ') AS shingle FROM i
     ), h AS (
-        SELECT doc_id, r, license, m, shingle, unnest([i // m - 1, i // m]) AS k FROM s JOIN t USING (shingle)
+        SELECT doc_id, r, license, m, step, shingle, unnest(range(i // step - width // step + 1, i // step + 1)) AS k FROM s JOIN t USING (n, shingle)
     ), c AS (
-        SELECT doc_id, license, m, k, max(n) AS n FROM (
-            SELECT doc_id, r, license, m, k, count(DISTINCT shingle) AS n FROM h WHERE k >= 0 GROUP BY ALL
+        SELECT doc_id, license, m, step, k, max(n) AS n FROM (
+            SELECT doc_id, r, license, m, step, k, count(DISTINCT shingle) AS n FROM h WHERE k >= 0 GROUP BY ALL
         ) WHERE n >= {containment}::DOUBLE * m GROUP BY ALL
     )
-    SELECT doc_id, license, CAST(m AS BIGINT) AS n_shingles, CAST(max(n) AS BIGINT) AS best_shared, count(*) AS n_windows, CAST(min(k * m) AS BIGINT) AS first_word
+    SELECT doc_id, license, CAST(m AS BIGINT) AS n_shingles, CAST(max(n) AS BIGINT) AS best_shared, count(*) AS n_windows, CAST(min(k * step) AS BIGINT) AS first_word
     FROM c GROUP BY ALL
     """

@@ -215,6 +215,50 @@ def test_licenses(spark):
         licenses.templates_of({"short": "too few words"})
 
 
+def test_licenses_with_words_in_between(spark):
+    """Every stretch of up to one and a half notices that holds 0.8 of one is found, wherever it begins."""
+    rng = np.random.default_rng(12)
+    templates = licenses.templates_of(licenses.NOTICES)
+    rows, texts = [], []
+    for i in range(250):
+        words = list(templates[i % len(templates)].words)
+        for _ in range(int(rng.integers(0, max(2, len(words) // 12)))):
+            at = int(rng.integers(1, len(words)))
+            words[at:at] = ["inserted"] * int(rng.integers(1, 3))
+        lead = [f"w{x}" for x in rng.integers(0, 50, int(rng.integers(0, 130)))]
+        texts.append(lead + words + ["end"] * int(rng.integers(0, 40)))
+        rows.append((i, " ".join(texts[-1])))
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs_of(spark, rows)).collect()}
+    inside, n = 0, licenses.SHINGLE
+    for i, words in enumerate(texts):
+        shingles = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        for t in templates:
+            whole, span = set(t.shingles), (len(t.words) - n + 1) * 3 // 2
+            best = max(len(whole & set(shingles[k : k + span])) for k in range(len(shingles)))
+            if best >= 0.8 * len(whole):
+                inside += 1
+                assert (i, t.name) in got, (i, t.name)
+            if len(whole & set(shingles)) < 0.8 * len(whole):
+                assert (i, t.name) not in got
+    assert inside > 150
+
+
+def test_licenses_of_a_table(spark):
+    """Thousands of templates given as a table, each found where it stands."""
+    rng = np.random.default_rng(1)
+    say = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 3000, n))
+    notices = [(f"t{i}", say(int(rng.integers(1, 60)) if i % 10 else 3)) for i in range(1500)] + [("none", ""), ("null", None)]
+    table_ = spark.createDataFrame([(*x, 1) for x in notices], "name string, text string, doc_id int")
+    rows = [(i, say(30) + " " + notices[i][1] + " " + say(25)) for i in range(0, 1500, 25)]
+    got = defaultdict(set)
+    for r in licenses.scan(docs_of(spark, rows), table_).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert all(f"t{i}" in got[i] for i in range(0, 1500, 25))
+    long = {name for name, text in notices[:1500] if len(text.split()) > 12}
+    assert all(got[i] & long <= {f"t{i}"} for i in got)
+    assert licenses.scan(docs_of(spark, rows), table_.limit(0)).collect() == []
+
+
 def test_short_license_notice(spark):
     rows = [(1, "Some text.\nAll rights reserved."), (2, "all RIGHTS, reserved"), (3, "all rights are reserved"), (4, "overall rights reserved"), (5, None), (6, "All rights reserved. x y z. ALL rights reserved"), (7, "all rights reservedly")]
     got = sorted((r["doc_id"], r["license"], r["n_shingles"], r["best_shared"], r["n_windows"], r["first_word"]) for r in licenses.scan(docs_of(spark, rows)).collect())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) a temporary one is set.
+    Only where the session names none and its executors are threads of this process a
+    temporary one is set; on a cluster that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(remove, spark, base)
@@ -34,18 +38,29 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+_FOLDERS: set[str] = set()
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder, which goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/linkloom/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _FOLDERS.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stage(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, or to ``path``, and read it back.
 
     Cuts lineage: what follows survives lost executors without recomputing
     what went before, and sees one fixed version of the rows.
     """
     spark = df.sparkSession
-    path = staged_path(spark, name)
+    path = path or staged_path(spark, name)
     # What the rows were shuffled through is of no use once they are written.
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")

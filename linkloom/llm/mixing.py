@@ -145,3 +145,29 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     plan = mix_plan(stage(own.drop("document"), "mix-sizes"), weights, max_epochs, seed)
     taken = _planned(own, plan, max_epochs, seed).filter("copies > 0")
     return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("document.*")
+
+
+def oracle(weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rounds: int = 12) -> str:
+    """Sizes and targets of the sources of ``documents`` in DuckDB SQL: rounds of sharing what capped sources leave.
+
+    An error where ``rounds`` do not suffice.
+    """
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
+    sql = f"""
+    WITH s AS (
+        SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source
+    ), r0 AS (
+        SELECT source, source_size, {max_epochs} * source_size AS cap, false AS capped, (sum(source_size) OVER ())::DOUBLE AS whole,
+               CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {weight} END AS weight FROM s
+    )"""
+    for k in range(rounds):
+        sql += f""", t{k} AS (
+        SELECT *, (whole - coalesce(sum(cap) FILTER (capped) OVER (), 0)) * weight / sum(weight) FILTER (NOT capped) OVER () AS share FROM r{k}
+    ), r{k + 1} AS (
+        SELECT source, source_size, cap, capped OR share > cap AS capped, whole, weight FROM t{k}
+    )"""
+    return sql + f""", last AS (
+        SELECT *, (whole - coalesce(sum(cap) FILTER (capped) OVER (), 0)) * weight / sum(weight) FILTER (NOT capped) OVER () AS share FROM r{rounds}
+    )
+    SELECT source, source_size, CAST(weight AS BIGINT) AS weight, round(CASE WHEN capped THEN cap::DOUBLE WHEN share > cap THEN error('more rounds are needed') ELSE share END, 3) AS target FROM last
+    """

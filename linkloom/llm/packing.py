@@ -11,6 +11,7 @@ length; no task or driver ever holds the pieces.
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass, field
 
@@ -38,6 +39,11 @@ class Bin:
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     rule: str = "norm"
 
+    @property
+    def longest(self) -> int:
+        """Tokens of the longest piece that fits a bin alone."""
+        return min(self.tokens, math.isqrt(self.attention)) if self.documents > 0 else 0
+
 
 @dataclass
 class Plan:
@@ -141,10 +147,13 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
 def pack(docs: DataFrame, tokenizer: str, end_id: int, shape: Bin = Bin()) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
-    Sequences are filled without gaps from offset 0. Rows that repeat are packed
-    once each. An empty table gives no rows.
+    Sequences are filled without gaps from offset 0. Documents are cut only where they are longer
+    than ``shape.longest``. With 1024 tokens and no narrower limits on documents and attention
+    tokens alone bind, since n pieces of 1024 tokens together have no more than 1024 pieces and
+    1024 ** 2 attention. Rows that repeat are packed once each; null texts are empty, and texts of
+    any length are encoded whole. An empty table gives no rows; other columns play no part.
     """
-    pieces = stage(pieces_of(docs, tokenizer, end_id, shape.tokens), "pieces")
+    pieces = stage(pieces_of(docs, tokenizer, end_id, shape.longest), "pieces")
     counts = stage(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     # At most one row for each length a bin can hold.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

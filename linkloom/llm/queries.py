@@ -77,6 +77,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long"), "quality_score", "kept")
 
 
+def vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed where every limit binds: 1024 tokens, 4 documents, and the attention cost of 640 tokens in one piece."""
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2, shape=packing.Bin(documents=4, attention=640 * 640, weights=(1.0, 0.5, 0.5)))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and target of every source of operator 9."""
+    sizes = table(spark, sf_dir, "documents").groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(mixing.word_count()).alias("source_size"))
+    return mixing.source_targets(sizes, (1, 2, 3), 3).withColumn("target", F.round("target", 3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_top_k": op2_exact_top_k,
@@ -88,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_source_mix": op9_source_mix,
     "op10_quality_classifier": op10_quality_classifier,
+    "vector_packing": vector_packing,
+    "mix_targets": mix_targets,
 }
 
 ORACLES: dict[str, str] = {
@@ -105,6 +118,7 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
     """,
+    "mix_targets": mixing.oracle(),
     "op7_url_filter": urls.oracle(RULES),
     "op8_license_scan": licenses.oracle(),
 }

@@ -3,8 +3,8 @@
 Texts are encoded once per executor task and written as Parquet rows
 ``(doc_id, ids, n_tokens, start_in_part, part)`` in ascending ``doc_id`` order:
 part files hold disjoint, ascending ranges of ids and are sorted inside.
-Token ids are a dictionary-encoded list column; the metadata columns are delta
-encoded (format version 2 pages). Row-group and page sizes are parameters, and
+Token ids are a dictionary-encoded list column; the metadata columns have no
+dictionary, so version 2 pages hold them delta encoded. Row-group and page sizes are parameters, and
 Parquet's column and offset indexes let a reader fetch the rows or the metadata
 it needs and nothing else.
 """
@@ -12,6 +12,7 @@ it needs and nothing else.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 
@@ -54,6 +55,13 @@ def _solid_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((one < 0x80) & _LEADS[one]) | pair | triple
 
 
+def breaks_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file says that it pre-tokenizes as ``Encoder`` cuts texts: byte level, by its own
+    pattern, with no space put in front and the text not normalized."""
+    step = tokenizer.get("pre_tokenizer") or {}
+    return tokenizer.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space", True)
+
+
 class Encoder:
     """Encodes whole texts with a byte-level BPE of the ``tokenizers`` library.
 
@@ -64,12 +72,15 @@ class Encoder:
     those of the whole texts. Known pieces and their ids are kept in arrays, up to
     ``limit`` pieces; then the half that was not used for longest goes. Long
     pieces are not kept.
+
+    A tokenizer with another pre-tokenizer, or with a normalizer, encodes whole texts.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.block = Tokenizer.from_file(path), limit, 0
+        self.cuts = breaks_at_spaces(json.loads(self.tokenizer.to_str()))
         self.keys = pa.array([], pa.binary())
         #: Per known piece: where its ids begin in ``flat``, how many they are, and the block of its last use.
         self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -77,8 +88,7 @@ class Encoder:
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # Strings that the tokenizer takes as one token are not cut inside.
         fixed = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(c.isspace() for t in fixed for c in t):
-            raise ValueError("the tokenizer has added tokens with white space")
+        self.cuts &= not any(c.isspace() for t in fixed for c in t)
         self.mark = _MARK.copy()
         self.mark[[ord(b) for t in fixed for a, b in zip(t, t[1:]) if a.isalpha() and ord(b) < 128]] = False
 
@@ -133,6 +143,9 @@ class Encoder:
         size = int(offsets[-1] - offsets[0])
         data = np.frombuffer(texts.buffers()[2], np.uint8, size, offset=int(offsets[0])) if size else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
+        if not self.cuts:
+            whole = [np.asarray(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids + ([] if end_id is None else [end_id]), "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, "<u4"), *whole]), np.cumsum([0, *map(len, whole)])
         gaps = np.flatnonzero((data == 0x20) | (data == 0x0A))
         first = np.zeros(size + 1, bool)
         first[offsets] = True  # no cut reaches into another text
@@ -182,14 +195,18 @@ def text_blocks(batches, most: int = 4 << 20):
             begin = end
 
 
+#: Part files up to which their starts are broadcast.
+MOST_BROADCAST = 1 << 20
+
 TOKENS = "doc_id long, ids array<int>, n_tokens long, start_in_part long, part int"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of ``TOKENS``, one a document, in ascending order inside and across partitions.
 
-    Null texts are empty and give the end id alone; documents that share a
-    ``doc_id`` stand next to each other, by text.
+    Null texts are empty and give the end id alone, texts of any length are encoded whole, a
+    block at a time; documents that share a ``doc_id`` stand next to each other, by the first 64 bytes of their
+    text and its hash, and those without id come first. An empty table gives no rows.
     """
 
     def run(batches):
@@ -207,18 +224,23 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             )
             start += int(bounds[-1])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, TOKENS)
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"))
+    # What follows the id in the order deals rows of one id, or of none, over several files.
+    order = ["doc_id", "head", "hash", "salt"]
+    ordered = rows.withColumns({"head": F.substring("text", 1, 64), "hash": F.xxhash64("text"), "salt": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000) -> DataFrame:
-    """Encode, write the token files to the shared folder and return them as read back."""
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, path: str | None = None) -> DataFrame:
+    """Encode, write the token files to ``path`` (else to the shared folder, for as long as the application runs), and return them as read back."""
     return stage(
         encode_documents(docs, tokenizer, end_id),
         "tokens",
+        path,
         **{
             "parquet.writer.version": "PARQUET_2_0",
             "parquet.enable.dictionary": "true",
+            **{f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "n_tokens", "start_in_part", "part")},
             "parquet.dictionary.page.size": str(1 << 20),
             "parquet.block.size": str(row_group_bytes),
             "parquet.page.size": str(page_bytes),
@@ -247,5 +269,7 @@ def read_tokens(tokens: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "start_in_part", "part", "ids_crc32"])
 
     read = tokens.select("doc_id", "ids", "n_tokens", "start_in_part", "part").mapInArrow(run, "doc_id long, n_tokens long, start_in_part long, part int, ids_crc32 long")
-    # One row a part file: its size follows the number of files, never the rows.
-    return read.join(F.broadcast(part_starts(tokens)), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    starts = stage(part_starts(tokens), "token-parts")
+    # One row a part file: broadcast once they are counted.
+    starts = F.broadcast(starts) if starts.count() <= MOST_BROADCAST else starts
+    return read.join(starts, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")

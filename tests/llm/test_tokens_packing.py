@@ -1,12 +1,16 @@
+import glob
+import json
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from linkloom.llm import packing, tokens
+from linkloom.llm.queries import QUERIES
 
 from .helpers import BPE, ODD_ROWS, docs_of, table
 
@@ -55,7 +59,43 @@ def test_token_files_of_table(spark):
     assert "ids" not in written.select("doc_id", "n_tokens").filter("doc_id = 5")._jdf.queryExecution().executedPlan().toString()
 
 
-def check_packing(rows, got, capacity):
+def test_encodings_and_indexes(spark):
+    written = tokens.write_tokens(table(spark, "documents", "sf0.01"), BPE, 0, row_group_bytes=1 << 18, page_bytes=1 << 14, page_rows=100)
+    paths = glob.glob(written._staged_path.removeprefix("file://") + "/*.parquet")
+    groups = [pq.ParquetFile(p).metadata.row_group(i) for p in paths for i in range(pq.ParquetFile(p).metadata.num_row_groups)]
+    assert paths and len(groups) > len(paths)
+    for group in groups:
+        columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        ids = columns.pop("ids.list.element")
+        assert "RLE_DICTIONARY" in ids.encodings and ids.has_dictionary_page
+        for name, column in columns.items():
+            assert "DELTA_BINARY_PACKED" in column.encodings and not column.has_dictionary_page, name
+        assert all(c.has_offset_index and c.has_column_index for c in [ids, *columns.values()])
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    spec = json.loads(TOKENIZER.to_str())
+    assert tokens.breaks_at_spaces(spec)
+    texts = ["Don't  stop.\n\nNow! ", "", "a b\tc", " x  y"]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        encoder, other = tokens.Encoder(str(path)), Tokenizer.from_file(str(path))
+        assert not encoder.cuts
+        ids, bounds = encoder.encode(pa.array([t.encode() for t in texts], pa.binary()), 3)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*other.encode(t, add_special_tokens=False).ids, 3] for t in texts]
+
+
+def test_token_files_of_one_hot_id(spark):
+    rows = [(None, f"text {i % 7} of no id") for i in range(400)] + [(5, "same")] * 300 + [(i, f"w{i}") for i in range(40)]
+    written = tokens.write_tokens(docs_of(spark, rows), BPE, 0)
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"]) for r in tokens.read_tokens(written).collect()), key=lambda r: r[0])
+    assert len(got) == len(rows) and all(a + n == b for (a, _, n), (b, _, _) in zip(got, got[1:])) and got[0][0] == 0
+    assert [d for _, d, _ in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+
+
+def check_packing(rows, got, capacity, longest=None):
+    longest = longest or capacity
     texts = {}
     for doc, text in rows:
         texts.setdefault(doc, []).append(ids_of(text, 2))
@@ -68,7 +108,7 @@ def check_packing(rows, got, capacity):
         for ids in texts[doc]:
             n, at, k = len(ids), 0, 0
             while at < n:
-                size = n if n <= capacity else ((n - at) % capacity or capacity)
+                size = n if n <= longest else ((n - at) % longest or longest)
                 want.append((k, at, size, crc(ids[at : at + size])))
                 at, k = at + size, k + 1
         assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in own) == sorted(want)
@@ -115,3 +155,19 @@ def test_every_constraint_holds(rule):
             bins.setdefault(start[i] + (rank - first[i]) // per[i], []).append(n)
     assert all(sum(b) <= 100 and len(b) <= 3 and sum(x * x for x in b) <= 6000 for b in bins.values())
     assert sum(map(len, bins.values())) == sum(histogram.values())
+
+
+def test_packing_under_every_limit(spark):
+    got = QUERIES["vector_packing"](spark, "/root/testdata/sf0.001").collect()
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, "documents").collect()]
+    n_bins, _ = check_packing(rows, got, 1024, 640)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append(r["length"])
+    used = np.array([(sum(b), len(b), sum(x * x for x in b)) for b in bins.values()])
+    assert (used <= [1024, 4, 640 * 640]).all()
+    lengths, fewest = sorted(r["length"] for r in got), {}
+    for name, shape in (("tokens", packing.Bin()), ("documents", packing.Bin(documents=4)), ("attention", packing.Bin(attention=640 * 640))):
+        fewest[name] = packing.best_fit({n: lengths.count(n) for n in set(lengths)}, shape).bins
+    # Each limit makes a difference of its own.
+    assert fewest["tokens"] < fewest["attention"] < n_bins and (used[:, 1] == 4).any() and (used[:, 0] > 1000).any() and (used[:, 2] > 0.99 * 640 * 640).any()

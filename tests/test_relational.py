@@ -141,3 +141,19 @@ def test_joins_of_unmatched_keys(spark):
     assert rows(relational.join_many(inputs, "key")) == [(2, 2.0, 3.0, 5.0)]
     assert rows(relational.join_many(inputs, "key", "outer")) == sorted([(1, 1.0, None, None), (2, 2.0, 3.0, 5.0), (3, None, 4.0, None), (4, None, None, 6.0)], key=str)
     assert rows(relational.join_many(inputs, "key", "override")) == [(1, 1.0), (2, 5.0), (3, 4.0), (4, 6.0)]
+
+
+def test_command_line(spark, tmp_path):
+    from linkloom import cli
+
+    where = f"file://{tmp_path}"
+    assert cli.main(["max_ids", "/root/testdata/sf0.001", f"{where}/max", "--format", "json", "spark.x=1"]) == 0
+    assert spark.read.json(f"{where}/max").count() == 1
+    assert cli.main(["row_count_monitor", "/root/testdata/sf0.001", f"{where}/rows", "--from", "__spark_entry__"]) == 0
+    edges = spark.createDataFrame([(0, 0, 4), (0, 1, 2), (1, 0, 1), (2, 0, 3), (2, 1, 3)], "q int, a int, clicks bigint")
+    files.write_text(adjacency.render_adjacency(edges, "qas", "q", "a"), f"{where}/lines")
+    assert cli.main(["similar", f"{where}/lines", f"{where}/scores", "--param", "iterations=2", "--param", "in_place=true", "--param", "threshold=0.002"]) == 0
+    assert spark.read.parquet(f"{where}/scores").columns == ["i", "j", "v"] and spark.read.parquet(f"{where}/scores").count() > 0
+    for bad in (["none", "x", "y"], ["similar", "x", "y", "--param", "decay=2"], ["similar", "x", "y", "--param", "z=2"], ["similar", "x", "y", "--param", "in_place=maybe"], ["max_ids", "x", "y", "nosetting"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad)

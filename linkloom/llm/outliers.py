@@ -243,3 +243,83 @@ def quality_rules(docs: DataFrame, tail: float = 1e-7, alpha: float = 0.75, stre
     missing = rows.join(F.broadcast(estimates.select("grp")) if few else estimates.select("grp"), "grp", "left_anti").withColumn("d2", F.lit(None).cast("double"))
     scored = _distances(rows, estimates, FEATURES, few).select(*rows.columns, "d2").unionByName(missing)
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
+
+
+def oracle(tail: float = 1e-7, alpha: float = 0.75, strength: float = 100.0, steps: int = 24) -> str:
+    """The verdicts of ``quality_rules`` in DuckDB SQL over ``documents``, written independently of it.
+
+    Concentration is written out for ``steps`` steps: an error where a determinant falls in the last.
+    """
+    p, gap = range(5), r"[\x20\x09-\x0D]"
+    pairs = [(i, j) for i in p for j in range(i + 1)]
+    names = [f"m{i}" for i in p] + [f"s{i}{j}" for i, j in pairs]
+    floor = lambda i, j: f" + {FLOORS[i] ** 2}::DOUBLE" if i == j else ""
+    # Aliases may be used further on in the same list.
+    factor = ", ".join(
+        (f"sqrt(s{i}{j}{''.join(f' - l{i}{k} * l{i}{k}' for k in range(j))})" if i == j else f"(s{i}{j}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(j))}) / l{j}{j}") + f" AS l{i}{j}" for j in p for i in range(j, 5)
+    ) + ", " + " + ".join(f"ln(l{i}{i})" for i in p) + " AS logdet"
+    distance = ", ".join(f"(x{i} - m{i}{''.join(f' - l{i}{k} * y{k}' for k in range(i))}) / l{i}{i} AS y{i}" for i in p) + ", " + " + ".join(f"y{i} * y{i}" for i in p) + " AS d2"
+
+    def moments(sum_, sum2, count, scale):
+        """Means and covariances from sums."""
+        out = [f"({sum_(i)})::DOUBLE / ({count}) AS m{i}" for i in p]
+        for i, j in pairs:
+            s = f"((({sum2(i, j)})::DOUBLE / ({count}) - m{i} * m{j}) * {scale!r}::DOUBLE)"
+            out.append((f"greatest({s}, 0)" if i == j else s) + floor(i, j) + f" AS s{i}{j}")
+        return ", ".join(out)
+
+    part = lambda c: f"(t_{c} - {c})::DOUBLE + {c}::DOUBLE * part"
+    sums = ["c", *(f"a{i}" for i in p), *(f"b{i}{j}" for i, j in pairs)]
+    sql = f"""
+    WITH d AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), win AS (
+        SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)
+    ), rep AS (
+        SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS q FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1) GROUP BY r
+    ), lines AS (
+        SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d
+    ), f AS MATERIALIZED (
+        SELECT r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{gap}', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+               (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               'group ' || coalesce('=' || lang, '-') || chr(10) || coalesce('=' || source, '-') AS grp,
+               round(1000 * ln(1 + n_words))::BIGINT AS x0, round(1000 * (word_chars::DOUBLE / greatest(n_words, 1)))::BIGINT AS x1,
+               round(1000 * ln(1 + 100 * n_symbols::DOUBLE / greatest(word_chars, 1)))::BIGINT AS x2, round(1000 * (ln(1 + n_dup_lines) / 4))::BIGINT AS x3, round(1000 * (n_repeat_words::DOUBLE / greatest(n_words, 1)))::BIGINT AS x4
+        FROM d JOIN lines USING (r) LEFT JOIN rep USING (r)
+    ), e AS MATERIALIZED (
+        SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT unnest([grp, 'all']) AS grp, {', '.join(f'x{i}' for i in p)} FROM f WHERE NOT base_failed)
+    ), ranks AS (
+        SELECT *, {', '.join(f'row_number() OVER (PARTITION BY grp ORDER BY x{i}) AS k{i}' for i in p)} FROM e
+    ), marks AS (
+        SELECT grp, {', '.join(f'max(x{i}) FILTER (k{i} = ceil({q} * n)) AS q{n}{i}' for i in p for n, q in ((1, 0.25), (2, 0.5), (3, 0.75)))} FROM ranks GROUP BY grp
+    ), start AS (
+        SELECT grp, 'classical' AS start, {moments(lambda i: f'sum(x{i})', lambda i, j: f'sum(x{i} * x{j})', 'count(*)', 1.0)} FROM e GROUP BY grp
+        UNION ALL SELECT grp, 'quartiles', {', '.join(f'q2{i}::DOUBLE' for i in p)}, {', '.join(f'pow((q3{i} - q1{i}) / 1.349::DOUBLE, 2){floor(i, i)}' if i == j else '0' for i, j in pairs)} FROM marks
+    ), g0 AS MATERIALIZED (SELECT grp, start, {', '.join(names)}, {factor} FROM start)"""
+    for k in range(steps):
+        old = "false" if k == 0 else "g.logdet >= o.logdet - 1e-9::DOUBLE"
+        sql += f""", n{k} AS (
+        SELECT grp, start, any_value(n) AS n, bin, count(*) AS c, {', '.join(f'sum(x{i}) AS a{i}' for i in p)}, {', '.join(f'sum(x{i} * x{j}) AS b{i}{j}' for i, j in pairs)}
+        FROM (SELECT e.*, start, {distance}, floor(ln(d2 + 1e-9::DOUBLE) * {BINS}) AS bin FROM e JOIN g{k} USING (grp)) GROUP BY grp, start, bin
+    ), u{k} AS (
+        SELECT *, {', '.join(f'sum({c}) OVER (PARTITION BY grp, start ORDER BY bin) AS t_{c}' for c in sums)} FROM n{k}
+    ), v{k} AS (
+        SELECT grp, start, {moments(lambda i: part(f'a{i}'), lambda i, j: part(f'b{i}{j}'), part('c'), consistency(alpha, 5))}
+        FROM (SELECT *, (ceil({alpha}::DOUBLE * n) - (t_c - c)) / c::DOUBLE AS part FROM u{k} WHERE t_c >= ceil({alpha}::DOUBLE * n) AND t_c - c < ceil({alpha}::DOUBLE * n))
+    ), h{k} AS MATERIALIZED (SELECT grp, start, {', '.join(names)}, {factor} FROM v{k}
+    ), g{k + 1} AS MATERIALIZED (
+        SELECT grp, start, {', '.join(f'CASE WHEN {old} THEN o.{c} ELSE g.{c} END AS {c}' for c in [*names, *(f'l{i}{j}' for i, j in pairs), 'logdet'])} FROM h{k} AS g JOIN g{k} AS o USING (grp, start)
+    )"""
+    mixed = lambda c: f"own * b.{c} + (1 - own) * a.{c}"
+    return sql + f""", settled AS (
+        SELECT CASE WHEN count(*) FILTER (g.logdet < o.logdet - 1e-9::DOUBLE) > 0 THEN error('more steps are needed') END AS x FROM g{steps} AS g JOIN g{steps - 1} AS o USING (grp, start)
+    ), best AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY logdet, start) AS k FROM g{steps}) WHERE k = 1
+    ), fit AS MATERIALIZED (
+        SELECT b.grp, n / (n + {strength}::DOUBLE) AS own, {', '.join(f'{mixed(f"m{i}")} AS m{i}' for i in p)},
+               {', '.join(f'{mixed(f"s{i}{j}")} + own * (1 - own) * (b.m{i} - a.m{i}) * (b.m{j} - a.m{j}) AS s{i}{j}' for i, j in pairs)}
+        FROM best AS b JOIN (SELECT grp, any_value(n) AS n FROM e GROUP BY grp) USING (grp), best AS a WHERE a.grp = 'all' AND b.grp <> 'all'
+    ), last AS MATERIALIZED (SELECT grp, {', '.join(f'm{i}' for i in p)}, {factor} FROM fit), dist AS (SELECT r, {distance} FROM f JOIN last USING (grp))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {chi2_quantile(1 - tail, 5)!r}::DOUBLE, true) AS kept
+    FROM f LEFT JOIN dist USING (r), settled
+    """

@@ -119,6 +119,7 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
     """,
     "mix_targets": mixing.oracle(),
+    "op1_suffix_dedup": substrings.oracle(),
     "op5_quality_rules": outliers.oracle(),
     "op7_url_filter": urls.oracle(RULES),
     "op8_license_scan": licenses.oracle(),

@@ -560,3 +560,33 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("left").isNull(), F.col("document.n_chars")).otherwise(F.length("left").cast("long"))
     return found.select(*[new[c].alias(c) if c in new else F.col("document").getField(c).alias(c) for c in docs.columns])
+
+
+def oracle(chunk: int = 400) -> str:
+    """The rows of ``removed`` in DuckDB SQL over ``documents`` with differing ids: every window, numbered among its equals.
+
+    Texts are cut into chunks of window starts first, so that a window is no cut from a whole text.
+    """
+    return f"""
+    WITH d AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, length(h) // 2 AS n FROM documents
+    ), chunks AS (
+        SELECT r, n, c, substr(h, 2 * c + 1, {2 * (chunk + LENGTH - 1)}) AS s FROM (SELECT *, unnest(range(0, n - {LENGTH - 1}, {chunk})) AS c FROM d WHERE n >= {LENGTH})
+    ), windows AS (
+        SELECT r, c + i AS i, sha256(substr(s, 2 * i + 1, {2 * LENGTH})) AS g FROM (SELECT *, unnest(range(least({chunk}, n - {LENGTH - 1} - c))) AS i FROM chunks)
+    ), repeats AS (
+        SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY r, i) AS k FROM windows) WHERE k > 1
+    ), marked AS (
+        SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH}, true)::INT AS fresh FROM repeats
+    ), spans AS (
+        SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM marked) GROUP BY r, k
+    ), pieces AS (
+        SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM spans UNION ALL SELECT r, max(b), any_value(n) FROM spans JOIN d USING (r) GROUP BY r
+    ), kept AS (
+        SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM pieces JOIN d USING (r) GROUP BY r
+    ), counts AS (
+        SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+    )
+    SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
+    """

@@ -192,7 +192,7 @@ def test_url_tree_goes_to_the_last_branch(spark):
     assert verdicts[1][1] == "/*/*/*/*/*/*/=spam/*"
 
 
-@pytest.mark.parametrize("name, tables", [("op7_url_filter", ["pages"]), ("op8_license_scan", ["documents"]), ("mix_targets", ["documents"]), ("op5_quality_rules", ["documents"])])
+@pytest.mark.parametrize("name, tables", [("op7_url_filter", ["pages"]), ("op8_license_scan", ["documents"]), ("mix_targets", ["documents"]), ("op5_quality_rules", ["documents"]), ("op1_suffix_dedup", ["documents"])])
 def test_queries_against_sql(spark, name, tables):
     sf = "/root/testdata/sf0.01"
     want = duck_over(**{t: table(spark, t, "sf0.01") for t in tables}).execute(ORACLES[name]).to_arrow_table()

@@ -205,8 +205,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of ``TOKENS``, one a document, in ascending order inside and across partitions.
 
     Null texts are empty and give the end id alone, texts of any length are encoded whole, a
-    block at a time; documents that share a ``doc_id`` stand next to each other, by the first 64 bytes of their
-    text and its hash, and those without id come first. An empty table gives no rows.
+    block at a time; documents that share a ``doc_id`` stand next to each other, by a hash of
+    their text, and those without id come first. An empty table gives no rows.
     """
 
     def run(batches):
@@ -226,8 +226,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"))
     # What follows the id in the order deals rows of one id, or of none, over several files.
-    order = ["doc_id", "head", "hash", "salt"]
-    ordered = rows.withColumns({"head": F.substring("text", 1, 64), "hash": F.xxhash64("text"), "salt": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["doc_id", "hash", "salt"]
+    ordered = rows.withColumns({"hash": F.xxhash64("text"), "salt": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 

@@ -128,8 +128,8 @@ def _merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray):
 
 #: ``until``: twice the end of the region, plus 1 if it may hold its minimizer twice; less than
 #: zero if the row is known to be open. ``at`` is -1 in a row that only says that other rows of
-#: its minimizer are known to be open. ``part`` deals rows out: the minimizer, or any number.
-MARKS = "part long, gram long, before long, after long, doc long, at long, until long"
+#: its minimizer are known to be open.
+MARKS = "gram long, before long, after long, doc long, at long, until long"
 #: ``joins``: 1 if the run before is the same at all rows of the minimizer, 2 if the one after is.
 OPEN = "gram long, doc long, at long, until long, joins int"
 
@@ -140,11 +140,6 @@ def _batch(schema: str, columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, of[k]) for x, k in zip(columns, kinds)], names=list(names))
 
 
-def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Numbers that deal rows of known result out evenly."""
-    return _mix((doc.view(np.uint64) + at.view(np.uint64)) * np.uint64(_BASE)).view(np.int64)
-
-
 def _runs_of(texts: pa.Array):
     """``runs`` of a block of texts, with the minimizers of the runs before and after (0 at the ends)."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -164,8 +159,8 @@ def _runs_of(texts: pa.Array):
 def mark_runs(texts: DataFrame, most_rows: int = 250_000) -> DataFrame:
     """``MARKS`` of the runs of ``doc, text``.
 
-    Of a minimizer that ``HOT`` rows or more of a buffer hold, the rows are known to be open;
-    they are dealt out at will, and one row alone tells the others of the minimizer so.
+    Of a minimizer that ``HOT`` rows or more of a buffer hold, the rows are known to be open and
+    can be dealt out at will; one row alone tells the others of the minimizer so.
     """
 
     def run(batches):
@@ -178,17 +173,15 @@ def mark_runs(texts: DataFrame, most_rows: int = 250_000) -> DataFrame:
             sorted_ = gram[order]
             begins = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]][: len(order)])
             counts = np.diff(np.r_[begins, len(order)])
-            part, hot = gram.copy(), np.zeros(len(gram), bool)
             often = counts >= HOT
-            hot[order[np.repeat(often, counts)]] = True
+            hot = order[np.repeat(often, counts)]
             until[hot] = -until[hot]
-            part[hot] = _spread(doc[hot], at[hot])
             if often.any():
                 told = sorted_[begins[often]]
                 none = np.zeros(len(told), np.int64)
-                yield _batch(MARKS, (told, told, none, none, none, none - 1, none))
+                yield _batch(MARKS, (told, none, none, none, none - 1, none))
             for k in range(0, len(gram), 100_000):
-                yield _batch(MARKS, [x[k : k + 100_000] for x in (part, gram, before, after, doc, at, until)])
+                yield _batch(MARKS, [x[k : k + 100_000] for x in (gram, before, after, doc, at, until)])
 
         for batch in batches:
             for docs, some in text_blocks([batch], 1 << 18):
@@ -227,7 +220,7 @@ def open_runs(marks: DataFrame, most_rows: int = 1 << 16) -> DataFrame:
             return _batch(OPEN, (gram[rows], doc[rows], at[rows], until[rows] >> 1, np.repeat(joins, counts)[rows]))
 
         for batch in batches:
-            new = [np.asarray(x) for x in batch.columns[1:]]
+            new = [np.asarray(x) for x in batch.columns]
             at_once = new[5] < 0
             if passing is not None:
                 at_once |= new[0] == passing
@@ -247,7 +240,9 @@ def open_runs(marks: DataFrame, most_rows: int = 1 << 16) -> DataFrame:
         if len(held[0]):
             yield settle(*held)
 
-    return marks.repartition("part").sortWithinPartitions("part", "gram").mapInArrow(run, OPEN)
+    # Rows known to be open go anywhere, the others by minimizer; one long sorts fastest.
+    dealt = F.when(F.col("until") < 0, F.xxhash64("doc", "at")).otherwise(F.col("gram"))
+    return marks.repartition(dealt).sortWithinPartitions("gram").mapInArrow(run, OPEN)
 
 
 #: A region's bytes, or no bytes and the end of an interval that is known to repeat.

@@ -184,7 +184,7 @@ def mark_runs(texts: DataFrame, most_rows: int = 250_000) -> DataFrame:
                 yield _batch(MARKS, [x[k : k + 100_000] for x in (gram, before, after, doc, at, until)])
 
         for batch in batches:
-            for docs, some in text_blocks([batch], 1 << 18):
+            for docs, some in text_blocks([batch], 1 << 17):
                 text, at, until, gram, before, after, own = _runs_of(some)
                 held.append((gram, before, after, np.asarray(docs)[text], at, 2 * until + own))
                 if sum(len(x[0]) for x in held) > most_rows:

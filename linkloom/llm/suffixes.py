@@ -156,8 +156,8 @@ class Text:
         self.bits = 8 * symbols.dtype.itemsize
         self.mask, self.carried = np.uint64((1 << self.bits) - 1), 64 // self.bits
         self.place = np.int32 if self.n < 1 << 31 else np.int64
-        #: For bytes, the eight from each place on as one big-endian number.
-        self.words = np.ndarray((self.n - 7,), ">u8", symbols, strides=(1,)) if self.bits == 8 and self.n > 7 and symbols.flags["C_CONTIGUOUS"] else None
+        #: For bytes, the eight from each place on as one little-endian number.
+        self.words = np.ndarray((self.n - 7,), "<u8", symbols, strides=(1,)) if self.bits == 8 and self.n > 7 and symbols.flags["C_CONTIGUOUS"] else None
 
     def bucket(self, symbols: np.ndarray) -> np.ndarray:
         return symbols if self.cuts is None else np.searchsorted(self.cuts, symbols, side="right") - 1
@@ -172,7 +172,7 @@ class Text:
         """The symbols before each place, the nearest in the lowest bits."""
         at = at.astype(np.int64, copy=False)
         if self.words is not None:
-            packed = self.words[np.minimum(np.maximum(at - 8, 0), self.n - 8)].astype(np.uint64)
+            packed = self.words[np.minimum(np.maximum(at - 8, 0), self.n - 8)].byteswap()
             near = np.flatnonzero(at < 8)
         else:
             packed, near = np.zeros(len(at), np.uint64), np.arange(len(at))
@@ -194,15 +194,11 @@ class Text:
                 inside = np.maximum(x, y) < len(self.words)
                 if not inside.all():
                     live, x, y = live[inside], x[inside], y[inside]
-                differ = (self.words[x] ^ self.words[y]).astype(np.uint64)
+                differ = self.words[x] ^ self.words[y]
                 same = differ == 0
-                # Whole bytes in front of the highest bit that differs; 53 bits of a double are enough for that.
+                # Whole bytes below the lowest bit that differs, which a double holds exactly.
                 rest = differ[~same]
-                exact = np.maximum(rest >> np.uint64(11), np.uint64(1))
-                top = np.frexp(exact.astype(np.float64))[1] + 10
-                low = rest < np.uint64(1 << 11)
-                top[low] = np.frexp(rest[low].astype(np.float64))[1] - 1
-                out[live[~same]] += (63 - top) // 8
+                out[live[~same]] += (np.frexp((rest & -rest).astype(np.float64))[1] - 1) // 8
                 out[live[same]] += 8
                 live, done = live[same], done + 8
             live = np.flatnonzero((np.maximum(a, b) + out >= len(self.words)) & (out < cap))

@@ -157,3 +157,22 @@ def test_command_line(spark, tmp_path):
     for bad in (["none", "x", "y"], ["similar", "x", "y", "--param", "decay=2"], ["similar", "x", "y", "--param", "z=2"], ["similar", "x", "y", "--param", "in_place=maybe"], ["max_ids", "x", "y", "nosetting"]):
         with pytest.raises(SystemExit):
             cli.main(bad)
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from linkloom import storage
+
+    def session(master, **conf):
+        return SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), conf=SimpleNamespace(get=lambda k, d=None: d))
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_dir(session(master))
+        assert storage.shared_dir(session(master, **{"spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
+    kept, gone = storage.stage(spark.range(3), "kept", f"file://{tmp_path}/kept"), storage.stage(spark.range(4), "gone")
+    assert kept.count() == 3 and gone.count() == 4 and (tmp_path / "kept").exists()
+    storage.unstage(gone, spark.range(1))
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._staged_path)

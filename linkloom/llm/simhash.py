@@ -14,7 +14,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import linked
@@ -66,15 +66,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def shard_links(distinct: DataFrame) -> DataFrame:
+#: (lowest bit, bits) of the four parts of the bits outside two blocks, 38 or 39 of them.
+PARTS = ((0, 10), (10, 10), (20, 10), (30, 9))
+
+
+def _shard_keys() -> list[Column]:
+    """For each pair of blocks the shard of a fingerprint, and the bits of the other blocks side by side."""
+    block = lambda at, bits: F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1)
+    out = []
+    for k, (a, b) in enumerate(combinations(range(5), 2)):
+        rest, at = F.lit(0).cast("long"), 0
+        for c in range(5):
+            if c not in (a, b):
+                rest, at = rest + F.shiftleft(block(*BLOCKS[c]), at), at + BLOCKS[c][1]
+        shard = F.lit(k << 26) + F.shiftleft(block(*BLOCKS[a]), 13) + block(*BLOCKS[b])
+        out.append(F.struct(shard.alias("shard"), rest.alias("rest")))
+    return out
+
+
+def shard_links(distinct: DataFrame, most: int = 1 << 14) -> DataFrame:
     """Edges ``(u, v)`` between fingerprints that links of up to three bits join inside a shard.
 
     Not all pairs: a forest that joins the same fingerprints, so a shard of n
-    gives less than n edges.
+    gives less than n edges. A shard of more than ``most`` is dealt out further: its fingerprints
+    may differ in three of the bits that are left, so they agree on one of four parts of these.
     """
-    block = lambda at, bits: F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1)
-    keys = [F.lit(k << 26) + F.shiftleft(block(*BLOCKS[a]), 13) + block(*BLOCKS[b]) for k, (a, b) in enumerate(combinations(range(5), 2))]
-    shards = distinct.select("fp", F.explode(F.array(*keys)).alias("shard"))
+    shards = distinct.select("fp", F.explode(F.array(*_shard_keys())).alias("s")).select("fp", "s.shard", "s.rest")
+    hot = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("shard", F.lit(True).alias("hot"))
+    hot = stage(hot, "fingerprints-hot")
+    if not hot.isEmpty():
+        parts = [F.lit(1 << 62) + F.shiftleft("shard", 12) + F.lit(j << 10) + F.shiftrightunsigned("rest", at).bitwiseAND(F.lit((1 << bits) - 1)) for j, (at, bits) in enumerate(PARTS)]
+        shards = shards.join(hot, "shard", "left").select("fp", F.explode(F.when(F.col("hot"), F.array(*parts)).otherwise(F.array("shard"))).alias("shard"))
+    shards = shards.select("fp", "shard")
 
     def run(batches):
         kept_s, kept_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -102,7 +125,7 @@ def shard_links(distinct: DataFrame) -> DataFrame:
     return shards.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = 1 << 14) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
     ``component_id`` is the smallest ``doc_id`` that links reach, own id included;
@@ -110,10 +133,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     like others but never name a component; a component of such rows alone has a
     null one. Ties cannot arise; repeated rows each get their row; null texts are empty, and
     texts of any length are read whole. An empty table gives no rows; other columns play no part.
+    ``most``: fingerprints of a shard beyond which it is dealt out further.
     """
     prints = stage(fingerprints(docs), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprints-distinct")
-    roots = stage(connected_components(shard_links(distinct)), "fingerprints-roots").withColumnRenamed("node", "fp")
+    roots = stage(connected_components(shard_links(distinct, most)), "fingerprints-roots").withColumnRenamed("node", "fp")
     # Both sides of each join are written tables, so that Spark can split a hot component or fingerprint.
     lows = stage(roots.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component_id")), "fingerprints-lows")
     named = stage(roots.join(lows, "root").select("fp", "component_id", F.lit(True).alias("joined")), "fingerprints-named")

@@ -33,8 +33,8 @@ def brute(rows):
     return sorted(((d, p, low.get(g)) for (d, p), g in zip(prints, group)), key=repr)
 
 
-def found(df):
-    return sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=repr)
+def found(df, **kw):
+    return sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(df, **kw).collect()), key=repr)
 
 
 def near_copies(seed):
@@ -55,6 +55,20 @@ def test_against_brute_force(spark):
     assert got == brute(rows) and len({c for _, _, c in got}) < len(got) - 60
 
 
+def test_hot_shards(spark):
+    """Shards of two and more are dealt out further, and no link is lost."""
+    rows = near_copies(4) + [r[:2] for r in ODD_ROWS]
+    assert found(docs_of(spark, rows, 5), most=1) == found(docs_of(spark, rows), most=6) == brute(rows)
+    rng = random.Random(1)
+    prints = [rng.getrandbits(64)]
+    while len(prints) < 60:  # each up to three bits from another
+        prints = sorted({*prints, rng.choice(prints) ^ sum(1 << b for b in rng.sample(range(64), 3))})
+    distinct = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, 0) for p in prints], "fp long, low long")
+    for most in (1, 1000):
+        roots = {r["root"] for r in connected_components(simhash.shard_links(distinct, most)).collect()}
+        assert len(roots) == 1
+
+
 def test_table_and_empty(spark):
     docs = table(spark, "documents")
     assert found(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])

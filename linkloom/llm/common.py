@@ -21,16 +21,20 @@ GAP = r"[\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
 
 
-#: Rows of a batch between the JVM and Python, where the session has Spark's default:
-#: documents are long, and a batch lies in memory on both sides.
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Most rows and bytes of a batch between the JVM and Python, where the session has Spark's
+#: defaults: documents are long, and a batch lies in memory on both sides.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "8192"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "1048576b"),
+}
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python, once a Spark application."""
+    """Make this package importable in the executors' Python, once a Spark application, and bound the session's batches."""
     context = spark.sparkContext
-    if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, "1024")
+    for setting, (default, ours) in BATCHES.items():
+        if spark.conf.get(setting) == default:
+            spark.conf.set(setting, ours)
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

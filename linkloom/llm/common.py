@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.storage import shared_dir, stage, staged_path, unstage
 
-__all__ = ["GAP", "WORD", "keyed_texts", "shared_dir", "ship", "stage", "staged_path", "table", "text_of", "unstage"]
+__all__ = ["GAP", "WORD", "frugal", "give_back", "keyed_texts", "shared_dir", "ship", "stage", "staged_path", "table", "text_of", "unstage"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +49,33 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+@functools.lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library, which gives back by itself or not at all
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+def frugal(run):
+    """``run``, a function of a task's batches, which gives back memory when the task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables as given; also ships the package for what runs on it."""
     ship(spark)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, unstage
+from .common import frugal, give_back, stage, text_of, unstage
 from .tokens import text_blocks
 
 BUCKETS = 256
@@ -214,7 +214,7 @@ def _features(texts: pa.Array) -> np.ndarray:
     if not len(texts):
         return np.zeros((0, DENSE + BUCKETS), np.float32)
     batch = pa.record_batch([pa.nulls(len(texts)), texts], names=["k", "t"])
-    return np.vstack([text_features(*_offsets(t)) for _, t in text_blocks([batch], 1 << 18)])
+    return np.vstack([text_features(*_offsets(t)) for _, t in text_blocks([batch], 1 << 17)])
 
 
 def _described(docs: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _views_of(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray,
             yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *batch.columns[2:]], names=["doc_id", "x", "lang", "source", "n_chars"])
 
     rows = _described(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
-    rows = rows.mapInArrow(run, "doc_id long, x binary, lang string, source string, n_chars long")
+    rows = rows.mapInArrow(frugal(run), "doc_id long, x binary, lang string, source string, n_chars long")
     found = rows.groupBy("doc_id").agg(F.min(F.struct("x", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*").toArrow().to_pydict()
     text = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, DENSE + BUCKETS)
     return np.asarray(found["doc_id"], np.int64), text, metadata_features(found["lang"], found["source"], found["n_chars"])
@@ -276,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model | None:
                 some = best[k : k + 10_000]
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*some), (pa.int32(), pa.int32(), pa.int64(), pa.float64()))], names=["view", "label", "doc_id", "sure"])
 
-        each = _described(docs).mapInArrow(run, SURE).groupBy("view", "label", "doc_id").agg(F.max("sure").alias("sure"))
+        each = _described(docs).mapInArrow(frugal(run), SURE).groupBy("view", "label", "doc_id").agg(F.max("sure").alias("sure"))
         each = stage(each, "co-training")
         rows = []
         for view in (0, 1):
@@ -316,7 +316,9 @@ def score(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
     @F.arrow_udf("double")
     def probability(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
         metadata = metadata_features(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist())
-        return pa.array(np.round(model.probability(_features(text), metadata), 6), pa.float64())
+        out = pa.array(np.round(model.probability(_features(text), metadata), 6), pa.float64())
+        give_back()
+        return out
 
     p = probability(text_of().cast("binary"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
     return docs.withColumn("quality_score", p).withColumn("kept", F.col("quality_score") >= fit.keep)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import frugal, stage, text_of
 from .tokens import encoder_for, text_blocks
 
 
@@ -141,7 +141,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
         if rows:
             yield batch()
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(frugal(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, shape: Bin = Bin()) -> DataFrame:
@@ -171,4 +171,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, shape: Bin = Bin()) -> Da
             sequence = first_bin[i] + nth // per_bin[i]
             yield pa.record_batch([*batch.columns[:5], pa.array(sequence), pa.array(offset[i] + nth % per_bin[i] * size)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(frugal(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

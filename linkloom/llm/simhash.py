@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import linked
-from .common import stage, text_of
+from .common import frugal, stage, text_of
 from .components import connected_components
 
 SEED, RADIUS = 42, 3
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 #: (lowest bit, bits) of the four parts of the bits outside two blocks, 38 or 39 of them.
@@ -122,7 +122,7 @@ def shard_links(distinct: DataFrame, most: int = 1 << 14) -> DataFrame:
         if len(kept_s):
             yield links(kept_s, kept_f)
 
-    return shards.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "u long, v long")
+    return shards.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(frugal(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, most: int = 1 << 14) -> DataFrame:

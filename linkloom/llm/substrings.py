@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, stage, unstage
+from .common import frugal, give_back, keyed_texts, stage, unstage
 from .suffixes import suffix_order
 from .tokens import text_blocks
 
@@ -192,7 +192,7 @@ def mark_runs(texts: DataFrame, most_rows: int = 250_000) -> DataFrame:
         if held:
             yield from flush()
 
-    return texts.mapInArrow(run, MARKS)
+    return texts.mapInArrow(frugal(run), MARKS)
 
 
 def open_runs(marks: DataFrame, most_rows: int = 1 << 16) -> DataFrame:
@@ -242,7 +242,7 @@ def open_runs(marks: DataFrame, most_rows: int = 1 << 16) -> DataFrame:
 
     # Rows known to be open go anywhere, the others by minimizer; one long sorts fastest.
     dealt = F.when(F.col("until") < 0, F.xxhash64("doc", "at")).otherwise(F.col("gram"))
-    return marks.repartition(dealt).sortWithinPartitions("gram").mapInArrow(run, OPEN)
+    return marks.repartition(dealt).sortWithinPartitions("gram").mapInArrow(frugal(run), OPEN)
 
 
 #: A region's bytes, or no bytes and the end of an interval that is known to repeat.
@@ -304,7 +304,7 @@ def regions_of(texts: DataFrame, open_: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    return joined.mapInArrow(run, REGIONS)
+    return joined.mapInArrow(frugal(run), REGIONS)
 
 
 INTERVALS = "doc long, at long, until long"
@@ -476,7 +476,7 @@ def sort_regions(regions: DataFrame, shard_bytes: int = 2 << 20, memory: int = 3
         for rows in cut():
             yield from sort(rows)
 
-    return regions.repartition("part").sortWithinPartitions("part").mapInArrow(run, INTERVALS)
+    return regions.repartition("part").sortWithinPartitions("part").mapInArrow(frugal(run), INTERVALS)
 
 
 def repeated_intervals(texts: DataFrame) -> DataFrame:
@@ -531,7 +531,7 @@ def removed(docs: DataFrame, kept: bool = True) -> DataFrame:
             if rows:
                 yield result(rows)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(frugal(run), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -547,7 +547,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("string")
     def kept(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = [_kept(memoryview(t.as_buffer()), s.values if s.is_valid else None) for t, s in zip(text, spans)]
-        return pa.array([None if n == 0 else b.decode("utf-8", "ignore") for b, n, _ in out], pa.string())
+        out = pa.array([None if n == 0 else b.decode("utf-8", "ignore") for b, n, _ in out], pa.string())
+        give_back()
+        return out
 
     text = F.when(F.col("spans").isNull(), F.lit(None)).otherwise(kept("text", "spans"))
     found = joined.select("document", text.alias("left")).filter(F.col("left").isNull() | (F.col("left") != ""))

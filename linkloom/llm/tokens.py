@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import frugal, stage, text_of
 
 #: Characters that no pre-tokenizer rule of a byte-level BPE counts as white space.
 SOLID = "!-~\u00c0-\u0fff\u4000-\ud7ff"
@@ -228,7 +228,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     # What follows the id in the order deals rows of one id, or of none, over several files.
     order = ["doc_id", "hash", "salt"]
     ordered = rows.withColumns({"hash": F.xxhash64("text"), "salt": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
-    return ordered.select("doc_id", "text").mapInArrow(run, TOKENS)
+    return ordered.select("doc_id", "text").mapInArrow(frugal(run), TOKENS)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, path: str | None = None) -> DataFrame:
@@ -268,7 +268,7 @@ def read_tokens(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[a:b].data if b > a else b"") for a, b in zip(at[:-1], at[1:])]
             yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "start_in_part", "part", "ids_crc32"])
 
-    read = tokens.select("doc_id", "ids", "n_tokens", "start_in_part", "part").mapInArrow(run, "doc_id long, n_tokens long, start_in_part long, part int, ids_crc32 long")
+    read = tokens.select("doc_id", "ids", "n_tokens", "start_in_part", "part").mapInArrow(frugal(run), "doc_id long, n_tokens long, start_in_part long, part int, ids_crc32 long")
     starts = stage(part_starts(tokens), "token-parts")
     # One row a part file: broadcast once they are counted.
     starts = F.broadcast(starts) if starts.count() <= MOST_BROADCAST else starts

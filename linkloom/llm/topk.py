@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import frugal, stage
 
 #: Most rows of a shard, and queries that a task lets stream past one.
 SHARD_ROWS, BLOCK_QUERIES = 1 << 15, 1 << 20
@@ -214,7 +214,7 @@ def _meet(met: DataFrame, n_shards: int, k: int) -> DataFrame:
                     if d in lists:
                         yield from results(lists[d], own, queries)
 
-    return met.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "kind", "q").mapInArrow(run, FOUND)
+    return met.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "kind", "q").mapInArrow(frugal(run), FOUND)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:

@@ -183,15 +183,27 @@ def encoder_for(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
+def _gathered(batches, most: int):
+    """Ids and texts of ``(doc_id, text as binary)`` batches, small ones put together up to about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch.column(0), batch.column(1)))
+        size += batch.column(1).nbytes
+        if size >= most:
+            yield tuple(map(pa.concat_arrays, zip(*held))) if len(held) > 1 else held[0]
+            held, size = [], 0
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held))) if len(held) > 1 else held[0]
+
+
 def text_blocks(batches, most: int = 4 << 20):
     """Per block of ``(doc_id, text as binary)`` rows, some ``most`` bytes of text at most: ids and texts."""
-    for batch in batches:
-        texts = batch.column(1)
+    for ids, texts in _gathered(batches, most // 2):
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         begin = 0
         while begin < len(texts):
             end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1)
-            yield batch.column(0).slice(begin, end - begin), texts.slice(begin, end - begin)
+            yield ids.slice(begin, end - begin), texts.slice(begin, end - begin)
             begin = end
 
 

@@ -281,7 +281,7 @@ def read_tokens(tokens: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "start_in_part", "part", "ids_crc32"])
 
     read = tokens.select("doc_id", "ids", "n_tokens", "start_in_part", "part").mapInArrow(frugal(run), "doc_id long, n_tokens long, start_in_part long, part int, ids_crc32 long")
-    starts = stage(part_starts(tokens), "token-parts")
+    starts = part_starts(tokens)
     # One row a part file: broadcast once they are counted.
     starts = F.broadcast(starts) if starts.count() <= MOST_BROADCAST else starts
     return read.join(starts, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")

@@ -438,7 +438,8 @@ def sort_regions(regions: DataFrame, shard_bytes: int = 2 << 20, memory: int = 3
 
         def cut():
             """Per shard, a stream of its (doc, at, regions)."""
-            left = iter(batches)
+            # Few rows at once, so that a shard ends close to its size.
+            left = (batch.slice(k, 512) for batch in batches for k in range(0, len(batch), 512))
             rest, last = None, None
             while True:
                 batch = rest if rest is not None else next(left, None)

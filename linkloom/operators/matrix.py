@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import rounded
-
+from linkloom.operators.blocks import BLOCK_ENTRIES, block_sums
 
 #: Rows of one key beyond which a product deals them over several slices: adaptive execution splits
 #: partitions by their bytes, not by the pairs that a key makes.
@@ -55,16 +55,21 @@ def _summed(pairs: DataFrame, threshold: float, decay: float, prune: str, unit_d
         value = rounded(F.col("s"), float32)
     else:
         sums = pairs.select("i", "j", (F.col("x") * F.col("y")).alias("p")).groupBy("i", "j").agg(F.sum("p").alias("s"))
-        keep = F.col("s") > threshold
-        if unit_diagonal and decay < 1:
-            keep = keep | (F.col("i") == F.col("j"))
-        sums = sums.filter(keep)
-        value = F.col("s") * F.lit(decay)
+        return _pruned(sums, threshold, decay, unit_diagonal)
     if unit_diagonal and decay < 1:
         value = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(value)
     return sums.select("i", "j", value.alias("v"))
 
 
+def _pruned(sums: DataFrame, threshold: float, decay: float, unit_diagonal: bool) -> DataFrame:
+    """Of ``i, j, s`` what exceeds ``threshold``, scaled; see ``product``."""
+    keep, value = F.col("s") > threshold, F.col("s") * F.lit(decay)
+    if unit_diagonal and decay < 1:
+        keep = keep | (F.col("i") == F.col("j"))
+        value = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(value)
+    return sums.filter(keep).select("i", "j", value.alias("v"))
+
+
 def _sliced(left: DataFrame, right: DataFrame, key: str, slice_rows: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with the columns to join on; hot keys of ``left`` dealt over several slices.
 
@@ -93,6 +98,7 @@ def product(
     unit_diagonal: bool = False,
     float32: bool = True,
     slice_rows: int | None = SLICE_ROWS,
+    block_entries: int = BLOCK_ENTRIES,
 ) -> DataFrame:
     """Sparse product of ``a`` and ``b``, scaled by ``decay``.
 
@@ -101,6 +107,10 @@ def product(
     ``"sum"`` drops unscaled sums that do not exceed it and rounds nothing.
     ``lower`` keeps i >= j. ``expand_a``: ``a`` is half stored. ``unit_diagonal``
     sets surviving diagonal entries to 1 if ``decay`` is below 1.
+
+    Partial products that are dropped are never shuffled. All those of ``"sum"`` would be, so where indices are
+    whole numbers they are summed in blocks of rows of up to ``block_entries``; ``a`` and ``b`` are then read
+    more than once and should be written tables.
     """
     if prune not in ("partial", "sum"):
         raise ValueError("prune must be 'partial' or 'sum'")
@@ -108,11 +118,22 @@ def product(
     a = expand_symmetric(a) if expand_a else a
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
+    if prune == "sum" and {t for m in (left, right) for c, t in m.dtypes if c in "ijk"} <= {"tinyint", "smallint", "int", "bigint"}:
+        above = None if unit_diagonal and decay < 1 else threshold
+        sums, large = block_sums(left, right, above, "below" if lower else None, block_entries)
+        found = _pruned(sums, threshold, decay, unit_diagonal)
+        if large.isEmpty():
+            return found
+        # Rows beyond a block, for which the pairs are shuffled.
+        left = left.join(large, F.equal_null(left.i, large.i), "left_semi")
+    else:
+        found = None
     left, right, on = _sliced(left, right, "k", slice_rows)
     pairs = left.join(right, on)
     if lower:
         pairs = pairs.filter("i >= j")
-    return _summed(pairs, threshold, decay, prune, unit_diagonal, float32)
+    rest = _summed(pairs, threshold, decay, prune, unit_diagonal, float32)
+    return rest if found is None else found.unionByName(rest)
 
 
 def self_product(p: DataFrame, threshold: float = 0.0, decay: float = 1.0, prune: str = "partial", unit_diagonal: bool = True, float32: bool = True, slice_rows: int | None = SLICE_ROWS) -> DataFrame:

@@ -25,6 +25,8 @@ def first_step(p: DataFrame, params: Params, slice_rows: int | None = SLICE_ROWS
 def next_step(similar: DataFrame, p: DataFrame, params: Params, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """decay * (S P)' P with unit diagonal, S the half-stored similarity of the other side."""
     m = matrix.product(similar, p, params.threshold, 1.0, params.prune, expand_a=True, float32=params.float32_scores, slice_rows=slice_rows)
+    if params.prune == "sum":  # read more than once
+        m = stage(m, "half-step")
     return matrix.product(m, p, params.threshold, params.decay, params.prune, transpose_a=True, lower=True, unit_diagonal=True, float32=params.float32_scores, slice_rows=slice_rows)
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import evidence_of
+from linkloom.operators.blocks import BLOCK_ENTRIES, block_sums
 from linkloom.operators.matrix import SLICE_ROWS, _sliced
+from linkloom.storage import stage
 
 
 def common_neighbours(edges: DataFrame, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
@@ -50,6 +52,27 @@ def evidence_of_arrays(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     carry ids and no arrays.
     """
     edges = arrays.select(F.col("id").alias("q"), F.explode("neighbours").alias("a"))
-    found = evidence_for(pairs, edges)
+    return _both_orders(evidence_for(pairs, edges))
+
+
+def evidence_of_all_arrays(arrays: DataFrame, slice_rows: int | None = SLICE_ROWS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """``q1, q2, e`` in both orders for all pairs of ``id, neighbours`` arrays that share a neighbour.
+
+    Pairs are made and their arrays intersected block by block of ids, so that no pair is shuffled; only ids of
+    more than ``block_entries`` neighbours, or as many pairs as a block may have, are paired by a join. Ids are whole numbers.
+    """
+    edges = stage(arrays.select(F.col("id").alias("q"), F.explode("neighbours").alias("a")).distinct(), "array-edges")
+    one, two = edges.select(F.col("q").alias("i"), F.col("a").alias("k"), F.lit(1.0).alias("x")), edges.select(F.col("a").alias("k"), F.col("q").alias("j"), F.lit(1.0).alias("y"))
+    sums, large = block_sums(one, two, None, "above", block_entries)
+    found = sums.select(F.col("i").alias("q1"), F.col("j").alias("q2"), evidence_of(F.col("s")).alias("e"))
+    if not large.isEmpty():
+        few = edges.join(large, edges.q == large.i, "left_semi").select("a", F.col("q").alias("q1"))
+        left, right, on = _sliced(few, edges.select("a", F.col("q").alias("q2")), "a", slice_rows)
+        rest = left.join(right, on).filter("q1 < q2").groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("n"))
+        found = found.unionByName(rest.select("q1", "q2", evidence_of(F.col("n")).alias("e")))
+    return _both_orders(found)
+
+
+def _both_orders(found: DataFrame) -> DataFrame:
     both = F.explode(F.array(F.struct("q1", "q2"), F.struct(F.col("q2").alias("q1"), F.col("q1").alias("q2")))).alias("p")
     return found.select(both, "e").select("p.q1", "p.q2", "e")

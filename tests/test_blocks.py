@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from linkloom.operators import blocks, matrix
+from linkloom import catalog
+from linkloom.operators import blocks, evidence, matrix
 from linkloom.storage import stage
 
 from .test_matrix import dense, frame
@@ -63,3 +65,22 @@ def test_odd_entries(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(i, j, x * y) for i, x in ((None, 1.0), (-5, 2.0), (4, 2.0)) for j, y in ((None, 1.0), (1 << 40, 3.0))], key=repr)
     none = stage(a.limit(0), "none")
     assert matrix.product(none, b, prune="sum").count() == matrix.product(a, b.limit(0), prune="sum").count() == 0
+
+
+@pytest.mark.parametrize("entries", [1 << 21, 2])
+def test_evidence_of_all_arrays(spark, entries):
+    """Pairs and their common neighbours as sets tell, also where an id has more neighbours than a block."""
+    sets = {1: {1, 2, 3}, 2: {2, 3}, 5: {3}, -4: {1, 2, 3, 9}, 7: {8}, 8: set()}
+    arrays = stage(spark.createDataFrame([(q, sorted(a)) for q, a in sets.items()], "id int, neighbours array<int>"), "arrays")
+    got = evidence.evidence_of_all_arrays(arrays, block_entries=entries)
+    assert got.dtypes == [("q1", "int"), ("q2", "int"), ("e", "double")]
+    want = [(p, q, 1 - 2.0 ** -len(sets[p] & sets[q])) for p in sets for q in sets if p != q and sets[p] & sets[q]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_evidence_shuffles_no_pairs(spark, tmp_path):
+    """600 lines of 300 customers and two parts make 89,700 ordered pairs."""
+    spark.range(300).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(600).select((F.col("id") % 300).alias("l_orderkey"), F.floor(F.col("id") / 300).alias("l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    n, rows = shuffled_rows(spark, lambda: catalog.QUERIES["evidence_intersect"](spark, str(tmp_path)).count())
+    assert n == 89_700 and rows < 20_000

@@ -1,8 +1,9 @@
 """Operator 6 for wide radii: near-duplicates of Jaccard similarity 0.8 of five-word shingles.
 
-SimHash fingerprints of such texts differ in 10 of 64 bits in the mean, and in more than
-``RADIUS`` once in a million. No blocks of bits deal out pairs so far apart, so MinHash
-values do: two sets of Jaccard similarity 0.8 share none of the ``BANDS`` buckets with
+Fingerprints meet as in operator 6: dealt by pairs of bit blocks and searched in BK-trees, those
+that three differing bits join make one bucket. SimHash fingerprints of such texts differ in 10 of
+64 bits in the mean, though, and in more than ``RADIUS`` once in a million. No blocks of bits deal out
+pairs so far apart, so for the rest MinHash values do: two sets of Jaccard similarity 0.8 share none of the ``BANDS`` buckets with
 probability (1 - 0.8 ** ROWS) ** BANDS, under one in ten thousand. In a bucket the
 fingerprints hang in a BK-tree, which is searched within the radius, and the links found
 are verified on the whole sets. Shingles and equal sets are told apart by 64-bit hashes.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .bktree import Forest
 from .common import frugal, keyed_texts, stage, unstage
 from .components import connected_components
-from .simhash import majority
+from .simhash import majority, shard_links
 
 SEED, SHINGLE, SIMILARITY, BANDS, ROWS = 42, 5, 0.8, 25, 5
 #: Bits in which linked fingerprints may differ.
@@ -164,6 +165,14 @@ def _bucket_links(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(frugal(run), "u long, v long")
 
 
+def _members(distinct: DataFrame) -> DataFrame:
+    """``node, bucket`` of ``node, fp, buckets``: operator 6's component of the fingerprint, and the MinHash buckets."""
+    near = stage(connected_components(shard_links(distinct.select("fp").distinct())), "similar-near").withColumnRenamed("node", "fp")
+    component = F.xxhash64(F.lit("component"), F.coalesce("root", "fp"))
+    joined = stage(distinct.select("node", "fp").join(near, "fp", "left").select("node", component.alias("bucket")), "similar-joined")
+    return distinct.select("node", F.explode("buckets").alias("bucket")).unionByName(joined)
+
+
 def similar_texts(texts: DataFrame) -> DataFrame:
     """``doc, named, first`` for every row of ``doc, named, text``: the smallest key of a named row that links
     reach, the own one included.
@@ -173,7 +182,7 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     """
     described = stage(_described(texts), "similar-described")
     distinct = stage(described.groupBy("node").agg(F.min(F.when(F.col("named"), F.col("doc"))).alias("low"), F.min("doc").alias("doc"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets")), "similar-distinct")
-    members = distinct.select("node", F.explode("buckets").alias("bucket"))
+    members = _members(distinct)
     # Buckets of the same members are searched once.
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.sum(F.col("node").cast("decimal(20,0)")).alias("t"))
     shared = stage(shared.filter("c > 1").groupBy("c", "s", "t").agg(F.min("bucket").alias("bucket")), "similar-buckets")

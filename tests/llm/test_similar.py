@@ -81,3 +81,11 @@ def test_links_of_a_bucket_against_all_pairs():
     for most in (100, 2_000_000):
         links = similar._links(list(range(160)), prints, sets, most)
         assert joined(links) == joined(near) and all(similar.alike(sets[i], sets[j]) for i, j in links) and len(links) < 160
+
+
+def test_near_fingerprints_meet_without_a_common_bucket(spark):
+    """Fingerprints joined by three bits, or equal, share a bucket whatever MinHash says; others do not."""
+    rows = [(1, 0b1, [11]), (2, 0b1110, [12]), (3, (0b1110 << 40) | 0b1110, [13]), (4, 0b1, [14]), (5, 0x5555_5555_5555_5555, [15])]
+    found = similar._members(spark.createDataFrame(rows, "node long, fp long, buckets array<long>")).collect()
+    own = {r["node"]: r["bucket"] for r in found if r["bucket"] not in range(11, 16)}
+    assert len(found) == 10 and own[1] == own[4] and own[2] == own[3] and len(set(own.values())) == 3
